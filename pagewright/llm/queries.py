@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm.language_id import op10_language_id
+from pagewright.llm.lm_scoring import op4_lm_scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_lm_scoring": op4_lm_scoring,
     "op10_language_id": op10_language_id,
 }
 
