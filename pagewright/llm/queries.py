@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagewright.llm.fingerprints import op1_fingerprints
 from pagewright.llm.language_id import op10_language_id
 from pagewright.llm.lm_scoring import op4_lm_scoring
 from pagewright.llm.near_dedup import op5_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_near_dedup": op5_near_dedup,
     "op10_language_id": op10_language_id,
