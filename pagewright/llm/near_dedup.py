@@ -8,8 +8,10 @@ concentration bounds like those of independent permutations.
 
 Texts with equal shingle sets are one class from the start. Classes that agree
 in a whole band are candidates. In each bucket all are first compared with the
-smallest (a star, not all pairs); buckets whose members these links have not
-joined then compare members of different components. Every link is confirmed
+smallest, its pivot (a star, not all pairs). Where these links leave a pivot's
+group in several components, members of different ones are compared if they
+share a shingle early enough in a common ranking (prefix and position filter,
+which lose no pair at the threshold). Every link is confirmed
 on the two full sets, so results are exact but for pairs that no band catches:
 at similarity 0.8 a pair is missed with probability (1 - 0.8**4)**25 < 2e-6.
 
@@ -97,21 +99,26 @@ def _sketch(size: int) -> Callable:
     return run
 
 
+def _set_pairs(part: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two full sets of each row with text_a and text_b; a pivot's text comes again and again and is read once."""
+    column_b = part.column(part.schema.get_field_index("text_b")).dictionary_encode()
+    sets = []
+    for column in (part.column(part.schema.get_field_index("text_a")), column_b.dictionary):
+        data, offsets, _ = buffers(column)
+        sets.append(shingle_sets(Words(LOWER[data], offsets), size))
+    of = np.asarray(column_b.indices)
+    for i in range(part.num_rows):
+        yield sets[0][i], sets[1][of[i]]
+
+
 def _verify(size: int, percent: int) -> Callable:
     """Of pairs with their texts, those whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text_a"):
-                column_b = part.column(3).dictionary_encode()  # a pivot's text comes again and again
-                b_of, texts_b = np.asarray(column_b.indices), column_b.dictionary
-                sets = []
-                for column in (part.column(2), texts_b):
-                    data, offsets, _ = buffers(column)
-                    sets.append(shingle_sets(Words(LOWER[data], offsets), size))
                 good = []
-                for i in range(part.num_rows):
-                    x, y = sets[0][i], sets[1][b_of[i]]
+                for x, y in _set_pairs(part, size):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 keep = pa.array(good, pa.bool_())
@@ -120,40 +127,83 @@ def _verify(size: int, percent: int) -> Callable:
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links of candidate pairs (a, b); only texts of candidates are carried on."""
+def _prefixes(size: int, percent: int) -> Callable:
+    """The shingles of a that decide whether it can be like another text of pivot b's group.
+
+    All shingles are ranked, those outside the pivot's set first. Two texts that
+    are similar enough share a shingle among the first (100 - percent) % of each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text_a"):
+                n, first = [], []
+                for x, y in _set_pairs(part, size):
+                    ranked = x[np.argsort(np.isin(x, y, assume_unique=True), kind="stable")]
+                    n.append(len(x))
+                    first.append(ranked[: len(x) - -(-percent * len(x) // 100) + 1].astype(np.int64))
+                lists = pa.array(first, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), lists], ["a", "b", "n", "first"])
+
+    return run
+
+
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with text_a and text_b; only texts of candidates are carried on."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+    texts = cut(docs.join(ids, "doc_id", "left_semi"))
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(with_both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long").distinct())
+    return with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    return cut(_with_texts(pairs, docs).mapInArrow(_verify(size, percent), "a long, b long").distinct())
+
+
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Star pairs with the component of a."""
+    return pairs.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+
+
+def _unjoined(tried: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidate pairs among members of a pivot's group that are in different components.
+
+    Instead of all pairs of a group, only those that share a shingle early
+    enough in the ranking of both to be able to reach the threshold.
+    """
+    placed = _labelled(tried, labels)
+    open_groups = placed.groupBy("b").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("b")
+    open_pairs = cut(placed.join(open_groups, "b"))
+    firsts = _with_texts(open_pairs.select("a", "b"), docs).mapInArrow(_prefixes(size, percent), "a long, b long, n long, first array<long>")
+    rows = firsts.join(open_pairs, ["a", "b"]).select("a", "b", "n", "label", F.posexplode("first").alias("place", "shingle"))
+    # A shingle that members of one component only have cannot join two.
+    by_label = rows.groupBy("b", "shingle", "label").agg(F.count("*").alias("members"))
+    shared = by_label.groupBy("b", "shingle").agg(F.max_by("label", "members").alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    rows = cut(rows.join(shared, ["b", "shingle"]))
+    one, two = (rows.select("b", "shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("a", "n", "label", "place")), *([F.col("main")] if x == "x" else [])) for x in "xy")
+    one = one.where(F.col("label_x") != F.col("main"))  # of the largest component's members none meets another
+    once = (F.col("label_y") == F.col("main")) | (F.col("a_x") > F.col("a_y"))
+    reach = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))  # places count from 0
+    enough = (100 + percent) * reach >= percent * (F.col("n_x") + F.col("n_y"))
+    pairs = one.join(two, ["b", "shingle"]).where(F.col("label_x") != F.col("label_y")).where(once & enough)
+    return cut(pairs.select(F.greatest("a_x", "a_y").alias("a"), F.least("a_x", "a_y").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id long, text)."""
     docs = docs.select("doc_id", "text")
     rows = cut(docs.mapInArrow(_sketch(shingle_words), "doc_id long, n_shingles long, digest binary, bands array<long>"))
-    classes = cut(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    members = cut(classes.select("rep", "n", F.explode("bands").alias("band")))
-    buckets = members.groupBy("band").agg(F.min("rep").alias("pivot"), F.min(F.struct("rep", "n"))["n"].alias("pivot_n"), F.max("rep").alias("last")).where("pivot <> last").drop("last")
-    buckets = cut(buckets)
-    stars = members.join(buckets, "band")
-    close = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
-    tried = cut(stars.where(F.col("rep") != F.col("pivot")).where(close).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
-    same_id = rows.where("digest is not null").groupBy("doc_id", "digest").agg(F.lit(1)).join(classes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    with_id = rows.where("digest is not null and doc_id is not null")
+    classes = cut(with_id.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    members = classes.select("rep", F.explode("bands").alias("band"))
+    buckets = members.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").select("band", "pivot")
+    tried = cut(members.join(buckets, "band").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
     links = _links(tried, docs, shingle_words, percent)
-    labels = components(links)
-
-    # What the stars have not joined: members of one bucket in different components.
-    placed = cut(stars.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", "pivot", F.coalesce("label", "rep").alias("label")))
-    split = placed.where("rep <> pivot").groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("band")
-    apart = placed.where("rep <> pivot").join(split, "band")
-    one, two = (apart.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "label"))) for x in "ab")
-    close = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    more = one.join(two, "band").where(F.col("rep_a") > F.col("rep_b")).where(F.col("label_a") != F.col("label_b")).where(close).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    more = cut(more.join(tried, ["a", "b"], "left_anti"))
-    found = links.unionByName(_links(more, docs, shingle_words, percent)).unionByName(same_id)
-    labels = components(found)
+    more = _unjoined(tried, components(links), docs, shingle_words, percent)
+    classes = classes.drop("bands")
+    several = with_id.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other").select("doc_id")
+    same_id = with_id.join(several, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    labels = components(links.unionByName(_links(more, docs, shingle_words, percent)).unionByName(same_id))
 
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
     out = rows.drop("bands").join(named, "digest", "left")
