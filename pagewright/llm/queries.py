@@ -10,12 +10,18 @@ from pagewright.llm.fingerprints import op1_fingerprints
 from pagewright.llm.language_id import op10_language_id
 from pagewright.llm.lm_scoring import op4_lm_scoring
 from pagewright.llm.near_dedup import op5_near_dedup
+from pagewright.llm.pii import op8_pii
+from pagewright.llm.topk_search import OP9_SQL, op9_topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_near_dedup": op5_near_dedup,
+    "op8_pii": op8_pii,
+    "op9_topk_search": op9_topk_search,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_topk_search": OP9_SQL,
+}
