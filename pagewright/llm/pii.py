@@ -80,7 +80,7 @@ def _email(text: str, at: int, floor: int) -> Span | None:
 
 def _digits(text: str) -> Iterator[Span]:
     for m in _IP.finditer(text):
-        if all(len(part := part.lstrip("0")) <= 3 and int(part or 0) <= 255 for part in m[0].split(".")):
+        if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
             yield "ip", m.start(), m.end()
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
