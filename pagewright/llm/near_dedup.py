@@ -10,8 +10,9 @@ Texts with equal shingle sets are one class from the start. Classes that agree
 in a whole band are candidates. In each bucket all are first compared with the
 smallest, its pivot (a star, not all pairs). Where these links leave a pivot's
 group in several components, members of different ones are compared if they
-share a shingle early enough in a common ranking (prefix and position filter,
-which lose no pair at the threshold). Every link is confirmed
+share a shingle early enough in a common ranking and bitmaps do not rule them
+out (prefix, position and bitmap filters lose no pair at the threshold). Every
+link is confirmed
 on the two full sets, so results are exact but for pairs that no band catches:
 at similarity 0.8 a pair is missed with probability (1 - 0.8**4)**25 < 2e-6.
 
@@ -127,37 +128,49 @@ def _verify(size: int, percent: int) -> Callable:
     return run
 
 
+_BITS = 256
+
+
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    bits = np.zeros(_BITS, np.uint8)
+    bits[(shingles >> _U(20)).astype(np.int64) % _BITS] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _prefixes(size: int, percent: int) -> Callable:
-    """The shingles of a that decide whether it can be like another text of pivot b's group.
+    """What decides whether text a can be like another text of pivot b's group.
 
     All shingles are ranked, those outside the pivot's set first. Two texts that
     are similar enough share a shingle among the first (100 - percent) % of each.
+    Bitmaps of the shingles outside the pivot and of the pivot's that are missing
+    bound what two texts share from above.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text_a"):
-                n, first = [], []
+                n, out, pivot, first, maps = [], [], [], [], ([], [])
                 for x, y in _set_pairs(part, size):
-                    ranked = x[np.argsort(np.isin(x, y, assume_unique=True), kind="stable")]
-                    n.append(len(x))
+                    inside = np.isin(x, y, assume_unique=True)
+                    ranked = x[np.argsort(inside, kind="stable")]
+                    n.append(len(x)), out.append(len(x) - int(inside.sum())), pivot.append(len(y))
                     first.append(ranked[: len(x) - -(-percent * len(x) // 100) + 1].astype(np.int64))
-                lists = pa.array(first, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), lists], ["a", "b", "n", "first"])
+                    maps[0].append(_bitmap(x[~inside])), maps[1].append(_bitmap(np.setdiff1d(y, x, assume_unique=True)))
+                numbers = [pa.array(c, pa.int64()) for c in (n, out, pivot)]
+                lists = [pa.array(c, pa.list_(pa.int64())) for c in (*maps, first)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, *lists], ["a", "b", "n", "out", "pivot", "extra", "missing", "first"])
 
     return run
 
 
-def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with text_a and text_b; only texts of candidates are carried on."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut(docs.join(ids, "doc_id", "left_semi"))
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with text_a and text_b."""
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    return cut(_with_texts(pairs, docs).mapInArrow(_verify(size, percent), "a long, b long").distinct())
+def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    return cut(_with_texts(pairs, texts).mapInArrow(_verify(size, percent), "a long, b long").distinct())
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -165,7 +178,7 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
 
 
-def _unjoined(tried: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _unjoined(tried: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Candidate pairs among members of a pivot's group that are in different components.
 
     Instead of all pairs of a group, only those that share a shingle early
@@ -174,17 +187,25 @@ def _unjoined(tried: DataFrame, labels: DataFrame, docs: DataFrame, size: int, p
     placed = _labelled(tried, labels)
     open_groups = placed.groupBy("b").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("b")
     open_pairs = cut(placed.join(open_groups, "b"))
-    firsts = _with_texts(open_pairs.select("a", "b"), docs).mapInArrow(_prefixes(size, percent), "a long, b long, n long, first array<long>")
-    rows = firsts.join(open_pairs, ["a", "b"]).select("a", "b", "n", "label", F.posexplode("first").alias("place", "shingle"))
+    firsts = _with_texts(open_pairs.select("a", "b"), texts).mapInArrow(_prefixes(size, percent), "a long, b long, n long, out long, pivot long, extra array<long>, missing array<long>, first array<long>")
+    rows = firsts.join(open_pairs, ["a", "b"]).select("a", "b", "n", "out", "pivot", "extra", "missing", "label", F.posexplode("first").alias("place", "shingle"))
     # A shingle that members of one component only have cannot join two.
     by_label = rows.groupBy("b", "shingle", "label").agg(F.count("*").alias("members"))
     shared = by_label.groupBy("b", "shingle").agg(F.max_by("label", "members").alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
     rows = cut(rows.join(shared, ["b", "shingle"]))
-    one, two = (rows.select("b", "shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("a", "n", "label", "place")), *([F.col("main")] if x == "x" else [])) for x in "xy")
+    one, two = (rows.select("b", "shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("a", "n", "out", "pivot", "extra", "missing", "label", "place")), *([F.col("main")] if x == "x" else [])) for x in "xy")
     one = one.where(F.col("label_x") != F.col("main"))  # of the largest component's members none meets another
     once = (F.col("label_y") == F.col("main")) | (F.col("a_x") > F.col("a_y"))
-    reach = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))  # places count from 0
-    enough = (100 + percent) * reach >= percent * (F.col("n_x") + F.col("n_y"))
+    # At most this many are shared if this is the first shared one: the rest of what lies outside the pivot, and inside it.
+    left = lambda x: F.greatest(F.col(f"out_{x}") - F.col(f"place_{x}"), F.lit(0))
+    within = lambda x: F.col(f"n_{x}") - F.greatest(F.col(f"out_{x}"), F.col(f"place_{x}"))
+    reach = F.least(left("x"), left("y")) + F.least(within("x"), within("y"))
+    # And at most this many in any case.
+    bits = lambda body: sum((F.bit_count(body(i)) for i in range(_BITS // 64)), F.lit(0))
+    both_miss = bits(lambda i: F.get("missing_x", F.lit(i)).bitwiseOR(F.get("missing_y", F.lit(i))))
+    own = lambda x, y: F.col(f"out_{x}") - bits(lambda i: F.get(f"extra_{x}", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"extra_{y}", F.lit(i)))))
+    bound = F.col("pivot_x") - both_miss + F.least(own("x", "y"), own("y", "x"))
+    enough = (100 + percent) * F.least(reach, bound) >= percent * (F.col("n_x") + F.col("n_y"))
     pairs = one.join(two, ["b", "shingle"]).where(F.col("label_x") != F.col("label_y")).where(once & enough)
     return cut(pairs.select(F.greatest("a_x", "a_y").alias("a"), F.least("a_x", "a_y").alias("b")).distinct())
 
@@ -198,12 +219,14 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     members = classes.select("rep", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").select("band", "pivot")
     tried = cut(members.join(buckets, "band").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
-    links = _links(tried, docs, shingle_words, percent)
-    more = _unjoined(tried, components(links), docs, shingle_words, percent)
+    ids = tried.select(F.col("a").alias("doc_id")).unionByName(tried.select(F.col("b").alias("doc_id"))).distinct()
+    texts = cut(docs.join(ids, "doc_id", "left_semi"))  # only texts of candidates are carried on
+    links = _links(tried, texts, shingle_words, percent)
+    more = _unjoined(tried, components(links), texts, shingle_words, percent)
     classes = classes.drop("bands")
     several = with_id.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other").select("doc_id")
     same_id = with_id.join(several, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    labels = components(links.unionByName(_links(more, docs, shingle_words, percent)).unionByName(same_id))
+    labels = components(links.unionByName(_links(more, texts, shingle_words, percent)).unionByName(same_id))
 
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
     out = rows.drop("bands").join(named, "digest", "left")
