@@ -60,7 +60,7 @@ def scripts(text: Column) -> Column:
 
 #: Letters with a strong direction from right to left; what remains of the letters goes from left to right.
 _RTL = r"[\p{IsHebrew}\p{IsArabic}\p{IsSyriac}\p{IsThaana}\p{IsNko}‏&&[\p{L}‏]]"
-_LTR = r"[\p{L}\p{Nl}\p{Mc}\p{So}&&[^\p{IsHebrew}\p{IsArabic}\p{IsSyriac}\p{IsThaana}\p{IsNko}¦©®°℀-⯿]]"
+_LTR = r"[\p{L}\p{Nl}\p{Mc}&&[^\p{IsHebrew}\p{IsArabic}\p{IsSyriac}\p{IsThaana}\p{IsNko}]]"
 
 
 def direction(text: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions import arrays as ar
 from pagewright.functions import text as tx
@@ -46,10 +47,11 @@ def least_assignment(costs: Sequence[Sequence[float]]) -> float:
     return float(cost[row_of, np.arange(n)].sum())
 
 
-@F.pandas_udf("long")
-def _assigned(matrices: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for series in matrices:
-        yield series.map(lambda m: round(least_assignment([list(r) for r in m])) if len(m) else 0).astype("int64")
+def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns, cost matrices of letters and words, become their least assignments."""
+    for batch in batches:
+        least = [pa.array([round(least_assignment(m)) for m in column.to_pylist()], pa.int64()) for column in batch.columns[-2:]]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *least], batch.schema.names)
 
 
 def cost_matrix(truth: Column, observed: Column, distance) -> Column:
@@ -74,7 +76,9 @@ def score_cases(cases: DataFrame) -> DataFrame:
     by_letter = cost_matrix(truth, observed, F.levenshtein)
     by_word = cost_matrix(truth, observed, lambda t, o: tx.word_distance(words(t), words(o)))
     total = lambda lines, f: F.aggregate(lines, F.lit(0).cast("long"), lambda s, x: s + f(x))
-    measured = lined.withColumn("char_distance", _assigned(by_letter)).withColumn("word_distance", _assigned(by_word))
+    lined = lined.drop("char_distance", "word_distance")
+    schema = T.StructType([*lined.schema.fields, T.StructField("char_distance", T.LongType()), T.StructField("word_distance", T.LongType())])
+    measured = lined.withColumn("char_distance", by_letter).withColumn("word_distance", by_word).mapInArrow(_assigned, schema)
     measured = measured.withColumn("char_length", total(truth, F.length)).withColumn("word_length", total(truth, lambda x: F.size(words(x))))
     rate = lambda part: F.col(f"{part}_distance") / F.greatest(F.col(f"{part}_length"), F.lit(1))
     return measured.withColumn("cer", rate("char")).withColumn("wer", rate("word")).withColumn("exact", ar.same_multiset(truth, observed))
