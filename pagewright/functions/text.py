@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # White space as Python's str.split() has it.
 SPACES = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
@@ -29,7 +30,7 @@ OPENING = "([{<«‹“‘「『【〔〈《（［｛"
 CLOSING = ")]}>»›”’」』】〕〉》）］｝,.;:!?%‰،؛؟。．，、：；！？٪"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions import geometry as geo
 from pagewright.functions import text as tx
@@ -56,7 +57,7 @@ def same_line_pairs(regions: DataFrame) -> DataFrame:
     return a.join(b, ["page_id", "vertical"]).where(on_line).select("page_id", F.col("region_id_a").alias("i"), F.col("region_id_b").alias("j"))
 
 
-@F.pandas_udf("array<struct<node:int,label:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("node", T.IntegerType()), T.StructField("label", T.IntegerType())])))
 def _labels(pairs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The smallest member reachable, for each end of a page's pairs."""
 

@@ -514,3 +514,55 @@ SELECT p_partkey, CAST(l AS BIGINT) AS "left", CAST(l + p_size AS BIGINT) AS "ri
 def strip_spans(spark, sf_dir):
     rows = scheduling.packed_spans(table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").alias("width")), "p_brand", "p_partkey")
     return rows.withColumn("s", ar.span_steps(F.col("left"), F.col("right"), F.lit(0.125))).select("p_partkey", "left", "right", "s.lo", "s.hi")
+
+
+# Pages and streams -----------------------------------------------------------
+
+@query()
+def detect_boxes(spark, sf_dir):
+    """Regions of each embedding taken as an 8 x 8 probability map."""
+    import numpy as np
+    import pyarrow as pa
+
+    from pagewright.operators import pixels
+
+    names = ("vec_id", "region_id", "center_x", "center_y", "thickness", "length", "angle", "vertical", "score")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for vec, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = pixels.regions(1 / (1 + np.exp(-4 * np.array(values).reshape(8, 8))))
+                rows += [(vec, i, *r) for i, r in enumerate(found)]
+            types = (pa.int64(), pa.int32(), *(pa.float64(),) * 5, pa.bool_(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], list(names))
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, region_id int, center_x double, center_y double, thickness double, length double, angle double, vertical boolean, score double")
+
+
+@query()
+def read_pages(spark, sf_dir):
+    """Benchmark texts set as pages, read back and scored."""
+    from pagewright.plans.read_pages import read_and_score
+
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page_id"), "text")
+    return read_and_score(spark, texts)
+
+
+@query("""
+SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS samples, round(sum(value), 4) AS total, max(value) AS most FROM events GROUP BY 1, 2""")
+def stream_telemetry(spark, sf_dir):
+    from pagewright.streaming import telemetry as live
+
+    counted = live.windowed(live.stream(spark, sf_dir, "events"), "1 hour", "10 minutes", "event_type")
+    return live.settled(counted, "complete").withColumn("total", F.round("total", 4))
+
+
+@query("""
+SELECT user_id AS key, g AS generation, event_id, coalesce(g < max(g) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale
+FROM (SELECT event_id, user_id, CAST(day(ts) AS BIGINT) AS g FROM events)""")
+def stream_stale_replies(spark, sf_dir):
+    from pagewright.streaming import telemetry as live
+
+    replies = live.stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.dayofmonth("ts").cast("long").alias("generation"), "event_id")
+    return live.settled(live.stale_replies(replies), "append")
