@@ -532,7 +532,7 @@ def detect_boxes(spark, sf_dir):
         for batch in batches:
             rows = []
             for vec, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = pixels.regions(1 / (1 + np.exp(-4 * np.array(values).reshape(8, 8))))
+                found = pixels.regions(np.clip(4 * np.array(values).reshape(8, 8), 0, 1))
                 rows += [(vec, i, *r) for i, r in enumerate(found)]
             types = (pa.int64(), pa.int32(), *(pa.float64(),) * 5, pa.bool_(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], list(names))
@@ -555,7 +555,7 @@ def stream_telemetry(spark, sf_dir):
     from pagewright.streaming import telemetry as live
 
     counted = live.windowed(live.stream(spark, sf_dir, "events"), "1 hour", "10 minutes", "event_type")
-    return live.settled(counted, "complete").withColumn("total", F.round("total", 4))
+    return live.settled(counted, "complete").withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("""
@@ -565,4 +565,4 @@ def stream_stale_replies(spark, sf_dir):
     from pagewright.streaming import telemetry as live
 
     replies = live.stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.dayofmonth("ts").cast("long").alias("generation"), "event_id")
-    return live.settled(live.stale_replies(replies), "append")
+    return live.settled(live.stale_replies(replies, forgets=False), "append")

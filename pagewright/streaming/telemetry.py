@@ -16,14 +16,14 @@ REPLY_SECONDS, READY_SECONDS = 120, 30
 
 def windowed(samples: DataFrame, width: str = "1 hour", late: str = "10 minutes", *keys: str) -> DataFrame:
     """Count, sum and maximum of (ts, value) in tumbling windows; samples later than ``late`` are left out."""
-    return samples.withWatermark("ts", late).groupBy(F.window("ts", width), *keys).agg(F.count("*").alias("samples"), F.sum("value").alias("total"), F.max("value").alias("most")).select(F.col("window.start").alias("start"), *keys, "samples", "total", "most")
+    return samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), *keys).agg(F.count("*").alias("samples"), F.sum("value").alias("total"), F.max("value").alias("most")).select(F.col("window.start").alias("start"), *keys, "samples", "total", "most")
 
 
 REPLY = "key long, generation long, event_id long, stale boolean"
 STATE = "generation long"
 
 
-def mark_stale(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def mark_stale(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, forgets: bool = True) -> Iterator[pd.DataFrame]:
     """Replies of one key in the order of their ids; one of an earlier generation than any seen is stale."""
     rows = pd.concat(list(batches)) if not state.hasTimedOut else pd.DataFrame(columns=["key", "generation", "event_id"])
     if state.hasTimedOut:
@@ -34,13 +34,16 @@ def mark_stale(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
     before = rows["generation"].cummax().shift(fill_value=latest).clip(lower=latest)
     rows["stale"] = rows["generation"] < before
     state.update((max(latest, int(rows["generation"].max())),))
-    state.setTimeoutDuration(REPLY_SECONDS * 1000)
+    if forgets:
+        state.setTimeoutDuration(REPLY_SECONDS * 1000)
     yield rows[["key", "generation", "event_id", "stale"]]
 
 
-def stale_replies(replies: DataFrame) -> DataFrame:
-    """A stream of (key, generation, event_id) with ``stale``; a key's state goes when no reply comes in time."""
-    return replies.select("key", "generation", "event_id").groupBy("key").applyInPandasWithState(mark_stale, REPLY, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def stale_replies(replies: DataFrame, *, forgets: bool = True) -> DataFrame:
+    """A stream of (key, generation, event_id) with ``stale``; if it ``forgets``, a key's state goes when no reply comes in time."""
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forgets else GroupStateTimeout.NoTimeout
+    mark = mark_stale if forgets else lambda key, batches, state: mark_stale(key, batches, state, False)
+    return replies.select("key", "generation", "event_id").groupBy("key").applyInPandasWithState(mark, REPLY, STATE, "append", timeout)
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
