@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from pagewright.functions import arrays as ar
 from pagewright.functions import text as tx
+from pagewright.functions.geometry import let
 
 
 def least_assignment(costs: Sequence[Sequence[float]]) -> float:
@@ -54,12 +55,21 @@ def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *least], batch.schema.names)
 
 
-def cost_matrix(truth: Column, observed: Column, distance) -> Column:
-    """Distances of every truth line and every observed line; the shorter side is filled up with empty ones."""
+def cost_matrix(truth: Column, observed: Column) -> Column:
+    """Edits between every truth line and every observed line; the shorter side is filled up with empty ones."""
     n = F.greatest(F.size(truth), F.size(observed))
-    filled = lambda lines, blank: F.concat(lines, F.array_repeat(blank, n - F.size(lines)))
-    blank = F.lit("")
-    return F.transform(filled(truth, blank), lambda t: F.transform(filled(observed, blank), lambda o: distance(t, o)))
+    filled = lambda lines: F.concat(lines, F.array_repeat(F.lit(""), n - F.size(lines)))
+    both = F.struct(filled(truth).alias("t"), filled(observed).alias("o"))
+    return let(both, lambda x: F.transform(x["t"], lambda t: F.transform(x["o"], lambda o: F.levenshtein(t, o))))
+
+
+def word_lines(truth: Column, observed: Column) -> Column:
+    """struct(truth, observed): both sides' lines with one letter for each word."""
+    split = lambda lines: F.transform(lines, words)
+    coded = lambda lines, known: F.transform(lines, lambda line: tx.word_codes(line, known))
+    both = F.struct(split(truth).alias("t"), split(observed).alias("o"))
+    every = lambda s: F.array_distinct(F.concat(F.flatten(s["t"]), F.flatten(s["o"])))
+    return let(both, lambda s: let(every(s), lambda known: F.struct(coded(s["t"], known).alias("truth"), coded(s["o"], known).alias("observed"))))
 
 
 def words(line: Column) -> Column:
@@ -73,12 +83,11 @@ def score_cases(cases: DataFrame) -> DataFrame:
     """
     lined = cases.withColumn("truth_lines", tx.normalised_lines(F.col("truth_lines"))).withColumn("observed_lines", tx.normalised_lines(F.col("observed_lines")))
     truth, observed = F.col("truth_lines"), F.col("observed_lines")
-    by_letter = cost_matrix(truth, observed, F.levenshtein)
-    by_word = cost_matrix(truth, observed, lambda t, o: tx.word_distance(words(t), words(o)))
+    by_word = let(word_lines(truth, observed), lambda w: cost_matrix(w["truth"], w["observed"]))
     total = lambda lines, f: F.aggregate(lines, F.lit(0).cast("long"), lambda s, x: s + f(x))
     lined = lined.drop("char_distance", "word_distance")
     schema = T.StructType([*lined.schema.fields, T.StructField("char_distance", T.LongType()), T.StructField("word_distance", T.LongType())])
-    measured = lined.withColumn("char_distance", by_letter).withColumn("word_distance", by_word).mapInArrow(_assigned, schema)
+    measured = lined.withColumn("char_distance", cost_matrix(truth, observed)).withColumn("word_distance", by_word).mapInArrow(_assigned, schema)
     measured = measured.withColumn("char_length", total(truth, F.length)).withColumn("word_length", total(truth, lambda x: F.size(words(x))))
     rate = lambda part: F.col(f"{part}_distance") / F.greatest(F.col(f"{part}_length"), F.lit(1))
     return measured.withColumn("cer", rate("char")).withColumn("wer", rate("word")).withColumn("exact", ar.same_multiset(truth, observed))

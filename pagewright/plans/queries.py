@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores, if its files give fewer: for steps that cost far more than a shuffle of their rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # Text ------------------------------------------------------------------------
 
 @query(rf"""
@@ -333,7 +339,7 @@ def word_distance(spark, sf_dir):
 @query()
 def score_cases(spark, sf_dir):
     lines = F.split(tx.composed(F.col("text")), "\n")
-    cases = table(spark, sf_dir, "conversations").select("conv_id", "turn", lines.alias("truth_lines"), F.reverse(F.transform(lines, lambda x: F.regexp_replace(x, "er", "re"))).alias("observed_lines"))
+    cases = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", lines.alias("truth_lines"), F.reverse(F.transform(lines, lambda x: F.regexp_replace(x, "er", "re"))).alias("observed_lines"))
     scored = scoring.score_cases(cases)
     return scored.select("conv_id", "turn", "char_distance", "char_length", "word_distance", "word_length", F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"), "exact")
 
@@ -545,7 +551,7 @@ def read_pages(spark, sf_dir):
     """Benchmark texts set as pages, read back and scored."""
     from pagewright.plans.read_pages import read_and_score
 
-    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page_id"), "text")
+    texts = spread(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page_id"), "text"))
     return read_and_score(spark, texts)
 
 
