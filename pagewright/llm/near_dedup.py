@@ -185,14 +185,15 @@ def _unjoined(tried: DataFrame, labels: DataFrame, texts: DataFrame, size: int,
     enough in the ranking of both to be able to reach the threshold.
     """
     placed = _labelled(tried, labels)
+    # Sums are cut before they are joined: a join of two plain shuffles is one that Spark can split where a key is hot.
     open_groups = placed.groupBy("b").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("b")
-    open_pairs = cut(placed.join(open_groups, "b"))
+    open_pairs = cut(placed.join(cut(open_groups), "b"))
     firsts = _with_texts(open_pairs.select("a", "b"), texts).mapInArrow(_prefixes(size, percent), "a long, b long, n long, out long, pivot long, extra array<long>, missing array<long>, first array<long>")
     rows = firsts.join(open_pairs, ["a", "b"]).select("a", "b", "n", "out", "pivot", "extra", "missing", "label", F.posexplode("first").alias("place", "shingle"))
     # A shingle that members of one component only have cannot join two.
     by_label = rows.groupBy("b", "shingle", "label").agg(F.count("*").alias("members"))
     shared = by_label.groupBy("b", "shingle").agg(F.max_by("label", "members").alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    rows = cut(rows.join(shared, ["b", "shingle"]))
+    rows = cut(rows.join(cut(shared), ["b", "shingle"]))
     one, two = (rows.select("b", "shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("a", "n", "out", "pivot", "extra", "missing", "label", "place")), *([F.col("main")] if x == "x" else [])) for x in "xy")
     one = one.where(F.col("label_x") != F.col("main"))  # of the largest component's members none meets another
     once = (F.col("label_y") == F.col("main")) | (F.col("a_x") > F.col("a_y"))
@@ -218,7 +219,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     classes = cut(with_id.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     members = classes.select("rep", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").select("band", "pivot")
-    tried = cut(members.join(buckets, "band").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
+    tried = cut(members.join(cut(buckets), "band").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
     ids = tried.select(F.col("a").alias("doc_id")).unionByName(tried.select(F.col("b").alias("doc_id"))).distinct()
     texts = cut(docs.join(ids, "doc_id", "left_semi"))  # only texts of candidates are carried on
     links = _links(tried, texts, shingle_words, percent)
