@@ -291,7 +291,7 @@ def reconstruct_text(spark, sf_dir):
 
 @query(rf"""
 WITH {_TOKENS}
-SELECT conv_id * 1000 + turn AS page_id, round(min(pos * 10.0) + (max((pos + len) * 10.0) - min(pos * 10.0)) / 2, 4) AS center_x, 50.0 AS center_y, 20.0 AS thickness,
+SELECT conv_id * 1000 + turn AS page_id, round(min(pos * 10.0) + (max((pos + len) * 10.0) - min(pos * 10.0)) / 2, 4) AS center_x, 50.0::DOUBLE AS center_y, 20.0::DOUBLE AS thickness,
        round(CAST(max((pos + len) * 10.0) - min(pos * 10.0) AS DOUBLE), 4) AS length, round(CASE WHEN sum(len) > 0 THEN sum(len * (len % 10 / 10.0)) / sum(len) END, 6) AS confidence
 FROM p GROUP BY conv_id, turn""")
 def merged_rectangles(spark, sf_dir):
@@ -327,11 +327,11 @@ def _letters(words: str, known: str) -> str:
 
 
 @query(f"""
-WITH c AS (SELECT item_id, string_split(text, ' ')[1:30] AS a, list_reverse(list_filter(string_split(text, ' ')[1:30], lambda w: NOT contains(w, 'on'))) AS b FROM benchmark),
+WITH c AS (SELECT item_id, string_split(text, ' ') AS a, list_reverse(list_filter(string_split(text, ' '), lambda w: NOT contains(w, 'on'))) AS b FROM benchmark),
 k AS (SELECT *, list_distinct(a) AS known FROM c)
 SELECT item_id, CAST(levenshtein({_letters("a", "known")}, {_letters("b", "known")}) AS INTEGER) AS distance FROM k""")
 def word_distance(spark, sf_dir):
-    a = F.slice(F.split("text", " "), 1, 30)
+    a = F.split("text", " ")
     b = F.reverse(F.filter(a, lambda w: ~F.contains(w, F.lit("on"))))
     return table(spark, sf_dir, "benchmark").select("item_id", tx.word_distance(a, b).alias("distance"))
 

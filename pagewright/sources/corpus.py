@@ -14,16 +14,22 @@ from pagewright.backends import COLUMNS, LETTERS, PITCH, ROWS, glyph
 NOISE_SEED = 7
 
 
+#: Letters' widths of a space: boxes grow into it from both sides, and it must still be seen.
+SPACE = 3
+
+
 def render(lines: Sequence[str], unit: int = 3, pad: int = 12, leading: int = 6) -> np.ndarray:
     """A white page with the lines in black, ``unit`` pixels a cell. Letters without a glyph are left out."""
     lines = ["".join(c for c in line if c in LETTERS or c == " ") for line in lines]
-    widest = max([len(x) for x in lines], default=0)
+    widest = max([len(x) + (SPACE - 1) * x.count(" ") for x in lines], default=0)
     pitch = (ROWS + leading) * unit
     page = np.full((2 * pad + max(1, len(lines)) * pitch, 2 * pad + max(1, widest) * PITCH * unit, 3), 255, np.uint8)
     for row, line in enumerate(lines):
-        for i, letter in enumerate(line):
+        at = 0
+        for letter in line:
+            at += SPACE if letter == " " else 1
             if letter != " ":
-                y, x = pad + row * pitch, pad + i * PITCH * unit
+                y, x = pad + row * pitch, pad + (at - 1) * PITCH * unit
                 ink = np.kron(glyph(letter), np.ones((unit, unit), bool))
                 page[y : y + ROWS * unit, x : x + COLUMNS * unit][ink] = 0
     return page

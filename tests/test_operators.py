@@ -215,3 +215,11 @@ def test_sources(spark, tmp_path):
     assert readers.cases(spark, str(tmp_path)).first()["id"] == "a"
     with pytest.raises(ValueError, match="not a manifest"):
         readers.write_manifest(str(tmp_path / "x.json"), {"schema_version": 3, "cases": []})
+
+
+def test_benchmark_pages(spark):
+    from pagewright.plans.read_pages import read_and_score
+
+    texts = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").selectExpr("item_id AS page_id", "text").where("item_id < 6")
+    rows = read_and_score(spark, texts).collect()
+    assert len(rows) == 6 and sum(r["char_distance"] for r in rows) <= 0.01 * sum(r["char_length"] for r in rows)
