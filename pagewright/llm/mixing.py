@@ -35,12 +35,12 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 def topic(text: Column) -> Column:
     """A coarse topic by layout: table, list, noise, prose or empty."""
     n = F.char_length(text)
-    without = lambda letters: n - F.char_length(F.translate(text, letters, ""))
+    times = lambda letter: F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letter), F.lit("")))
     return (
         F.when(text.isNull() | (n == 0), "empty")
-        .when(without("|") * 40 > n, "table")
-        .when(without("#$%&*!=<>") * 25 > n, "noise")
-        .when(without("\n") * 80 > n, "list")
+        .when(times("|") * 40 > n, "table")
+        .when(F.regexp_count(text, F.lit("[#$%&*!=<>]")) * 25 > n, "noise")
+        .when(times("\n") * 80 > n, "list")
         .otherwise("prose")
     )
 
