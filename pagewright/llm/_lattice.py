@@ -4,19 +4,22 @@ A text's words are separated by white space and pieces never reach over it, so
 the sum over all segmentations of a text is the product over its words of the
 sum over all segmentations of the word. Words are scored in groups of equal
 length, one array operation for all words of a group; the forward recursion is
-kept in log space.
+kept in log space. Long words have the same sums, taken position by position.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 
 from pagewright.llm._text import _BASE, _BYTE, _U, _powers, mix
 
-#: Longer words are walked one by one with a dictionary.
+#: Words of so many bytes are walked one by one, their expected uses block by block.
 _LONG = 256
+_BLOCK = 1 << 12
 _CELLS = 1 << 17
 
 
@@ -194,13 +197,65 @@ class Lattice:
             for (i, j), (hit, ids) in edges.items():
                 use = np.exp(alpha[i][hit] + logp[ids, 0] + beta[j][hit] - alpha[n][hit]) * weights[which][hit]
                 total += np.bincount(ids, use, len(self.pieces))
-        for w in np.flatnonzero(ends - starts >= _LONG):  # so long a word counts by its bytes
-            raw = data[starts[w] : ends[w]]
-            single = np.bincount(raw, minlength=256) * weights[w]
-            for b in np.flatnonzero(single):
-                total[self.index[bytes([b])]] += single[b]
+        chances = logp[:, 0].tolist()
+        for w in np.flatnonzero(ends - starts >= _LONG):
+            for ids, use in self._long_uses(np.concatenate([[np.uint8(32)], data[starts[w] : ends[w]]]), chances):
+                total += np.bincount(ids, use * weights[w], len(self.pieces))
         return total
 
+    def _into(self, word: np.ndarray, a: int, b: int) -> Iterator[list[tuple[int, int]]]:
+        """For each position from a + 1 to b, the (from, piece) of all pieces that end there."""
+        low = max(0, a + 1 - self.longest)
+        code = _BYTE[word[low:b]]
+        keys, found = code, []
+        for size in range(1, min(self.longest, b - low) + 1):
+            if size > 1:
+                keys = keys[:-1] * _U(_BASE) + code[size - 1 :]
+            ids = self.lookup(keys)
+            at = np.flatnonzero(ids != len(self.pieces))
+            found.append(np.stack([at + low + size, at + low, ids[at]]))
+        to, start, ids = np.concatenate(found, axis=1)
+        order = np.argsort(to, kind="stable")
+        bounds = np.searchsorted(to[order], np.arange(a + 1, b + 2))
+        pairs = list(zip(start[order].tolist(), ids[order].tolist(), strict=True))
+        return (pairs[i:j] for i, j in pairwise(bounds.tolist()))
+
+    def _long_uses(self, word: np.ndarray, logp: list[float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(pieces, their expected uses) in one word; only what a block needs of the one before it is kept."""
+        n = len(word)
+        blocks = [(a, min(a + _BLOCK, n)) for a in range(0, n, _BLOCK)]
+
+        def onward(alpha: list[float], edges: list[list[tuple[int, int]]], low: int) -> list[float]:
+            """Forward sums of the positions from low to the end of the block."""
+            alpha = alpha.copy()
+            for into in edges:
+                sums = [alpha[i - low] + logp[k] for i, k in into]
+                top = max(sums)
+                alpha.append(top + math.log(sum(math.exp(x - top) for x in sums)))
+            return alpha
+
+        lows = [max(0, a + 1 - self.longest) for a, _ in blocks]
+        kept = [[0.0]]
+        for (a, b), low in zip(blocks, lows, strict=True):
+            kept.append(onward(kept[-1], list(self._into(word, a, b)), low)[max(0, b + 1 - self.longest) - low :])
+        whole = kept.pop()[-1]
+        beta = [0.0]  # of the positions from the last block's end on; before it only parts of the sums
+        first = n
+        for (a, b), low in zip(reversed(blocks), reversed(lows), strict=True):
+            edges = list(self._into(word, a, b))
+            alpha = onward(kept.pop(), edges, low)
+            beta = [-math.inf] * (first - low) + beta
+            ids, use = [], []
+            for j, into in zip(range(b, a, -1), reversed(edges), strict=True):
+                for i, k in into:
+                    rest = logp[k] + beta[j - low]
+                    ids.append(k)
+                    use.append(alpha[i - low] + rest - whole)
+                    x, y = (rest, beta[i - low]) if rest > beta[i - low] else (beta[i - low], rest)
+                    beta[i - low] = x + math.log1p(math.exp(y - x))
+            yield np.array(ids), np.exp(use)
+            beta, first = beta[: a - low + 1], low
+
 
 def estimate(counts: np.ndarray, prior: float) -> np.ndarray:
     """Natural log of smoothed piece probabilities."""

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pagewright.llm import _lattice
 from pagewright.llm import _text as kernel
-from pagewright.llm._lattice import Lattice, estimate, load_pieces
+from pagewright.llm._lattice import Lattice, estimate, load_pieces, rank_scores
 from pagewright.llm.lm_scoring import VOCABULARY
 
 TEXTS = ["", None, "a", " a  b\tc\n", "é ü\x0bz", "x" * 3000, "ab" * 7 + " " * 9 + "cd", "1 2 3 4 5 6", "ÀÉ abc ABC"]
@@ -94,3 +95,35 @@ def test_long_words_take_the_other_path():
     assert long[0] == pytest.approx(lattice.score_one(b" " + word, logp)) and np.isfinite(long).all()
     short = data[:50]
     assert lattice.score(short, np.array([0]), np.array([50]), logp)[0] == pytest.approx(lattice.score_one(b" " + short.tobytes(), logp))
+
+
+def uses_by_plain_sums(word, pieces, logp):
+    """Expected uses by forward and backward sums over every pair of positions, in whole arrays of logs."""
+    index = {p: k for k, p in enumerate(pieces)}
+    n, longest = len(word), max(map(len, pieces))
+    edges = [(i, j, index[word[i:j]]) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if word[i:j] in index]
+    alpha, beta, used = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf), np.zeros(len(pieces))
+    alpha[0] = beta[n] = 0
+    for i, j, k in sorted(edges, key=lambda e: e[1]):
+        alpha[j] = np.logaddexp(alpha[j], alpha[i] + logp[k])
+    for i, j, k in sorted(edges, key=lambda e: -e[0]):
+        beta[i] = np.logaddexp(beta[i], beta[j] + logp[k])
+    for i, j, k in edges:
+        used[k] += math.exp(alpha[i] + logp[k] + beta[j] - alpha[n])
+    return used
+
+
+@pytest.mark.parametrize("block", [7, 100, 4096])
+@pytest.mark.parametrize("text", ["lattice", "汉字每行不分词", "aGVsbG8gd29ybGQ"])
+def test_expected_uses_do_not_depend_on_length(monkeypatch, text, block):
+    monkeypatch.setattr(_lattice, "_BLOCK", block)
+    pieces, ranks = load_pieces(VOCABULARY)
+    lattice = Lattice(pieces)
+    logp = rank_scores(ranks)
+    random.seed(3)
+    raw = "".join(random.choice(text) for _ in range(420)).lower().encode()
+    for size in (255, 256, 257, 400):
+        data = np.frombuffer(raw[:size], np.uint8)
+        got = lattice.expected(data, np.array([0]), np.array([size]), np.array([3.0]), logp)
+        assert got == pytest.approx(3 * uses_by_plain_sums(b" " + raw[:size], pieces, logp))
+        assert got @ [len(p) for p in pieces] == pytest.approx(3 * (size + 1))
