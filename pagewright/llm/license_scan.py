@@ -1,7 +1,7 @@
 """Licence scans by canonical digest, in DataFrame functions only.
 
-A text is brought to a canonical form: lower case, without copyright lines,
-every run of punctuation or white space one space, equivalent spellings made
+A text is brought to a canonical form: lower case, without the lines that are
+copyright notices (wrapped sentences that go on with "copyright" stay), every run of punctuation or white space one space, equivalent spellings made
 one. The digest of the whole form is hash-joined to the digests of known licence
 texts; so is the digest of each whole line, which finds the notices that name a
 licence within other text. Only lines whose form is as long as some known form
@@ -21,13 +21,24 @@ from pyspark.sql import functions as F
 from pagewright.llm._session import cut, documents
 from pagewright.llm.license_texts import LICENSES, SPELLINGS
 
+#: The SQL's simpler rule: every line that starts so, wrapped sentences too.
 _COPYRIGHT = r"(^|\n)[^\p{L}\n©(]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Words that go on with a sentence after "copyright", where a notice would name its holder.
+_GO_ON = (
+    "holders? owners? notices? laws? and or nor interests? disclaimers? permissions? on licen[cs]es? licen[cs]ed treat(y|ies) statements? ownership of if doctrines? are is was "
+    "in to for acts? rights? protections? protected infringements? claims? patents? trademarks? terms polic(y|ies) information status works? materials? under from with which that as at "
+    "those also lines? owned headers? assignments? markings? legends? exceptions? restrictions? may shall must can will does do has have not but when where unless"
+).replace(" ", "|") + r"|the (software|library|program|work)"
+_HOLDER = rf"[\s&&[^\n]]*:?[\s&&[^\n]]*((held |owned )?by )?(?!({_GO_ON})(?![\p{{L}}\p{{N}}]))\p{{L}}"
+_MARKED = r"[^\p{L}\p{N}\n.;\u0022]*(\(c\)|©|[0-9]{4}|y{4}|year)"
+#: A line that is a notice: copyright followed by a mark, a year or a holder; a mark and a year; or all rights reserved alone.
+_NOTICE = rf"(^|\n)[^\p{{L}}\n©(]*(©|\(c\)[^\p{{L}}\n]*[0-9]{{4}}|(\(c\)[^\p{{L}}\n]*)?copyright(?![\p{{L}}\p{{N}}-])({_MARKED}|{_HOLDER})|all rights reserved[^\p{{L}}\p{{N}}\n]*(?=\n|$))[^\n]*"
 _GAPS = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, _COPYRIGHT, "\n")
+    out = F.regexp_replace(out, _NOTICE, "\n")
     out = F.concat(F.lit(" "), F.regexp_replace(out, _GAPS, " "), F.lit(" "))
     for spelling, meant in SPELLINGS:
         out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {meant} "))

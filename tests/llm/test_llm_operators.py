@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -114,6 +115,37 @@ def test_licences(spark, odd, none):
     assert license_scan.scan(odd, license_scan.builtin(spark).limit(0)).count() == len(ODD)
 
 
+def rewrapped(text, width):
+    """Paragraphs at another width; lines that are notices stay lines of their own."""
+    out = []
+    for block in re.split(r"\n\s*\n", text):
+        run = []
+        for line in [*block.split("\n"), None]:
+            if line is None or re.match(r"\s*copyright (\(c\)|\[)", line, re.IGNORECASE):
+                out += textwrap.wrap(" ".join(run), width, break_long_words=False, break_on_hyphens=False)
+                run = []
+                out += [line] if line is not None else []
+            else:
+                run.append(line)
+        out.append("")
+    return "\n".join(out)
+
+
+def test_licences_do_not_depend_on_wrapping(spark):
+    known = [(r["license"], r["text"]) for r in license_scan.builtin(spark).collect()]
+    rows = [(i, f"{head}{rewrapped(text, width)}", name) for i, ((name, text), width, head) in enumerate(itertools.product(known, (30, 47, 64, 72, 79, 100, 10**6), ("", "Copyright 2020 The X Authors\n\n")))]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, name string").repartition(8)
+    found = {r["doc_id"]: r["license"] for r in license_scan.scan(texts, license_scan.builtin(spark)).collect()}
+    assert [(name, text[:300]) for i, text, name in rows if found[i] != name] == []
+
+
+def test_only_notices_are_left_out(spark):
+    notices = ["Copyright (c) 2020 X", "  # Copyright 2020, X", "Copyright X Corp.", "COPYRIGHT: X", "Copyright by X", "Copyright The X Authors", "(C) 2020 X", "(c) Copyright 2020 X", "© X", "Copyright © X", "Copyright [yyyy] [name]", "Copyright <year> X", "All rights reserved.", " * all rights reserved"]
+    prose = ["copyright notice and this permission notice appear", "COPYRIGHT HOLDERS OR CONTRIBUTORS BE LIABLE", "Copyright License. Subject to", "copyright, patent, trademark", "copyrighted by X", "(c) You must retain", "all rights reserved by X stay", "copyright. Those who"]
+    rows = spark.createDataFrame([(x,) for x in notices + prose], "text string").select("text", license_scan.canonical(F.concat(F.lit("a\n"), F.col("text"), F.lit("\nb"))).alias("form"))
+    assert {r["text"] for r in rows.where("form = 'a b'").collect()} == set(notices)
+
+
 # 3 ---------------------------------------------------------------------------
 
 def test_mixing(spark, odd, none):
