@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm._session import cut, documents
-from pagewright.llm.license_texts import LICENSES, SPELLINGS
+from pagewright.llm.license_texts import LICENSES, SPELLINGS, all_known
 
 #: The SQL's simpler rule: every line that starts so, wrapped sentences too.
 _COPYRIGHT = r"(^|\n)[^\p{L}\n©(]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
@@ -28,17 +28,17 @@ _GO_ON = (
     "holders? owners? notices? laws? and or nor interests? disclaimers? permissions? on licen[cs]es? licen[cs]ed treat(y|ies) statements? ownership of if doctrines? are is was "
     "in to for acts? rights? protections? protected infringements? claims? patents? trademarks? terms polic(y|ies) information status works? materials? under from with which that as at "
     "those also lines? owned headers? assignments? markings? legends? exceptions? restrictions? may shall must can will does do has have not but when where unless"
-).replace(" ", "|") + r"|the (software|library|program|work)"
-_HOLDER = rf"[\s&&[^\n]]*:?[\s&&[^\n]]*((held |owned )?by )?(?!({_GO_ON})(?![\p{{L}}\p{{N}}]))\p{{L}}"
+).replace(" ", "|")
+#: A holder is written with a capital; the words above count where a text is all capitals.
+_HOLDER = rf"[\s&&[^\n]]*:?[\s&&[^\n]]*((held |owned )?by )?(?!the (software|library|program|work))(the )?(?!({_GO_ON})(?![\p{{L}}\p{{N}}]))(?-i:[\p{{Lu}}\p{{Lt}}\p{{Lo}}])"
 _MARKED = r"[^\p{L}\p{N}\n.;\u0022]*(\(c\)|©|[0-9]{4}|y{4}|year)"
 #: A line that is a notice: copyright followed by a mark, a year or a holder; a mark and a year; or all rights reserved alone.
-_NOTICE = rf"(^|\n)[^\p{{L}}\n©(]*(©|\(c\)[^\p{{L}}\n]*[0-9]{{4}}|(\(c\)[^\p{{L}}\n]*)?copyright(?![\p{{L}}\p{{N}}-])({_MARKED}|{_HOLDER})|all rights reserved[^\p{{L}}\p{{N}}\n]*(?=\n|$))[^\n]*"
+_NOTICE = rf"(?i)(^|\n)[^\p{{L}}\n©(]*(©|\(c\)[^\p{{L}}\n]*[0-9]{{4}}|(\(c\)[^\p{{L}}\n]*)?copyright(?![\p{{L}}\p{{N}}-])({_MARKED}|{_HOLDER})|all rights reserved[^\p{{L}}\p{{N}}\n]*(?=\n|$))[^\n]*"
 _GAPS = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, _NOTICE, "\n")
+    out = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _NOTICE, "\n"))
     out = F.concat(F.lit(" "), F.regexp_replace(out, _GAPS, " "), F.lit(" "))
     for spelling, meant in SPELLINGS:
         out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {meant} "))
@@ -71,7 +71,7 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
 
 
 def builtin(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LICENSES, "license string, text string")
+    return spark.createDataFrame(all_known(), "license string, text string")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,10 @@
 """Public licence texts and the one-line notices that name a licence."""
 
+from __future__ import annotations
+
+import re
+from importlib.resources import files
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -76,3 +81,49 @@ SPELLINGS = [
     ("copyright owner", "copyright holder"),
     ("https", "http"),
 ]
+
+#: Customary titles above the short texts of LICENSES.
+TITLES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "MIT": ["MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+}
+
+#: Whole texts as files of ``known``, and what may be missing before or after: (licence, file, starts, ends).
+_TERMS = "END OF TERMS AND CONDITIONS"
+WHOLE = [
+    ("Apache-2.0", "Apache-2.0", [], [_TERMS]),
+    ("Artistic-1.0-Perl", "Artistic", [], []),
+    ("BSD-3-Clause", "BSD", [], []),
+    ("CC0-1.0", "CC0-1.0", ["CC0 1.0 Universal"], []),
+    ("GFDL-1.2", "GFDL-1.2", [], []),
+    ("GFDL-1.3", "GFDL-1.3", [], []),
+    ("GPL-1.0", "GPL-1", [], [_TERMS]),
+    ("GPL-2.0", "GPL-2", [], [_TERMS]),
+    ("GPL-3.0", "GPL-3", [], [_TERMS]),
+    ("LGPL-2.0", "LGPL-2", [], [_TERMS]),
+    ("LGPL-2.1", "LGPL-2.1", [], [_TERMS]),
+    ("LGPL-3.0", "LGPL-3", [], []),
+    ("MPL-1.1", "MPL-1.1", [], []),
+    ("MPL-2.0", "MPL-2.0", [], ["Exhibit A - Source Code Form License Notice"]),
+]
+
+
+def all_known() -> list[tuple[str, str]]:
+    """LICENSES, their texts under customary titles, and the whole texts of the files."""
+    out = dict.fromkeys(LICENSES)
+    for name, text in LICENSES:
+        if "\n" in text and not text.startswith(name):
+            forms = [text, text.replace("and/or distribute", "and distribute")]
+            forms += [re.sub(r"(?m)^[0-9]\. ", "* ", form) for form in forms]
+            out |= dict.fromkeys((name, f"{title}{form}") for form in forms for title in ["", *(f"{t}\n\n" for t in TITLES[name])])
+    for name, file, starts, ends in WHOLE:
+        text = files("pagewright.llm").joinpath("known", f"{file}.txt").read_text("utf-8")
+        bodies = [text, *(text[text.index(x) :] for x in starts)]
+        out |= dict.fromkeys((name, x) for body in bodies for x in [body, *(body[: body.index(e)] for e in ends), *(body[: body.index(e) + len(e)] for e in ends if e == _TERMS)])
+        if file == "BSD":
+            out |= dict.fromkeys((name, f"{t}\n\n{form}") for t in TITLES[name] for form in (text, re.sub(r"(?m)^[0-9]\. ", "* ", text)))
+    return list(out)

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
 import textwrap
@@ -116,12 +117,12 @@ def test_licences(spark, odd, none):
 
 
 def rewrapped(text, width):
-    """Paragraphs at another width; lines that are notices stay lines of their own."""
+    """Paragraphs at another width; lines that hold a notice stay lines of their own."""
     out = []
     for block in re.split(r"\n\s*\n", text):
         run = []
         for line in [*block.split("\n"), None]:
-            if line is None or re.match(r"\s*copyright (\(c\)|\[)", line, re.IGNORECASE):
+            if line is None or re.search(r"copyright (\(c\)|\[)|all rights reserved", line, re.IGNORECASE):
                 out += textwrap.wrap(" ".join(run), width, break_long_words=False, break_on_hyphens=False)
                 run = []
                 out += [line] if line is not None else []
@@ -140,12 +141,25 @@ def test_licences_do_not_depend_on_wrapping(spark):
 
 
 def test_only_notices_are_left_out(spark):
-    notices = ["Copyright (c) 2020 X", "  # Copyright 2020, X", "Copyright X Corp.", "COPYRIGHT: X", "Copyright by X", "Copyright The X Authors", "(C) 2020 X", "(c) Copyright 2020 X", "© X", "Copyright © X", "Copyright [yyyy] [name]", "Copyright <year> X", "All rights reserved.", " * all rights reserved"]
-    prose = ["copyright notice and this permission notice appear", "COPYRIGHT HOLDERS OR CONTRIBUTORS BE LIABLE", "Copyright License. Subject to", "copyright, patent, trademark", "copyrighted by X", "(c) You must retain", "all rights reserved by X stay", "copyright. Those who"]
+    notices = ["Copyright (c) 2020 X", "  # Copyright 2020, X", "Copyright X Corp.", "COPYRIGHT: X", "Copyright by X", "Copyright The X Authors", "Copyright the X Authors", "(C) 2020 X", "(c) Copyright 2020 X", "© X", "Copyright © X", "Copyright [yyyy] [name]", "Copyright <year> X", "All rights reserved.", " * all rights reserved"]
+    prose = ["copyright notice and this permission notice appear", "COPYRIGHT HOLDERS OR CONTRIBUTORS BE LIABLE", "Copyright License. Subject to", "copyright, patent, trademark", "copyrighted by X", "copyright resulting from the compilation", "COPYRIGHT THE SOFTWARE", "(c) You must retain", "all rights reserved by X stay", "copyright. Those who"]
     rows = spark.createDataFrame([(x,) for x in notices + prose], "text string").select("text", license_scan.canonical(F.concat(F.lit("a\n"), F.col("text"), F.lit("\nb"))).alias("form"))
     assert {r["text"] for r in rows.where("form = 'a b'").collect()} == set(notices)
 
 
+def test_whole_texts_and_titles_are_known(spark):
+    body = {name: text for name, text in reversed(LICENSES) if "\n" in text}
+    titled = [("MIT", "The MIT License (MIT)"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("ISC", "ISC License"), ("Zlib", "zlib License"), ("0BSD", "BSD Zero Clause License")]
+    rows = [(name, f"{title}\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n{body[name]}") for name, title in titled]
+    folder = pathlib.Path(license_scan.__file__).parent / "known"
+    apache, gpl = (folder / "Apache-2.0.txt").read_text(), (folder / "GPL-3.txt").read_text()
+    rows += [(name, (folder / f"{file}.txt").read_text()) for name, file in [("GPL-2.0", "GPL-2"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3")]]
+    rows += [("Apache-2.0", apache), ("Apache-2.0", apache[: apache.index("APPENDIX")]), ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 X Inc.")), ("GPL-3.0", gpl), ("GPL-3.0", gpl[: gpl.index("END OF TERMS")])]
+    texts = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r["license"] for r in license_scan.scan(texts, license_scan.builtin(spark)).collect()}
+    assert [found[i] for i in range(len(rows))] == [name for name, _ in rows]
+
+
 # 3 ---------------------------------------------------------------------------
 
 def test_mixing(spark, odd, none):
