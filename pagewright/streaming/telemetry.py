@@ -47,9 +47,14 @@ def stale_replies(replies: DataFrame, *, forgets: bool = True) -> DataFrame:
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table file of a folder as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table of a folder, be it one file or a directory of part files, as a stream."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def settled(result: DataFrame, mode: str) -> DataFrame:

@@ -51,3 +51,11 @@ def test_partitions_do_not_matter(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[1]
+
+
+@pytest.mark.parametrize("name", ["stream_telemetry", "stream_stale_replies"])
+def test_streams_read_tables_of_many_files(spark, tmp_path, name):
+    spark.read.parquet(f"{FOLDER}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    one, many = (QUERIES[name](spark, folder) for folder in (FOLDER, str(tmp_path)))
+    wanted = rows_of(one.columns, map(tuple, one.collect()))
+    assert wanted and rows_of(many.columns, map(tuple, many.collect())) == wanted
