@@ -44,8 +44,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 _SPELLED = re.compile(r"\s*([A-Za-z0-9-]+)((?:\s*[\[(]dot[\])]\s*[A-Za-z0-9-]+)+)", re.IGNORECASE)
 _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+")
-_IBAN = re.compile(r"[\s:.]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
-_SSN = re.compile(r"[\s:#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
+#: Between a cue and its number: up to four link words, each after a few separators, and a few more separators.
+_APART = r"""[\s:;#.,=()\[\]"'*_–—-]{0,8}"""
+_LINKS = rf"(?:{_APART}(?i:numbers?|numero|número|nummer|num|nos?|nr|n[°º]|codes?|card|id|account|acct|is|was|are|of|for|the)(?![A-Za-z0-9])){{0,4}}{_APART}"
+_IBAN = re.compile(rf"{_LINKS}([A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})")
+_SSN = re.compile(rf"{_LINKS}([0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})(?![0-9])")
 
 
 def luhn(digits: str) -> bool:

@@ -353,6 +353,23 @@ def test_personal_data(spark, docs, odd, none):
     assert pii.find(odd).count() == len(ODD) and pii.find(none).count() == 0
 
 
+@pytest.mark.parametrize("cue", ["Social Security Number: ", "SSN no. ", "SSN is ", "ssn=", "SSN #", "social security no: ", "Social Security Number (SSN): ", "social security number is: ", '"ssn": "', "SSN - ", "SSN:    "])
+def test_words_between_cue_and_social_security_number(cue):
+    text = f"My {cue}123-45-6789, ok"
+    assert pii.masked(text, pii.spans(text)[1]) == f"My {cue}<SSN>, ok"
+
+
+@pytest.mark.parametrize("cue", ["IBAN number ", "IBAN no.: ", "IBAN is ", "IBAN code = ", "iban=", "IBAN (", '"iban": "', "IBAN - "])
+def test_words_between_cue_and_iban(cue):
+    text = f"My {cue}DE89 3704 0044 0532 0130 00, ok"
+    assert pii.masked(text, pii.spans(text)[1]) == f"My {cue}<IBAN>, ok"
+
+
+def test_other_words_after_a_cue_end_the_search():
+    for text in ["SSN form of 12 May, part 123-45-6789", "IBAN notes DE89370400440532013000", "SSN number 000-45-6789", "IBAN number DE88370400440532013000"]:
+        assert pii.spans(text)[1] == pii.spans(text)[0]
+
+
 # 9 ---------------------------------------------------------------------------
 
 def test_top_k(spark, monkeypatch):
