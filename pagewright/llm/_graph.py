@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm._session import cut
+from pagewright.llm._session import cut_pairs
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,25 +21,25 @@ def components(edges: DataFrame) -> DataFrame:
     combined before the shuffle, and joins may split a hot node. Rounds end in
     the shared checkpoint folder. Edges with a null end and loops link nothing.
     """
-    down = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    hangs = cut(down.groupBy("a").agg(F.min("b").alias("on")))
+    down = cut_pairs(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    hangs = cut_pairs(down.groupBy("a").agg(F.min("b").alias("on")))
     across = down.join(hangs, "a").where("b <> on").select(F.col("b").alias("a"), F.col("on").alias("b")).distinct()
     inner = hangs.join(down.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", F.col("on").alias("b"))
     core = across.unionByName(inner).distinct()
-    labels = _settle(cut(core.unionByName(core.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
+    labels = _settle(cut_pairs(core.unionByName(core.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
     leaves = hangs.join(labels.select(F.col("node").alias("a")), "a", "left_anti")
     settled = leaves.join(labels.select(F.col("node").alias("on"), "label"), "on", "left").select(F.col("a").alias("node"), F.coalesce("label", "on").alias("label"))
-    return cut(labels.unionByName(settled))
+    return cut_pairs(labels.unionByName(settled))
 
 
 def _settle(both: DataFrame) -> DataFrame:
     """Labels of a graph whose edges are there in both directions."""
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
+    labels = cut_pairs(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("ahead"))
-        moved = cut(step.join(ahead, "label", "left").select("node", "was", F.least("label", F.coalesce("ahead", "label")).alias("label")))
+        moved = cut_pairs(step.join(ahead, "label", "left").select("node", "was", F.least("label", F.coalesce("ahead", "label")).alias("label")))
         labels = moved.select("node", "label")
         if not moved.where("label <> was").head(1):
             return labels

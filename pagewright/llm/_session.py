@@ -32,6 +32,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers each that one task reads back.
+PAIRS_A_TASK = 1 << 17
+
+
+def cut_pairs(df: DataFrame) -> DataFrame:
+    """``cut`` for rows of a few numbers: read back in as many tasks as their count asks for.
+
+    Otherwise a handful of rows would go on as one small shuffle file for each
+    partition of the job before, at every step.
+    """
+    out = cut(df)
+    return out.coalesce(max(1, -(-out.count() // PAIRS_A_TASK)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -41,8 +55,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def not_remainder(column: str, modulus: int, remainder: int):
-    """True for rows whose crc32 of the id, written as text, leaves another remainder."""
-    return F.crc32(F.col(column).cast("string")) % modulus != remainder
+    """True for rows whose crc32 of the id, written as text (null: the empty text), leaves another remainder."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus != remainder
 
 
 def unit_hash(column: str, salt: str):

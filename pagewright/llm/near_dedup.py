@@ -15,12 +15,16 @@ out (prefix, position and bitmap filters lose no pair at the threshold). Every
 link is confirmed
 on the two full sets, so results are exact but for pairs that no band catches:
 at similarity 0.8 a pair is missed with probability (1 - 0.8**4)**25 < 2e-6.
+Sets hold 64-bit hashes: two shingles of a corpus of n distinct ones are taken
+for one with probability below n / 2**64 each, and sets are told apart by 128 bits.
 
 Defined results: a null or empty text, or one without a word, has no shingle,
 is linked with nothing and is its own component; a text of fewer words than a
 shingle is one shingle; rows that repeat an id count as one document with
 several texts; a row with a null id gets its class's component if it has one
-and else null, and is kept if it has no class mate. Extra columns are ignored.
+and else null, and is kept if it has no class mate; very long texts are used
+whole; an empty table gives an empty result. Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm._graph import components
-from pagewright.llm._session import cut, documents
+from pagewright.llm._session import cut, cut_pairs, documents
 from pagewright.llm._text import LOWER, Words, _U, buffers, chunks, mix
 
 ROWS, BANDS = 4, 25
@@ -156,21 +160,21 @@ def _prefixes(size: int, percent: int) -> Callable:
                     n.append(len(x)), out.append(len(x) - int(inside.sum())), pivot.append(len(y))
                     first.append(ranked[: len(x) - -(-percent * len(x) // 100) + 1].astype(np.int64))
                     maps[0].append(_bitmap(x[~inside])), maps[1].append(_bitmap(np.setdiff1d(y, x, assume_unique=True)))
-                numbers = [pa.array(c, pa.int64()) for c in (n, out, pivot)]
+                numbers = [pa.array(c, pa.int32()) for c in (n, out, pivot)]
                 lists = [pa.array(c, pa.list_(pa.int64())) for c in (*maps, first)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, *lists], ["a", "b", "n", "out", "pivot", "extra", "missing", "first"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *numbers, *lists], ["a", "b", "label", "n", "out", "pivot", "extra", "missing", "first"])
 
     return run
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with text_a and text_b."""
+    """Pairs (a, b and more) with text_a and text_b."""
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    return with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select(*pairs.columns, "text_a", "text_b")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    return cut(_with_texts(pairs, texts).mapInArrow(_verify(size, percent), "a long, b long").distinct())
+    return cut_pairs(_with_texts(pairs, texts).mapInArrow(_verify(size, percent), "a long, b long").distinct())
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -182,19 +186,22 @@ def _unjoined(tried: DataFrame, labels: DataFrame, texts: DataFrame, size: int,
     """Candidate pairs among members of a pivot's group that are in different components.
 
     Instead of all pairs of a group, only those that share a shingle early
-    enough in the ranking of both to be able to reach the threshold.
+    enough in the ranking of both to be able to reach the threshold. The texts
+    are read once, and a posting is a few numbers.
     """
     placed = _labelled(tried, labels)
     # Sums are cut before they are joined: a join of two plain shuffles is one that Spark can split where a key is hot.
     open_groups = placed.groupBy("b").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("b")
-    open_pairs = cut(placed.join(cut(open_groups), "b"))
-    firsts = _with_texts(open_pairs.select("a", "b"), texts).mapInArrow(_prefixes(size, percent), "a long, b long, n long, out long, pivot long, extra array<long>, missing array<long>, first array<long>")
-    rows = firsts.join(open_pairs, ["a", "b"]).select("a", "b", "n", "out", "pivot", "extra", "missing", "label", F.posexplode("first").alias("place", "shingle"))
+    open_pairs = cut_pairs(placed.join(cut_pairs(open_groups), "b").select("a", "b", "label"))
+    member = "a long, b long, label long, n int, out int, pivot int, extra array<long>, missing array<long>, first array<long>"
+    members = cut_pairs(_with_texts(open_pairs, texts).mapInArrow(_prefixes(size, percent), member))
+    maps = [F.get(c, F.lit(i)).alias(f"{c}{i}") for c in ("extra", "missing") for i in range(_BITS // 64)]
+    rows = members.select("a", "b", "label", "n", "out", "pivot", *maps, F.posexplode("first").alias("place", "shingle"))
     # A shingle that members of one component only have cannot join two.
     by_label = rows.groupBy("b", "shingle", "label").agg(F.count("*").alias("members"))
-    shared = by_label.groupBy("b", "shingle").agg(F.max_by("label", "members").alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    rows = cut(rows.join(cut(shared), ["b", "shingle"]))
-    one, two = (rows.select("b", "shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("a", "n", "out", "pivot", "extra", "missing", "label", "place")), *([F.col("main")] if x == "x" else [])) for x in "xy")
+    shared = by_label.groupBy("b", "shingle").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    rows = cut_pairs(rows.join(cut_pairs(shared), ["b", "shingle"]))
+    one, two = (rows.select("b", "shingle", *(F.col(c).alias(f"{c}_{x}") for c in rows.columns if c not in ("b", "shingle", "main")), *([F.col("main")] if x == "x" else [])) for x in "xy")
     one = one.where(F.col("label_x") != F.col("main"))  # of the largest component's members none meets another
     once = (F.col("label_y") == F.col("main")) | (F.col("a_x") > F.col("a_y"))
     # At most this many are shared if this is the first shared one: the rest of what lies outside the pivot, and inside it.
@@ -203,12 +210,12 @@ def _unjoined(tried: DataFrame, labels: DataFrame, texts: DataFrame, size: int,
     reach = F.least(left("x"), left("y")) + F.least(within("x"), within("y"))
     # And at most this many in any case.
     bits = lambda body: sum((F.bit_count(body(i)) for i in range(_BITS // 64)), F.lit(0))
-    both_miss = bits(lambda i: F.get("missing_x", F.lit(i)).bitwiseOR(F.get("missing_y", F.lit(i))))
-    own = lambda x, y: F.col(f"out_{x}") - bits(lambda i: F.get(f"extra_{x}", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"extra_{y}", F.lit(i)))))
+    both_miss = bits(lambda i: F.col(f"missing{i}_x").bitwiseOR(F.col(f"missing{i}_y")))
+    own = lambda x, y: F.col(f"out_{x}") - bits(lambda i: F.col(f"extra{i}_{x}").bitwiseAND(F.bitwise_not(F.col(f"extra{i}_{y}"))))
     bound = F.col("pivot_x") - both_miss + F.least(own("x", "y"), own("y", "x"))
     enough = (100 + percent) * F.least(reach, bound) >= percent * (F.col("n_x") + F.col("n_y"))
     pairs = one.join(two, ["b", "shingle"]).where(F.col("label_x") != F.col("label_y")).where(once & enough)
-    return cut(pairs.select(F.greatest("a_x", "a_y").alias("a"), F.least("a_x", "a_y").alias("b")).distinct())
+    return cut_pairs(pairs.select(F.greatest("a_x", "a_y").alias("a"), F.least("a_x", "a_y").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -219,7 +226,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     classes = cut(with_id.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     members = classes.select("rep", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").select("band", "pivot")
-    tried = cut(members.join(cut(buckets), "band").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
+    tried = cut_pairs(members.join(cut_pairs(buckets), "band").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
     ids = tried.select(F.col("a").alias("doc_id")).unionByName(tried.select(F.col("b").alias("doc_id"))).distinct()
     texts = cut(docs.join(ids, "doc_id", "left_semi"))  # only texts of candidates are carried on
     links = _links(tried, texts, shingle_words, percent)
