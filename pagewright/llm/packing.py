@@ -1,7 +1,10 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
-Documents are dealt into groups by a hash of their id, so many that a group
-holds a bounded number of tokens; each is packed alone. Pieces are taken from
+Documents longer than the longest length are cut into pieces. Pieces are dealt
+into groups by a hash, so many that a group holds a bounded number of tokens;
+each is packed alone. Equal rows are counted together first and dealt in lots of
+bounded tokens, so neither a repeated or missing id nor one very long document
+fills a group. Groups depend on the tokens alone. Pieces are taken from
 the longest down. A piece goes into the open bin that it fills best; where none
 has room, a bin of the length with the least cost per token is opened. Every
 permitted length is tried as the largest to open by choice, and the cheapest
@@ -25,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm._session import documents, partitions
+from pagewright.llm._session import cut, documents
 from pagewright.llm.mixing import n_words
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
-GROUP_TOKENS = 4_000_000
+GROUP_TOKENS = 1 << 20
 
 
 def cost(length: int) -> float:
@@ -91,11 +94,12 @@ def _pack(lengths: tuple[int, ...]) -> Callable:
 
     def run(table: pa.Table) -> pa.Table:
         group = table["grp"][0].as_py()
-        n = np.asarray(table["n"].combine_chunks())
+        n, first, last = (np.asarray(table[c].combine_chunks()) for c in ("n", "first", "last"))
         ids = np.asarray(table["doc_id"].fill_null(np.iinfo(np.int64).min))
-        pieces = -(-n // longest)
-        doc = np.repeat(np.arange(len(n)), pieces)
-        piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        held = last - first
+        doc = np.repeat(np.arange(len(n)), held)
+        item = np.arange(len(doc)) - np.repeat(np.cumsum(held) - held, held) + first[doc]
+        piece = item % -(-n[doc] // longest)  # of whichever of the equal rows
         size = np.minimum(n[doc] - piece * longest, longest)
         order = np.lexsort((piece, ids[doc], -size))
         doc, piece, size = doc[order], piece[order], size[order]
@@ -114,11 +118,16 @@ def _pack(lengths: tuple[int, ...]) -> Callable:
 
 def pack(docs: DataFrame, tokens: str, *, lengths: Sequence[int] = LENGTHS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """One row for each piece of each of ``docs`` (doc_id long, tokens): its bin and where it lies there."""
+    longest = max(lengths)
     n = (F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)) + 1).cast("long")
-    sized = docs.select("doc_id", n.alias("n"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    groups = max(partitions(docs.sparkSession), -(-total // group_tokens))
-    dealt = sized.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    rows = cut(docs.select("doc_id", n.alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("times")))
+    total = rows.agg(F.sum(F.col("n") * F.col("times"))).first()[0] or 0
+    groups = max(1, -(-int(total) // group_tokens))
+    # The pieces of equal rows, one row's after another's, in lots of about a quarter of a group.
+    lot = max(1, group_tokens // (4 * longest))
+    items = F.col("times") * F.ceil(F.col("n") / longest)
+    lots = rows.select("doc_id", "n", items.alias("items"), F.explode(F.sequence(F.lit(0).cast("long"), items - 1, F.lit(lot).cast("long"))).alias("first"))
+    dealt = lots.select("doc_id", "n", "first", F.least(F.col("first") + lot, "items").alias("last"), F.pmod(F.xxhash64("doc_id", "n", "first"), F.lit(groups)).alias("grp"))
     return dealt.groupBy("grp").applyInArrow(_pack(tuple(sorted(lengths))), _RESULT)
 
 
