@@ -3,33 +3,37 @@
 A dimension is a term, a row's non-zero integer component there a posting. For a
 block of queries and a batch of rows there is a dense array of scores; term by
 term, each query's weight is scattered with the term's postings into it. The
-best k of each query in a batch are found by partition selection, of equal
+best k of each query in a tile are found by partition selection, of equal
 scores those of smaller ids, and merged.
 
-Queries are taken in blocks of bounded size, all rows pass for each block, and
-only k results a query and partition are shuffled.
+Queries lie in blocks and rows in tiles, both of bounded size and dealt by hash;
+every block meets every tile in a group of its own. The driver holds neither,
+and the plan is the same for any number of queries. Each row is shuffled once a
+block of queries, and k results a query and tile.
 
 Defined results: a vector that is null or holds a null or non-finite component
 takes no part, neither does a row without an id; a shorter vector has no posting
 in the terms it lacks; an empty one scores 0; a row does not meet rows of its own
 id; a repeated query id is one query, the row with the smallest vector; repeated
-candidates are ranked each time. Components must stay under 2**31 in size after
-scaling, scores under 2**63. Extra columns are ignored.
+candidates are ranked each time; without queries or rows there is no result. A
+component of 2**53 or more in size after scaling is an error, as is a score that
+is no long. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm._session import cut
+from pagewright.llm._session import cut, partitions
 
 BLOCK_QUERIES = 1024
-_BATCH_ROWS = 4096
+TILE_ROWS = 1 << 16
+_LEAST_TILE = 1 << 10
 _CELLS = 1 << 21
 
 
@@ -37,7 +41,8 @@ def scaled(vectors: DataFrame, *, id_column: str = "vec_id", vector: str = "embe
     """(vec_id, terms array<long>) of the rows that take part."""
     x = F.col(vector)
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
-    whole = F.transform(x, lambda v: F.floor(v.cast("double") * scale))
+    sized = lambda v: F.when(F.abs(v) < 2.0**53, F.floor(v)).otherwise(F.raise_error(F.lit("a component is too large")).cast("long"))
+    whole = F.transform(x, lambda v: sized(v.cast("double") * scale))
     return vectors.where(x.isNotNull() & F.col(id_column).isNotNull()).where(finite).select(F.col(id_column).cast("long").alias("vec_id"), whole.alias("terms"))
 
 
@@ -51,9 +56,14 @@ def _matrix(lists: pa.Array) -> np.ndarray:
 
 
 def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Scores (queries x rows), built up term by term."""
-    scores = np.zeros((len(queries), len(rows)), np.int64)
-    for term in range(min(queries.shape[1], rows.shape[1])):
+    """Scores (queries x rows), built up term by term; Python's integers where they may not fit 64 bits."""
+    terms = min(queries.shape[1], rows.shape[1])
+    most = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+    fits = most(queries) * most(rows) * terms < 2**63
+    if not fits:
+        queries, rows = queries.astype(object), rows.astype(object)
+    scores = np.zeros((len(queries), len(rows)), np.int64 if fits else object)
+    for term in range(terms):
         having = np.flatnonzero(rows[:, term])
         asking = np.flatnonzero(queries[:, term])
         if not len(having) or not len(asking):
@@ -71,6 +81,9 @@ def select(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) ->
     out = []
     for score, may in zip(scores, allowed, strict=True):
         places = np.flatnonzero(may)
+        if score.dtype == object:
+            out.append(np.array(sorted(places, key=lambda p: (-score[p], ids[p]))[:k], np.int64))
+            continue
         if len(places) > k:
             own = score[places]
             least = np.partition(own, len(own) - k)[len(own) - k]
@@ -79,20 +92,22 @@ def select(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) ->
     return out
 
 
-def _search(query_ids: np.ndarray, queries: np.ndarray, k: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(k: int) -> Callable:
+    """One block of queries against one tile of rows (both vec_id, terms)."""
+
+    def run(block: pa.Table, tile: pa.Table) -> pa.Table:
+        query_ids, queries = np.asarray(block["vec_id"]), _matrix(block["terms"].combine_chunks())
         best: dict[int, list[tuple[int, int]]] = {}
-        step = max(1, min(_BATCH_ROWS, _CELLS // max(1, len(query_ids))))
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                ids, rows = np.asarray(part.column(0)), _matrix(part.column(1))
-                scores = accumulate(queries, rows)
-                for q, places in enumerate(select(scores, ids, ids[None, :] != query_ids[:, None], k)):
-                    found = [(-int(scores[q, p]), int(ids[p])) for p in places]
-                    best[q] = sorted(best.get(q, []) + found)[:k]
+        step = max(1, _CELLS // max(1, len(query_ids)))
+        for at in range(0, tile.num_rows if len(query_ids) else 0, step):
+            part = tile.slice(at, step)
+            ids, rows = np.asarray(part["vec_id"]), _matrix(part["terms"].combine_chunks())
+            scores = accumulate(queries, rows)
+            for q, places in enumerate(select(scores, ids, ids[None, :] != query_ids[:, None], k)):
+                found = [(-int(scores[q, p]), int(ids[p])) for p in places]
+                best[q] = sorted(best.get(q, []) + found)[:k]
         rows = [(int(query_ids[q]), i, -s) for q, found in best.items() for s, i in found]
-        yield pa.record_batch({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.int64())})
+        return pa.table({name: pa.array([r[i] for r in rows], pa.int64()) for i, name in enumerate(("query_id", "vec_id", "score"))})
 
     return run
 
@@ -101,12 +116,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``rows`` for each of ``queries`` (both vec_id, terms)."""
     queries = cut(queries.groupBy("vec_id").agg(F.min("terms").alias("terms")))
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    found = None
-    for block in range(blocks):
-        held = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()  # a bounded block
-        ids = np.asarray(held["vec_id"], np.int64)
-        part = rows.mapInArrow(_search(ids, _matrix(held["terms"].combine_chunks()), k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+    n = rows.count()
+    tiles = max(1, -(-n // TILE_ROWS), min(partitions(rows.sparkSession), n // _LEAST_TILE))
+    meet = lambda own, other, count: own.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    asked = meet(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "tile", tiles)
+    held = meet(rows.select("vec_id", "terms").withColumn("tile", F.pmod(F.xxhash64("vec_id", "terms"), F.lit(tiles)).cast("int")), "block", blocks)
+    found = asked.groupBy("block", "tile").cogroup(held.groupBy("block", "tile")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
