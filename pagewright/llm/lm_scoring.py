@@ -12,8 +12,12 @@ and scores each of its words once and answers every unit by position; the
 units then add up their documents. Nothing held by a task grows with the corpus.
 
 Defined results: a null or empty text has no word, only its end; a row with a
-null id is a training row or not by the empty text's crc32; repeated rows are
-scored, and counted, each time.
+null id is a training row or not by the empty text's crc32, and one whose
+``held_out`` is null is a training row; repeated rows are scored, and counted,
+each time; texts of equal words get equal scores; a very long text is a unit of
+its own, and a very long word is scored position by position with the same sums;
+an empty table gives an empty result. Extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -103,7 +107,7 @@ def _count(table: pa.Table) -> pa.Table:
 def _value(lattice: Lattice, logp: np.ndarray) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         spans, data, starts, ends, which, n = _bucket(table)
-        score = lattice.score(data, starts, ends, logp[:, None])[:, 0]
+        score = lattice.score(data, starts, ends, logp)
         place = table["place"][0].as_py()
         rows = [_rows(_VALUES, [place], unit, [pack(n[which[a:b]].astype(np.uint64), score[which[a:b]])]) for unit, a, b in spans]
         return pa.Table.from_batches(rows)
@@ -111,7 +115,7 @@ def _value(lattice: Lattice, logp: np.ndarray) -> Callable:
     return run
 
 
-_RESULT = "doc_id {}, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
+_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double, vocabulary_score double"
 
 
 def _add_up(table: pa.Table) -> pa.Table:
@@ -119,18 +123,20 @@ def _add_up(table: pa.Table) -> pa.Table:
     rows = sorted(zip(table["kind"].to_pylist(), table["place"].to_pylist(), table["blob"].to_pylist(), strict=True), key=lambda r: r[:2])
     answers = [unpack(blob) for kind, _, blob in rows if kind == _VALUES]
     n = np.concatenate([x[0] for x in answers]) if answers else np.empty(0, np.uint64)
-    score = np.concatenate([x[1] for x in answers]) if answers else np.empty(0)
+    score = np.concatenate([x[1] for x in answers]) if answers else np.empty((0, 2))
     ids, held, n_words, n_pairs, word, times = next(unpack(blob) for kind, _, blob in rows if kind == _TEXTS)
     docs = len(ids)
     doc = np.repeat(np.arange(docs), n_pairs)
     add = lambda value: np.bincount(doc, times * value[word], docs)
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(n_words + 1, pa.int64()), "n_known": pa.array(add(n > 0).astype(np.int64)), "base_sum": pa.array(add(np.log10(n + 1.0))), "score": pa.array(add(score) / _LN10)})
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(n_words + 1, pa.int64()), "n_known": pa.array(add(n > 0).astype(np.int64)), "base_sum": pa.array(add(np.log10(n + 1.0))), "score": pa.array(add(score[:, 0]) / _LN10), "vocabulary_score": pa.array(add(score[:, 1]) / _LN10)})
 
 
 def score_texts(docs: DataFrame, *, vocabulary: str = VOCABULARY, iterations: int = 3, prior: float = 0.01) -> DataFrame:
     """Score all texts of ``docs`` (doc_id long, held_out boolean, text), learning from rows not held out.
 
-    ``score``: the lattice model's log10 probability of the whole text.
+    ``score``: the lattice model's log10 probability of the whole text, with piece
+    scores re-estimated on the training words; ``vocabulary_score``: that with the
+    scores that the vocabulary's own order gives.
     ``base_score``: that of whole words and the end, add-one smoothed.
     """
     spark = docs.sparkSession
@@ -144,11 +150,13 @@ def score_texts(docs: DataFrame, *, vocabulary: str = VOCABULARY, iterations: in
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("distinct")).first()
     train_tokens, distinct = total["n"] + ends, total["distinct"] + (ends > 0)
     logp = fit(counts, lattice, 1, rank_scores(ranks), iterations=iterations, prior=prior, extra=np.array([ends]))[0]
-    values = words.applyInArrow(_value(lattice, logp[:-1]), _ROWS)
-    sums = values.unionByName(units.where(F.col("kind") == _TEXTS)).groupBy("unit").applyInArrow(_add_up, _RESULT.format("long"))
+    end = logp[-1]  # the share of ends is that of the training texts in both models
+    own = rank_scores(ranks) + np.log1p(-np.exp(end))
+    values = words.applyInArrow(_value(lattice, np.stack([logp[:-1], own], axis=1)), _ROWS)
+    sums = values.unionByName(units.where(F.col("kind") == _TEXTS)).groupBy("unit").applyInArrow(_add_up, _RESULT)
     known_end = int(ends > 0)
     base = F.col("base_sum") + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(train_tokens + distinct + 1)))
-    return sums.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + known_end).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.lit(float(logp[-1] / _LN10))).alias("score"))
+    return sums.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + known_end).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), *((F.col(c) + F.lit(float(end / _LN10))).alias(c) for c in ("score", "vocabulary_score")))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
