@@ -21,6 +21,8 @@ from pagewright.llm._text import _BASE, _BYTE, _U, _powers, mix
 _LONG = 256
 _BLOCK = 1 << 12
 _CELLS = 1 << 17
+#: So many models at once; more are scored one block after another.
+_MODELS = 32
 
 
 def load_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
@@ -163,7 +165,9 @@ class Lattice:
         out = np.zeros((len(starts), logp.shape[1]))
         for which, letters in self._groups(data, starts, ends):
             n, m = letters.shape
-            out[which] = self._forward(self._edges(letters), n, m, logp)[n]
+            edges = self._edges(letters)
+            for k in range(0, logp.shape[1], _MODELS):
+                out[which, k : k + _MODELS] = self._forward(edges, n, m, logp[:, k : k + _MODELS])[n]
         for w in np.flatnonzero(ends - starts >= _LONG):
             out[w] = self.score_one(b" " + data[starts[w] : ends[w]].tobytes(), logp)
         return out
