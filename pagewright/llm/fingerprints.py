@@ -11,9 +11,12 @@ that what a very long text needs at once is a segment and what is kept of it.
 
 Defined results: a null text is an empty one and has no fingerprint; a text
 shorter than ``K`` is one run, one with fewer runs than ``W`` one window. Two
-texts without fingerprints are alike to 1. Rows without an id take no part;
-rows that repeat an id follow one another in the order of their texts, and each
-one's next document is the row after it. Extra columns are ignored.
+texts without fingerprints are alike to 1. Rows without an id take no part in
+``compare_edited`` and so in the query, as they have no place in the order of
+ids. Rows that repeat an id follow one another in the order of their texts, and
+each one's next document is the row after it; equal rows are next to each other.
+An empty table gives an empty result; a single row is its own next. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -161,5 +164,5 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         digest(F.col("prints")).alias("fingerprint"), digest(F.col("edited_prints")).alias("edited_fingerprint"),
         likeness(F.col("prints"), F.col("edited_prints")).alias("near_edited"), likeness(F.col("prints"), F.col("next_prints")).alias("near_next"),
-        F.size("prints").cast("long").alias("n_prints"),
+        F.size("prints").cast("long").alias("n_prints"), F.hex(F.xxhash64(F.transform("prints", lambda v: v["pos"]))).alias("positions"),
     )
