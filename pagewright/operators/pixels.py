@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -66,8 +67,11 @@ def detector_input(rgb: np.ndarray, target: int = TARGET) -> tuple[np.ndarray, f
     return padded, new_w / w, new_h / h, wpad, hpad
 
 
-def blobs(mask: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ys, xs) of each 8-connected blob, top blobs first. Runs of a row are joined to those they touch above."""
+def blobs(mask: np.ndarray, corners: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ys, xs) of each blob, top blobs first, of pixels that touch by sides or, with ``corners``, by corners too.
+
+    Runs of a row are joined to those they touch above.
+    """
     up: list[int] = []
 
     def root(i: int) -> int:
@@ -85,7 +89,7 @@ def blobs(mask: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             up.append(i)
             runs.append((y, a, b))
             for a2, b2, j in above:
-                if a2 <= b and a <= b2:
+                if a2 < b + corners and a < b2 + corners:
                     up[max(root(i), root(j))] = min(root(i), root(j))
             here.append((a, b, i))
         above = here
@@ -135,29 +139,55 @@ def least_rectangle(points: np.ndarray) -> tuple[float, float, float, float, flo
 
 
 def oriented(a: float, b: float, angle: float) -> tuple[float, float, float, bool]:
-    vertical = (-30 <= angle <= 30 and b > a * ASPECT) or (abs(angle) >= 60 and a > b * ASPECT)
-    angle = angle + 180 if angle < -30 else angle
-    if not vertical and angle < 30:
-        a, b, angle = b, a, angle + 90
-    if vertical and angle >= 60:
-        a, b, angle = b, a, angle - 90
-    if not vertical and a > b:
-        a, b, angle = b, a, angle - 90
-    return a, b, angle, vertical
+    """(thickness, length, angle, vertical) of a rectangle; the rules are those of the column expression of this name."""
+    upright = abs(angle) <= 30 and b > a * ASPECT or abs(angle) >= 60 and a > b * ASPECT
+    turn = 180 if angle < -30 else 0
+    swaps = 0
+    for due, by in ((lambda t: not upright and t < 30, 90), (lambda t: upright and t >= 60, -90), (lambda t: not upright and (b, a)[swaps % 2 == 0] > (a, b)[swaps % 2 == 0], -90)):
+        if due(angle + turn):
+            turn, swaps = turn + by, swaps + 1
+    return (b, a, angle + turn, upright) if swaps % 2 else (a, b, angle + turn, upright)
+
+
+def borders(mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ys, xs of a border, ys, xs of all it encloses, itself included) of every blob and of every hole in one.
+
+    A hole's border is those pixels of its blob that touch it by a side. What
+    lies in a hole is enclosed by its border and by its blob's.
+    """
+    for ys, xs in blobs(mask):
+        top, left = ys.min() - 1, xs.min() - 1
+        own = np.zeros((np.ptp(ys) + 3, np.ptp(xs) + 3), bool)
+        own[ys - top, xs - left] = True
+        outside, *holes = sorted(blobs(~own, corners=False), key=lambda gap: (gap[0][0], gap[1][0]))
+        filled = np.ones(own.shape, bool)
+        filled[outside] = False
+        yield ys, xs, *(np.nonzero(filled)[0] + top, np.nonzero(filled)[1] + left)
+        for hole in holes:
+            gap = np.zeros(own.shape, bool)
+            gap[hole] = True
+            near = np.zeros(own.shape, bool)
+            near[1:] |= gap[:-1]
+            near[:-1] |= gap[1:]
+            near[:, 1:] |= gap[:, :-1]
+            near[:, :-1] |= gap[:, 1:]
+            edge, within = np.nonzero(near & own), np.nonzero(gap | near & own)
+            yield edge[0] + top, edge[1] + left, within[0] + top, within[1] + left
+
+
+def straight(ys: np.ndarray, xs: np.ndarray) -> bool:
+    """Whether pixels that hang together are one point or lie on one row, column or diagonal: two corners describe them."""
+    height, width = np.ptp(ys), np.ptp(xs)
+    return height == 0 or width == 0 or (height == width and len(ys) == height + 1)
 
 
 def regions(probability: np.ndarray, scale_x: float = 1.0, scale_y: float = 1.0, wpad: int = 0, hpad: int = 0) -> list[Region]:
-    """Boxes of a probability map in the coordinates of the original image."""
+    """Boxes of a probability map, of its blobs and their holes, in the coordinates of the original image."""
     out = []
-    for ys, xs in blobs(probability > BINARY):
-        if len(np.unique(xs)) * len(np.unique(ys)) <= 2:
+    for ys, xs, inner_ys, inner_xs in borders(probability > BINARY):
+        if straight(ys, xs):
             continue
-        top, left = ys.min(), xs.min()
-        filled = np.zeros((np.ptp(ys) + 1, np.ptp(xs) + 1), bool)
-        for y in np.unique(ys):  # with its holes
-            row = xs[ys == y]
-            filled[y - top, row.min() - left : row.max() - left + 1] = True
-        score = float(probability[top : top + filled.shape[0], left : left + filled.shape[1]][filled].mean())
+        score = float(probability[inner_ys, inner_xs].mean())
         if score < BOX:
             continue
         points = np.stack([(xs - wpad // 2) / scale_x, (ys - hpad // 2) / scale_y], axis=1)
@@ -170,6 +200,24 @@ def regions(probability: np.ndarray, scale_x: float = 1.0, scale_y: float = 1.0,
     return out
 
 
+def normalised(image: np.ndarray, mean: float | Sequence[float], norm: float | Sequence[float]) -> np.ndarray:
+    """Height x width x channel of bytes as the networks take them: less the mean, times the norm."""
+    return (image.astype(np.float32) - np.asarray(mean, np.float32)) * np.asarray(norm, np.float32)
+
+
+def line_input(patch: np.ndarray) -> np.ndarray:
+    """A line's patch as the recogniser takes it; one of another height is brought to it first."""
+    h, w = patch.shape[:2]
+    if h != PATCH_HEIGHT:
+        patch = bilinear(patch, max(1, w * PATCH_HEIGHT // h), PATCH_HEIGHT)
+    return normalised(patch, LINE_MEAN, LINE_NORM)
+
+
+def orientation_input(patch: np.ndarray) -> np.ndarray:
+    """A line's patch as the orientation classifier takes it."""
+    return normalised(orientation_patch(patch), LINE_MEAN, LINE_NORM)
+
+
 def crop(rgb: np.ndarray, region: Region, height: int = PATCH_HEIGHT) -> np.ndarray:
     """The region set upright, ``height`` high, read along its axis."""
     width = max(int(region.length * height / max(region.thickness, 1e-6)), 1)
