@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagewright.shared import shared_folder
+
 #: Fixed values, in seconds: how long a reply may take, and how long a worker may take to be ready.
 REPLY_SECONDS, READY_SECONDS = 120, 30
 
@@ -40,7 +43,11 @@ def mark_stale(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, f
 
 
 def stale_replies(replies: DataFrame, *, forgets: bool = True) -> DataFrame:
-    """A stream of (key, generation, event_id) with ``stale``; if it ``forgets``, a key's state goes when no reply comes in time."""
+    """A stream of (key, generation, event_id) with ``stale``.
+
+    State is one number a key. If it ``forgets``, a key's goes when no reply
+    comes in time; keys that are a fleet's workers, and so few, need not go.
+    """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if forgets else GroupStateTimeout.NoTimeout
     mark = mark_stale if forgets else lambda key, batches, state: mark_stale(key, batches, state, False)
     return replies.select("key", "generation", "event_id").groupBy("key").applyInPandasWithState(mark, REPLY, STATE, "append", timeout)
@@ -58,8 +65,22 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def settled(result: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives for all that is there now."""
-    name = f"settled_{uuid.uuid4().hex}"
-    run = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """What a stream gives for all that is there now, written in the shared folder and read back.
+
+    Each batch has a folder of its own, which a repeated batch writes anew; in
+    ``complete`` mode the last one's holds everything.
+    """
+    spark = result.sparkSession
+    base = posixpath.join(shared_folder(spark), f"settled-{uuid.uuid4().hex}")
+    last: list[int] = []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+        last[:] = [batch]
+
+    run = result.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return result.sparkSession.table(name)
+    if not last:
+        return spark.createDataFrame([], result.schema)
+    path = f"{base}/out/batch={last[0]}" if mode == "complete" else f"{base}/out"
+    return spark.read.schema(result.schema).parquet(path).select(result.columns)
