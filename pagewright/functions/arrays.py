@@ -20,8 +20,9 @@ def collapse(classes: Column, scores: Column, dictionary: Column, offset: int) -
     blank, 0; what remains is looked up at class minus ``offset``. The
     confidence is the mean score of the letters kept, 0 if none is.
     """
-    steps = F.transform(classes, lambda c, i: F.struct(c.alias("cls"), F.get(scores, i).alias("score"), F.coalesce(F.get(classes, i - 1), F.lit(0)).alias("before")))
-    kept = F.filter(steps, lambda s: (s["cls"] != s["before"]) & (s["cls"] > 0) & (s["cls"] - offset < F.size(dictionary)))
+    pairs = F.zip_with(classes, scores, lambda c, p: F.struct(c.alias("cls"), p.alias("score")))
+    before = lambda steps, i: F.coalesce(F.get(steps, i - 1)["cls"], F.lit(0))
+    kept = let(pairs, lambda steps: F.filter(steps, lambda s, i: (s["cls"] != before(steps, i)) & (s["cls"] > 0) & (s["cls"] - offset < F.size(dictionary))))
 
     def read(k: Column) -> Column:
         text = F.array_join(F.transform(k, lambda s: F.get(dictionary, s["cls"] - offset)), "")
@@ -47,5 +48,15 @@ def span_steps(left: Column, right: Column, scale: Column) -> Column:
     return F.struct(lo.alias("lo"), F.greatest(F.bround(right * scale).cast("int"), lo + 1).alias("hi"))
 
 
+def decode_spans(classes: Column, scores: Column, spans: Column, scale: Column, dictionary: Column, offset: int) -> Column:
+    """Of each pixel span (left, right) of a strip, what its time steps read: array<struct<text, confidence>>."""
+
+    def read(part: Column) -> Column:
+        own = lambda values: F.slice(values, part["lo"] + 1, part["hi"] - part["lo"])
+        return collapse(own(classes), own(scores), dictionary, offset)
+
+    return F.transform(F.transform(spans, lambda s: span_steps(s["left"], s["right"], scale)), read)
+
+
 def same_multiset(one: Column, two: Column) -> Column:
     return F.array_sort(one) == F.array_sort(two)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,14 +61,17 @@ def scripts(text: Column) -> Column:
     return F.array_compact(F.array(*named))
 
 
-#: Letters with a strong direction from right to left; what remains of the letters goes from left to right.
-_RTL = r"[\p{IsHebrew}\p{IsArabic}\p{IsSyriac}\p{IsThaana}\p{IsNko}‏&&[\p{L}‏]]"
-_LTR = r"[\p{L}\p{Nl}\p{Mc}&&[^\p{IsHebrew}\p{IsArabic}\p{IsSyriac}\p{IsThaana}\p{IsNko}]]"
+@cache
+def _letters_of(*classes: str) -> str:
+    """A pattern for one code point of these bidirectional classes."""
+    inside = np.array([unicodedata.bidirectional(chr(c)) in classes for c in range(0x110000)])
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False)).reshape(-1, 2)
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b - 1:x}}}" for a, b in edges.tolist()) + "]"
 
 
 def direction(text: Column) -> Column:
-    """ltr, rtl, neutral or mixed, by the text's strong letters."""
-    right, left = text.rlike(_RTL), text.rlike(_LTR)
+    """ltr, rtl, neutral or mixed, by the strong bidirectional classes of the text's code points."""
+    right, left = text.rlike(_letters_of("R", "AL")), text.rlike("[A-Za-z]") | text.rlike(_letters_of("L"))
     return F.when(right & left, "mixed").when(right, "rtl").when(left, "ltr").otherwise("neutral")
 
 
@@ -94,10 +99,11 @@ def language_base(language: Column) -> Column:
 def word_codes(words: Column, known: Column) -> Column:
     """Words as one string of one letter each, so that letter distance is word distance.
 
-    ``known``: the distinct words that both sides may hold; letters are private
-    ones beyond the surrogates, so that up to a million words have their own.
+    ``known``: the distinct words that both sides may hold. Letters are those
+    beyond the first plane, so 1,048,575 words have their own; more are an error.
     """
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xF0000), 8, "0")), "UTF-32")
+    code = lambda w: F.when(F.size(known) < 1 << 20, F.array_position(known, w) + 0xFFFF).otherwise(F.raise_error(F.lit("too many words")).cast("long"))
+    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(code(w)), 8, "0")), "UTF-32")
     return F.array_join(F.transform(words, letter), "")
 
 

@@ -108,12 +108,22 @@ def variant_pivot(rows: DataFrame, variant: str, engine: str, engines: Sequence[
     return rows.groupBy(variant).pivot(engine, list(engines)).agg(F.sum("char_distance") / F.greatest(F.sum("char_length"), F.lit(1)))
 
 
+PROBLEMS = ("listed", "duplicate", "missing", "extra", "variant")
+
+
 def case_parity(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Every id that is missing, extra, repeated or of another variant (both sides: id, variant)."""
-    seen = actual.groupBy("id").agg(F.count("*").alias("n"), F.min("variant").alias("got"))
-    both = expected.select("id", F.col("variant").alias("wanted"), F.lit(True).alias("known")).join(seen, "id", "full_outer")
-    problem = F.when(F.col("n").isNull(), "missing").when(F.col("known").isNull(), "extra").when(F.col("n") > 1, "duplicate").when(~F.col("wanted").eqNullSafe(F.col("got")), "variant")
-    return both.select("id", problem.alias("problem"), "wanted", "got").where("problem is not null")
+    """One row for each problem of an id: listed more than once, repeated, missing, extra, of another variant.
+
+    ``expected``: id, variant. ``actual``: id, variant, place; of rows that
+    repeat an id the last one's variant counts.
+    """
+    listed = expected.groupBy("id").agg(F.count("*").alias("times"), F.max("variant").alias("wanted"))
+    seen = actual.groupBy("id").agg(F.count("*").alias("n"), F.max_by("variant", "place").alias("got"))
+    both = listed.join(seen, "id", "full_outer")
+    times, n = F.col("times"), F.col("n")
+    tests = (times > 1, n > 1, n.isNull(), times.isNull(), times.isNotNull() & n.isNotNull() & ~F.col("wanted").eqNullSafe(F.col("got")))
+    found = F.array_compact(F.array(*(F.when(test, name) for name, test in zip(PROBLEMS, tests, strict=True))))
+    return both.select("id", F.explode(found).alias("problem"), "wanted", "got")
 
 
 def id_multiset_parity(expected: DataFrame, actual: DataFrame) -> DataFrame:

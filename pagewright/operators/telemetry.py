@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from pagewright.errors import Refused
 from pagewright.functions import arrays as ar
 
 #: Device kinds that count, in order of preference; software rasterisers do not.
@@ -43,10 +46,29 @@ def map_gain(before: Column, after: Column) -> Column:
     return ar.counter_delta(before, after)
 
 
+#: So many device indices are ranked together.
+_RANKED = 1 << 10
+
+
 def rank_devices(devices: DataFrame) -> DataFrame:
-    """Hardware devices (index, name, kind) by preference; rank 1 is the one to select."""
+    """Hardware devices (index, name, kind) by preference; rank 1 is the one to select.
+
+    Devices are ranked in runs of indices, after those of all runs before.
+    """
     known = F.create_map(*(F.lit(x) for pair in KIND_RANK.items() for x in pair))
-    return devices.where(F.col("kind").isin(*KIND_RANK)).withColumn("rank", F.row_number().over(Window.orderBy(F.element_at(known, F.col("kind")), "index")))
+    kept = devices.where(F.col("kind").isin(*KIND_RANK)).withColumn("_run", F.struct(F.element_at(known, F.col("kind")).alias("kind"), F.floor(F.col("index") / _RANKED).alias("at")))
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = kept.groupBy("_run").agg(F.count("*").alias("n")).select("_run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_run").orderBy("index"))
+    return kept.join(runs, "_run").withColumn("rank", (F.col("_before") + own).cast("int")).drop("_run", "_before")
+
+
+def selected_device(devices: DataFrame) -> Row:
+    """The device to run on; refused where only software rasterisers are left."""
+    best = rank_devices(devices).where("rank = 1").head(1)
+    if not best:
+        raise Refused("worker-unavailable", "no hardware device")
+    return best[0]
 
 
 def same_device(a: str, b: str) -> Column:
@@ -58,8 +80,37 @@ def same_device(a: str, b: str) -> Column:
 
 
 def matching_samples(samples: DataFrame, selected: DataFrame) -> DataFrame:
-    """Samples whose device is selected. Selected devices are few: one machine's."""
-    return samples.alias("s").join(selected.alias("d"), same_device("s", "d"), "left_semi")
+    """Samples whose device is selected, by the rule of ``same_device``: three searches, each by equal keys."""
+    s, d = samples.alias("s"), selected.alias("d")
+    has = lambda t, *names: reduce(Column.__and__, [F.col(f"{t}.{n}").isNotNull() for n in names])
+    out = lambda c: F.col(f"s.{c}").outer()
+    by_node = F.col("d.drm_node") == out("drm_node")
+    not_by_node = has("d", "drm_node") & out("drm_node").isNotNull()
+    pci = ("vendor_id", "device_id")
+    by_pci = (F.col("d.vendor_id") == out("vendor_id")) & (F.col("d.device_id") == out("device_id")) & ~not_by_node
+    not_by_pci = has("d", *pci) & out("vendor_id").isNotNull() & out("device_id").isNotNull()
+    by_name = (F.col("d.name") == out("name")) & ~not_by_node & ~not_by_pci
+    return s.where(d.where(by_node).exists() | d.where(by_pci).exists() | d.where(by_name).exists())
+
+
+def activity_observed(samples: DataFrame, selected: DataFrame, supported: bool) -> bool:
+    """Whether a supported proof saw a selected device at work."""
+    return supported and bool(matching_samples(samples, selected).where("value > 0").head(1))
+
+
+def proof_problems(proofs: DataFrame) -> DataFrame:
+    """Proofs (devices: array, supported, reason) that contradict themselves, with ``problem``."""
+    none = F.size(F.coalesce("devices", F.array())) == 0
+    said = F.coalesce("reason", F.lit("")) != ""
+    problem = F.when(none, "a proof needs a device").when(F.col("supported") & said, "a supported proof has no reason").when(~F.col("supported") & ~said, "an unsupported proof needs a reason")
+    return proofs.withColumn("problem", problem).where("problem is not null")
+
+
+def bracketed(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """What each counter gained from before a run to after it, with the device of the later snapshot (keys, metric, amount, device)."""
+    on = [*keys, "metric"]
+    gained = counter_gain(before.select(*on, "amount"), after.select(*on, "amount"), keys)
+    return gained.join(after.select(*on, "device"), on, "left")
 
 
 def ambiguous(selected: DataFrame, samples: DataFrame) -> DataFrame:

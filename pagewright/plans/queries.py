@@ -20,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 CHARSET = [chr(c) for c in (*range(48, 58), *range(65, 91), *range(97, 123))] + ["."]
+_SQL_LETTERS = "[" + ", ".join(f"'{c}'" for c in CHARSET) + "]"
+#: Vectors of so many neighbouring ids are one crop's time steps.
+STEPS = 256
 _SQL_SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -62,12 +65,13 @@ def script_sets(spark, sf_dir):
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES (-1, 'שלום'), (-2, 'a שלום'), (-3, '12 ..'), (-4, 'سلام')) v(doc_id, text))
+WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES (-1, 'שלום'), (-2, 'a שלום'), (-3, '12 ..'), (-4, 'سلام'), (-5, '०'), (-6, 'ⓐ'), (-7, '𞤀'), (-8, 'ࡀ'), (-9, '٠١')) v(doc_id, text))
 SELECT doc_id, CASE WHEN r AND l THEN 'mixed' WHEN r THEN 'rtl' WHEN l THEN 'ltr' ELSE 'neutral' END AS direction
-FROM (SELECT doc_id, regexp_matches(text, '[\x{590}-\x{7ff}]') AS r, regexp_matches(text, '[A-Za-z\x{c0}-\x{24f}]') AS l FROM t)
+FROM (SELECT doc_id, regexp_matches(text, '[\x{5be}\x{5d0}-\x{5f4}\x{608}\x{60b}\x{60d}\x{61b}-\x{64a}\x{6d0}-\x{6d5}\x{710}\x{712}-\x{72f}\x{840}-\x{858}\x{1e900}-\x{1e943}]') AS r,
+      regexp_matches(text, '[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{903}-\x{939}\x{966}-\x{96f}\x{249c}-\x{24e9}]') AS l FROM t)
 """)
 def text_direction(spark, sf_dir):
-    more = spark.createDataFrame([(-1, "שלום"), (-2, "a שלום"), (-3, "12 .."), (-4, "سلام")], "doc_id long, text string")
+    more = spark.createDataFrame([(-1, "שלום"), (-2, "a שלום"), (-3, "12 .."), (-4, "سلام"), (-5, "०"), (-6, "ⓐ"), (-7, "𞤀"), (-8, "ࡀ"), (-9, "٠١")], "doc_id long, text string")
     return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(more).select("doc_id", tx.direction(F.col("text")).alias("direction"))
 
 
@@ -103,19 +107,41 @@ def ctc_argmax(spark, sf_dir):
 def _ctc_sql(offset: int) -> str:
     letters = "[" + ", ".join(f"'{c}'" for c in ([""] if offset == 0 else []) + CHARSET) + "]"
     return f"""
-WITH s AS (SELECT label, vec_id, list_position(embedding, list_max(embedding)) - 1 AS c, CAST(list_max(embedding) AS DOUBLE) AS p FROM embeddings),
-p AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY label ORDER BY vec_id), 0) AS before FROM s)
-SELECT label, coalesce(string_agg({letters}[CAST(c - {offset} + 1 AS INTEGER)], '' ORDER BY vec_id) FILTER (WHERE c <> before AND c > 0), '') AS text,
+WITH s AS (SELECT label, vec_id // {STEPS} AS crop, vec_id, list_position(embedding, list_max(embedding)) - 1 AS c, CAST(list_max(embedding) AS DOUBLE) AS p FROM embeddings),
+p AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY label, crop ORDER BY vec_id), 0) AS before FROM s)
+SELECT label, crop, coalesce(string_agg({letters}[CAST(c - {offset} + 1 AS INTEGER)], '' ORDER BY vec_id) FILTER (WHERE c <> before AND c > 0), '') AS text,
        round(coalesce(avg(p) FILTER (WHERE c <> before AND c > 0), 0), 6) AS confidence
-FROM p GROUP BY label"""
+FROM p GROUP BY label, crop"""
+
+
+def _crops(spark, sf_dir) -> DataFrame:
+    """Crops of bounded length: a label's vectors of one run of ids are the time steps."""
+    steps = table(spark, sf_dir, "embeddings").select("label", F.floor(F.col("vec_id") / STEPS).alias("crop"), F.struct("vec_id", ar.best_class(F.col("embedding")).alias("cls"), F.array_max("embedding").alias("score")).alias("s"))
+    return steps.groupBy("label", "crop").agg(F.array_sort(F.collect_list("s")).alias("s"))
 
 
 def _ctc(spark, sf_dir, offset: int) -> DataFrame:
     letters = F.array(*map(F.lit, ([""] if offset == 0 else []) + CHARSET))
-    steps = table(spark, sf_dir, "embeddings").select("label", F.struct("vec_id", ar.best_class(F.col("embedding")).alias("cls"), F.array_max("embedding").alias("score")).alias("s"))
-    crops = steps.groupBy("label").agg(F.array_sort(F.collect_list("s")).alias("s"))  # the steps of one crop
+    crops = _crops(spark, sf_dir)
     read = ar.collapse(F.transform("s", lambda x: x["cls"]), F.transform("s", lambda x: x["score"]), letters, offset)
-    return crops.select("label", read.alias("r")).select("label", "r.text", F.round("r.confidence", 6).alias("confidence"))
+    return crops.select("label", "crop", read.alias("r")).select("label", "crop", "r.text", F.round("r.confidence", 6).alias("confidence"))
+
+
+@query(f"""
+WITH s AS (SELECT label, vec_id // {STEPS} AS crop, vec_id, list_position(embedding, list_max(embedding)) - 1 AS c, CAST(list_max(embedding) AS DOUBLE) AS p FROM embeddings),
+n AS (SELECT *, row_number() OVER (PARTITION BY label, crop ORDER BY vec_id) - 1 AS t FROM s),
+spans AS (SELECT *, generate_series AS i, 40 * generate_series AS l, 40 * generate_series + 28 AS r FROM generate_series(0, 3)),
+w AS (SELECT i, CAST(round_even(l * 0.125, 0) AS BIGINT) AS lo, greatest(CAST(round_even(r * 0.125, 0) AS BIGINT), CAST(round_even(l * 0.125, 0) AS BIGINT) + 1) AS hi FROM spans),
+p AS (SELECT label, crop, i, t, c, p, coalesce(lag(c) OVER (PARTITION BY label, crop, i ORDER BY t), 0) AS before FROM n JOIN w ON t >= lo AND t < hi),
+k AS (SELECT label, crop, i, string_agg({_SQL_LETTERS}[CAST(c AS INTEGER)], '' ORDER BY t) AS text, avg(p) AS confidence FROM p WHERE c <> before AND c > 0 GROUP BY ALL)
+SELECT g.label, g.crop, CAST(w.i AS INTEGER) AS span, coalesce(k.text, '') AS text, round(coalesce(k.confidence, 0), 6) AS confidence
+FROM (SELECT DISTINCT label, crop FROM s) g CROSS JOIN w LEFT JOIN k ON g.label = k.label AND g.crop = k.crop AND w.i = k.i""")
+def decode_spans(spark, sf_dir):
+    """Four crops that stand side by side in each strip, read apart."""
+    spans = F.array(*(F.struct(F.lit(40 * i).alias("left"), F.lit(40 * i + 28).alias("right")) for i in range(4)))
+    read = ar.decode_spans(F.transform("s", lambda x: x["cls"]), F.transform("s", lambda x: x["score"]), spans, F.lit(0.125), F.array(*map(F.lit, CHARSET)), 1)
+    rows = _crops(spark, sf_dir).select("label", "crop", F.posexplode(read).alias("span", "r"))
+    return rows.select("label", "crop", "span", "r.text", F.round("r.confidence", 6).alias("confidence"))
 
 
 @query(_ctc_sql(1))
@@ -373,25 +399,32 @@ def _parity(spark, sf_dir):
     wanted = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("variant"))
     labels = table(spark, sf_dir, "labels")
     got = labels.select((F.col("doc_id") + F.when(F.col("doc_id") % 10 == 0, 100000000).otherwise(0)).alias("id"), F.when(F.col("quality") == 1, "en").otherwise("fr").alias("variant"))
-    return wanted, got.unionByName(got.where("id % 9 = 0"))
+    again = got.where("id % 9 = 0").withColumn("variant", F.when(F.col("id") % 2 == 0, F.lit("de")).otherwise(F.col("variant")))
+    return wanted.unionByName(wanted.where("id % 50 = 0")), got.withColumn("place", F.lit(1)).unionByName(again.withColumn("place", F.lit(2)))
 
 
 @query("""
 WITH e AS (SELECT doc_id AS id, lang AS variant FROM documents),
 g0 AS (SELECT doc_id + CASE WHEN doc_id % 10 = 0 THEN 100000000 ELSE 0 END AS id, CASE WHEN quality = 1 THEN 'en' ELSE 'fr' END AS variant FROM labels),
-g AS (SELECT * FROM g0 UNION ALL SELECT * FROM g0 WHERE id % 9 = 0),
-s AS (SELECT id, count(*) AS n, min(variant) AS got FROM g GROUP BY id)
-SELECT coalesce(e.id, s.id) AS id, CASE WHEN s.id IS NULL THEN 'missing' WHEN e.id IS NULL THEN 'extra' WHEN n > 1 THEN 'duplicate' ELSE 'variant' END AS problem, e.variant AS wanted, s.got AS got
-FROM e FULL JOIN s ON e.id = s.id WHERE s.id IS NULL OR e.id IS NULL OR n > 1 OR e.variant IS DISTINCT FROM s.got""")
+g AS (SELECT id, variant, 1 AS place FROM g0 UNION ALL SELECT id, CASE WHEN id % 2 = 0 THEN 'de' ELSE variant END, 2 FROM g0 WHERE id % 9 = 0),
+last AS (SELECT id, variant FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY place DESC) = 1),
+p AS (
+  SELECT id, 'listed' AS problem FROM e WHERE id % 50 = 0
+  UNION ALL SELECT id, 'duplicate' FROM g GROUP BY id HAVING count(*) > 1
+  UNION ALL SELECT id, 'missing' FROM e WHERE id NOT IN (SELECT id FROM g)
+  UNION ALL SELECT DISTINCT id, 'extra' FROM g WHERE id NOT IN (SELECT id FROM e)
+  UNION ALL SELECT e.id, 'variant' FROM e JOIN last ON e.id = last.id WHERE e.variant <> last.variant)
+SELECT p.id, problem, e.variant AS wanted, last.variant AS got FROM p LEFT JOIN e ON p.id = e.id LEFT JOIN last ON p.id = last.id""")
 def case_parity(spark, sf_dir):
     return scoring.case_parity(*_parity(spark, sf_dir))
 
 
 @query("""
 WITH g0 AS (SELECT doc_id + CASE WHEN doc_id % 10 = 0 THEN 100000000 ELSE 0 END AS id FROM labels),
-g AS (SELECT id FROM g0 UNION ALL SELECT id FROM g0 WHERE id % 9 = 0)
-SELECT id, 'missing' AS side FROM (SELECT doc_id AS id FROM documents EXCEPT ALL SELECT id FROM g)
-UNION ALL SELECT id, 'extra' FROM (SELECT id FROM g EXCEPT ALL SELECT doc_id FROM documents)""")
+g AS (SELECT id FROM g0 UNION ALL SELECT id FROM g0 WHERE id % 9 = 0),
+e AS (SELECT doc_id AS id FROM documents UNION ALL SELECT doc_id FROM documents WHERE doc_id % 50 = 0)
+SELECT id, 'missing' AS side FROM (SELECT id FROM e EXCEPT ALL SELECT id FROM g)
+UNION ALL SELECT id, 'extra' FROM (SELECT id FROM g EXCEPT ALL SELECT id FROM e)""")
 def id_multiset_parity(spark, sf_dir):
     return scoring.id_multiset_parity(*_parity(spark, sf_dir))
 

@@ -1,8 +1,12 @@
 """Hand-made vectors of the engine's operators."""
 
 import itertools
+import random
+import time
+import unicodedata
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ from pagewright.functions import arrays as ar
 from pagewright.functions import geometry as geo
 from pagewright.functions import text as tx
 from pagewright.operators import catalog, layout, pixels, policy, scheduling, scoring, telemetry
+from pagewright.plans.queries import QUERIES
 from pagewright.plans.read_pages import recognise, recognise_page, rendered, wrapped
 from pagewright.sources import corpus, readers
 
@@ -147,15 +152,144 @@ def test_policy(spark, text, confidence, page, model, kept):
 def test_schedule():
     assert {d for d, *_ in scheduling.simulate({0: 1.0, 1: 10.0}, [300, 200, 100])} == {0}
     assert {d for d, *_ in scheduling.simulate({0: 1.0, 1: 1.2}, [300, 200, 100])} == {0, 1}
-    plan = scheduling.Schedule({0: 1.0}, [100])
-    assert plan.assign() == [(0, 0)]
-    plan.complete(0, 0, 400)
-    assert plan.costs == {0: 2.5}
-    with pytest.raises(ValueError, match="does not run"):
-        plan.complete(0, 0, 1)
+    # The first crop takes four times its price, so the device's price rises and the other one gets the rest.
+    assert scheduling.simulate({0: 1.0, 1: 1.2}, [100, 90, 80], {0: 4.0, 1: 1.2}) == [(1, 1, 0.0, 108.0), (1, 2, 108.0, 204.0), (0, 0, 0.0, 400.0)]
+    assert scheduling.simulate({0: 1.0}, []) == []
     for costs, widths in (({}, [1]), ({0: 0}, [1]), ({0: 1}, [0])):
-        with pytest.raises(ValueError, match="needs|positive"):
-            scheduling.Schedule(costs, widths)
+        with pytest.raises(ValueError, match="device|above zero"):
+            scheduling.simulate(costs, widths)
+
+
+def stepwise(costs, widths, speeds):
+    """The scheduling rules one at a time, on plain lists."""
+    left = sorted(range(len(widths)), key=lambda i: (-widths[i], i))
+    price, given, busy, out, now = dict(costs), dict.fromkeys(costs, 0.0), {}, [], 0.0
+    while left or busy:
+        least = min(price.values())
+        for d in sorted((d for d in costs if d not in busy), key=price.get):
+            if not left:
+                break
+            if price[d] <= 1.5 * least:
+                crop = left[0]
+            elif given[d] + price[d] * widths[left[-1]] <= least * sum(widths[i] for i in left):
+                crop = left[-1]
+            else:
+                continue
+            left.remove(crop)
+            given[d] += price[d] * widths[crop]
+            busy[d] = (now + speeds[d] * widths[crop], crop, now)
+        d = min(busy, key=lambda x: (busy[x][0], x))
+        now, crop, start = busy.pop(d)
+        out.append((d, crop, start, now))
+        price[d] = (price[d] + (now - start) / widths[crop]) / 2
+    return out
+
+
+def test_schedule_against_the_rules_one_at_a_time():
+    random.seed(6)
+    for _ in range(400):
+        costs = {d: random.choice([1.0, 1.3, 2.0, 3.5]) for d in range(random.randint(1, 4))}
+        speeds = {d: c * random.choice([1, 1, 2, 0.5]) for d, c in costs.items()}
+        widths = [random.randint(1, 300) for _ in range(random.randint(0, 25))]
+        assert scheduling.simulate(costs, widths, speeds) == stepwise(costs, widths, speeds)
+
+
+def test_schedule_query(spark):
+    pages = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").orderBy("l_linenumber", "l_partkey", "l_suppkey").collect():
+        pages.setdefault(r["l_orderkey"], []).append(int(r["l_quantity"] * 10))
+    found = {}
+    for r in QUERIES["schedule_sim"](spark, "/root/testdata/sf0.001").collect():
+        found.setdefault(r["page_id"], []).append((r["device"], r["crop"] - 1, r["start"], r["end"]))
+    costs = {0: 1.0, 1: 1.2, 2: 4.0}
+    assert found == {page: stepwise(costs, widths, costs) for page, widths in pages.items()}
+
+
+def test_completions_of_crops_not_given(spark):
+    rows = lambda *r: spark.createDataFrame(r, "page_id long, device int, crop long")
+    assert [tuple(r) for r in scheduling.unasked_completions(rows((1, 0, 5), (1, 1, 6)), rows((1, 0, 5), (1, 0, 6))).collect()] == [(1, 0, 6)]
+
+
+def test_direction_of_every_code_point(spark):
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    wanted = {"L": "ltr", "R": "rtl", "AL": "rtl"}
+    rows = spark.createDataFrame(pd.DataFrame({"c": points, "text": [chr(c) for c in points]}))
+    told = {r["c"]: r["d"] for r in rows.select("c", tx.direction(F.col("text")).alias("d")).where("d <> 'neutral'").collect()}
+    assert told == {c: wanted[b] for c in points if (b := unicodedata.bidirectional(chr(c))) in wanted}
+
+
+def test_words_beyond_a_plane_of_letters(spark):
+    words = F.transform(F.sequence(F.lit(1), F.lit(140_000)), lambda i: F.concat(F.lit("w"), i))
+    coded = spark.range(1).select(tx.word_codes(F.slice(words, 139_999, 2), words).alias("c")).first()["c"]
+    assert len(coded) == 2 and coded[0] != coded[1]
+    assert one(spark, tx.word_distance(F.split(F.lit("a b c d"), " "), F.split(F.lit("a x c"), " "))) == 2
+
+
+def test_long_crops_take_time_in_proportion(spark):
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(40_000)), lambda i: (i % 3).cast("int")).alias("c")).select("c", F.transform("c", lambda c: F.lit(1.0)).alias("p"))
+    began = time.perf_counter()
+    assert len(rows.select(ar.collapse(F.col("c"), F.col("p"), F.array(F.lit("a"), F.lit("b")), 1)["text"].alias("t")).first()["t"]) == 26_667
+    assert time.perf_counter() - began < 10
+
+
+def test_borders_and_holes():
+    u = np.zeros((30, 40))
+    u[5:25, 5:10] = u[5:25, 30:35] = u[20:25, 5:35] = 0.9
+    assert [round(r.score, 6) for r in pixels.regions(u)] == [0.9]
+    u[5:10, 5:35] = 0.9  # closed: the hole counts, and has a border of its own
+    inside = u[5:25, 5:35]
+    assert [round(r.score, 6) for r in pixels.regions(u)] == [round(float(inside.mean()), 6)]
+    full = np.full((30, 40), 0.9)
+    full[10, 10] = 0.1
+    found = pixels.regions(full, 0.3, 0.3)
+    assert len(found) == 2 and round(found[1].score, 6) == round((4 * 0.9 + 0.1) / 5, 6)
+    for line in ([(3, 3)], [(3, 3), (3, 4), (3, 5)], [(3, 3), (4, 4), (5, 5)], [(3, 5), (4, 4), (5, 3)]):
+        page = np.zeros((9, 9))
+        page[tuple(zip(*line, strict=True))] = 1
+        assert pixels.regions(page, 0.1, 0.1) == []
+    bent = np.zeros((9, 9))
+    bent[[3, 3, 4], [3, 4, 5]] = 1
+    assert len(pixels.regions(bent, 0.1, 0.1)) == 1
+
+
+def plain_enclosed(mask):
+    """Everything that cannot be reached from outside without crossing a pixel of the mask, by sides."""
+    h, w = mask.shape
+    seen, todo = set(), [(-1, -1)]
+    while todo:
+        y, x = todo.pop()
+        if (y, x) in seen or not (-1 <= y <= h and -1 <= x <= w) or (0 <= y < h and 0 <= x < w and mask[y, x]):
+            continue
+        seen.add((y, x))
+        todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+    return {(y, x) for y in range(h) for x in range(w)} - seen
+
+
+def test_borders_against_flooding():
+    random_ = np.random.default_rng(8)
+    for _ in range(60):
+        mask = random_.random((9, 11)) < random_.choice([0.3, 0.5, 0.7])
+        outer = [(ys, xs, fy, fx) for ys, xs, fy, fx in pixels.borders(mask)]
+        for ys, xs in pixels.blobs(mask):
+            own = np.zeros(mask.shape, bool)
+            own[ys, xs] = True
+            mine = next(b for b in outer if len(b[0]) == len(ys) and (b[0] == ys).all() and (b[1] == xs).all())
+            assert set(zip(mine[2].tolist(), mine[3].tolist(), strict=True)) == plain_enclosed(own)
+
+
+@pytest.mark.parametrize("angle", range(-90, 91, 5))
+def test_both_statements_of_the_turning_rules_agree(spark, angle):
+    sides = [(a, b) for a in (1.0, 5.0, 14.0, 30.0) for b in (1.0, 5.0, 14.0, 30.0)]
+    rows = spark.createDataFrame([(a, b, float(angle)) for a, b in sides], "a double, b double, angle double").select("*", geo.oriented(F.col("a"), F.col("b"), F.col("angle")).alias("o")).collect()
+    assert [tuple(r["o"]) for r in rows] == [pixels.oriented(r["a"], r["b"], r["angle"]) for r in rows]
+
+
+def test_tensors():
+    page = np.full((20, 30, 3), 255, np.uint8)
+    prepared = pixels.normalised(page, pixels.DET_MEAN, pixels.DET_NORM)
+    assert prepared[0, 0] == pytest.approx([(255 - m) * n for m, n in zip(pixels.DET_MEAN, pixels.DET_NORM, strict=True)])
+    assert pixels.line_input(page[:10]).shape == (48, 144, 3) and pixels.line_input(page).max() == pytest.approx(1)
+    assert pixels.orientation_input(page).shape == (80, 160, 3)
 
 
 def test_devices(spark):
@@ -180,8 +314,9 @@ def test_catalog(spark):
 
 def test_parity(spark):
     wanted = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "id string, variant string")
-    got = spark.createDataFrame([("a", "x"), ("a", "x"), ("c", "z"), ("d", "x")], "id string, variant string")
-    assert {(r["id"], r["problem"]) for r in scoring.case_parity(wanted, got).collect()} == {("a", "duplicate"), ("b", "missing"), ("c", "variant"), ("d", "extra")}
+    got = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("c", "z", 3), ("d", "x", 4), ("d", "x", 5), ("c", "y", 0), ("e", "q", 6), ("e", "x", 7)], "id string, variant string, place int")
+    wanted = wanted.unionByName(spark.createDataFrame([("e", "x"), ("e", "x")], wanted.schema))
+    assert {(r["id"], r["problem"]) for r in scoring.case_parity(wanted, got).collect()} == {("a", "duplicate"), ("b", "missing"), ("c", "duplicate"), ("c", "variant"), ("d", "extra"), ("d", "duplicate"), ("e", "listed"), ("e", "duplicate")}
 
 
 def test_pages_are_read_back(spark, tmp_path):
