@@ -13,6 +13,7 @@ from typing import Protocol
 import numpy as np
 
 from pagewright.errors import Refused
+from pagewright.operators.pixels import DET_MEAN, DET_NORM, LINE_MEAN, LINE_NORM, borders
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?'()-éèêàçüöäßñóíáú"
 DICTIONARY = [*LETTERS, " "]
@@ -20,6 +21,8 @@ ROWS, COLUMNS, PITCH = 7, 5, 6
 
 
 class InferenceBackend(Protocol):
+    """``detect`` and ``recognise`` get tensors less their mean, times their norm; ``orient`` a patch as it was cut."""
+
     def load(self) -> None: ...
     def detect(self, image: np.ndarray) -> np.ndarray: ...
     def orient(self, patch: np.ndarray) -> np.ndarray: ...
@@ -45,14 +48,18 @@ class TemplateBackend:
         self._templates = glyphs * 2 - 1
 
     def detect(self, image: np.ndarray) -> np.ndarray:
-        """Ink, spread sideways so that neighbouring letters touch."""
-        ink = image.min(axis=2) < 100
+        """Ink, spread sideways so that neighbouring letters touch, with what it encloses."""
+        image = image / np.array(DET_NORM, np.float32) + np.array(DET_MEAN, np.float32)
+        ink = image.min(axis=2) < 99.5
         reach = 3
         wide = ink.copy()
         for step in range(1, reach + 1):
             wide[:, step:] |= ink[:, :-step]
             wide[:, :-step] |= ink[:, step:]
-        return wide[None].astype(np.float32) * 0.9
+        solid = wide.copy()
+        for _, _, ys, xs in borders(wide):
+            solid[ys, xs] = True
+        return solid[None].astype(np.float32) * 0.9
 
     def _cells(self, patch: np.ndarray) -> np.ndarray | None:
         """Mean ink of each cell (letters x rows x columns), from -1 to 1, at the pitch that fits the glyphs best."""
@@ -84,7 +91,7 @@ class TemplateBackend:
 
     def recognise(self, patch: np.ndarray) -> np.ndarray:
         """Two steps a letter: its class, then the blank, class 0."""
-        cells = self._cells(patch)
+        cells = self._cells(np.rint(patch / LINE_NORM + LINE_MEAN))
         logits = np.zeros((1 if cells is None else 2 * len(cells), len(DICTIONARY) + 1))
         logits[:, 0] = 0.5
         if cells is not None:
@@ -128,9 +135,9 @@ def greedy(logits: np.ndarray, dictionary: list[str], offset: int = 1) -> tuple[
     """CTC decoding of a (steps x classes) array; a leading axis of one is dropped."""
     logits = logits[0] if logits.ndim == 3 and logits.shape[0] == 1 else logits
     if logits.ndim != 2 or logits.shape[0] < 1 or logits.shape[1] < 2:
-        raise Refused("recognition-output-invalid", f"logits have shape {logits.shape}")
+        raise Refused("recognition-output-invalid", f"{logits.shape} is not steps by classes")
     if logits.shape[1] != len(dictionary) + offset:
-        raise Refused("dictionary-mismatch", f"output has {logits.shape[1]} classes; the dictionary expects {len(dictionary) + offset}")
+        raise Refused("dictionary-mismatch", f"{logits.shape[1]} classes came; this dictionary expects {len(dictionary) + offset}")
     classes, scores = logits.argmax(axis=1), logits.max(axis=1)
     keep = (classes > 0) & (classes != np.concatenate([[0], classes[:-1]])) & (classes - offset < len(dictionary))
     kept = scores[keep]

@@ -5,44 +5,96 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values: (name, input blob, output blob, required precision).
+_V6, _V5 = "PaddleOCR-ncnn-CPP/models", "nihui-port/app/src/main/assets"
+# Fixed values: (name, graph, input blob, output blob, required precision).
 DETECTORS = [
-    ("v6-medium-det", "input", "output", None),
-    ("v6-small-det", "input", "output", None),
-    ("v6-tiny-det", "input", "output", None),
-    ("v5-mobile-det", "in0", "out0", None),
+    ("v6-medium-det", f"{_V6}/PP_OCRv6_medium_det.param", "input", "output", None),
+    ("v6-small-det", f"{_V6}/PP_OCRv6_small_det.param", "input", "output", None),
+    ("v6-tiny-det", f"{_V6}/PP_OCRv6_tiny_det.param", "input", "output", None),
+    ("v5-mobile-det", f"{_V5}/PP_OCRv5_mobile_det.ncnn.param", "in0", "out0", None),
 ]
-# Fixed values: (name, input blob, output blob, dictionary holds the blank, required precision).
+PACKAGED = "ppocrv5_keys.txt"
+# Fixed values: (name, graph, dictionary, input blob, output blob, dictionary holds the blank, required precision).
 RECOGNIZERS = [
-    ("v6-medium-rec", "input", "output", True, None),
-    ("v6-small-rec", "input", "output", True, None),
-    ("v6-tiny-rec", "input", "output", True, None),
-    ("v5-mobile-rec", "in0", "out0", False, None),
+    ("v6-medium-rec", f"{_V6}/PP_OCRv6_medium_rec.param", f"{_V6}/ppocr_keys_v6.txt", "input", "output", True, None),
+    ("v6-small-rec", f"{_V6}/PP_OCRv6_small_rec.param", f"{_V6}/ppocr_keys_v6.txt", "input", "output", True, None),
+    ("v6-tiny-rec", f"{_V6}/PP_OCRv6_tiny_rec.param", f"{_V6}/ppocr_keys_v6_tiny.txt", "input", "output", True, None),
+    ("v5-mobile-rec", f"{_V5}/PP_OCRv5_mobile_rec.ncnn.param", PACKAGED, "in0", "out0", False, None),
 ]
-# Fixed values: (profile, detector, recogniser, reads upside-down lines).
+_LINES = f"{_V6}/PP_LCNet_x0_25_textline_ori.param"
+# Fixed values: (profile, detector, recogniser, graph that tells upside-down lines).
 PROFILES = [
-    ("v6-medium", "v6-medium-det", "v6-medium-rec", True),
-    ("v6-small", "v6-small-det", "v6-small-rec", True),
-    ("v6-tiny", "v6-tiny-det", "v6-tiny-rec", True),
-    ("v5-mobile", "v5-mobile-det", "v5-mobile-rec", False),
+    ("v6-medium", "v6-medium-det", "v6-medium-rec", _LINES),
+    ("v6-small", "v6-small-det", "v6-small-rec", _LINES),
+    ("v6-tiny", "v6-tiny-det", "v6-tiny-rec", _LINES),
+    ("v5-mobile", "v5-mobile-det", "v5-mobile-rec", None),
 ]
+# Fixed values: (port, detector, recogniser) whose facts hold for files of that port that lie elsewhere.
+PORTS = [("avafly-v6", "v6-medium-det", "v6-medium-rec"), ("nihui-v5", "v5-mobile-det", "v5-mobile-rec")]
+#: The session's setting for the folder of the graphs, and where they are taken to be without it.
+ROOT_SETTING, DEFAULT_ROOT = "spark.pagewright.models.root", "models"
 DEFAULT_PROFILE = "v6-medium"
-# Flags of a precision: packing, storage, arithmetic for fp16, then for int8, then two switches always on.
-PRECISION = {"fp32": (False,) * 3 + (False,) * 3, "fp16": (True,) * 3 + (False,) * 3, "int8": (False,) * 3 + (True,) * 3}
-FLAGS = ("fp16_packed", "fp16_storage", "fp16_arithmetic", "int8_packed", "int8_storage", "int8_arithmetic")
+# The flags of each precision.
+FLAGS = ("accelerated", "fp16_packed", "fp16_storage", "fp16_arithmetic", "int8_inference", "int8_packed", "int8_storage", "int8_arithmetic")
+PRECISION = {
+    "fp32": (True, False, False, False, True, True, True, False),
+    "fp16": (True, True, True, True, True, True, True, False),
+    "int8": (True, False, False, False, True, True, True, True),
+}
 
 
 def ctc_offset(includes_blank: Column) -> Column:
     return F.when(includes_blank, 0).otherwise(1)
 
 
+def _parts(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    det = spark.createDataFrame(DETECTORS, "detector string, det string, det_in string, det_out string, det_precision string")
+    rec = spark.createDataFrame(RECOGNIZERS, "recognizer string, rec string, dictionary string, own_in string, own_out string, includes_blank boolean, rec_precision string")
+    return det, rec
+
+
+def _with_facts(pairs: DataFrame) -> DataFrame:
+    """Pairs of a detector and a recogniser with both's facts; a recogniser without blobs of its own uses the detector's."""
+    det, rec = _parts(pairs.sparkSession)
+    required = F.array_distinct(F.array_compact(F.array("det_precision", "rec_precision")))
+    both = pairs.join(det, "detector").join(rec, "recognizer").withColumn("rec_in", F.coalesce("own_in", "det_in")).withColumn("rec_out", F.coalesce("own_out", "det_out")).drop("own_in", "own_out")
+    return both.withColumn("ctc_offset", ctc_offset(F.col("includes_blank"))).withColumn("required_precision", required)
+
+
 def profiles(spark: SparkSession) -> DataFrame:
     """One row a profile with its detector's and recogniser's facts."""
-    det = spark.createDataFrame(DETECTORS, "detector string, det_in string, det_out string, det_precision string")
-    rec = spark.createDataFrame(RECOGNIZERS, "recognizer string, rec_in string, rec_out string, includes_blank boolean, rec_precision string")
-    own = spark.createDataFrame(PROFILES, "profile string, detector string, recognizer string, orients boolean")
-    required = F.array_distinct(F.array_compact(F.array("det_precision", "rec_precision")))
-    return own.join(det, "detector").join(rec, "recognizer").withColumn("ctc_offset", ctc_offset(F.col("includes_blank"))).withColumn("required_precision", required)
+    own = spark.createDataFrame(PROFILES, "profile string, detector string, recognizer string, ori string")
+    return _with_facts(own).withColumn("orients", F.col("ori").isNotNull())
+
+
+def models_root(spark: SparkSession, root: str | None = None) -> str:
+    """The folder given, or that of the session's setting, or the default."""
+    return root or (spark.conf.get(ROOT_SETTING, None) or "").strip() or DEFAULT_ROOT
+
+
+def model_files(spark: SparkSession) -> DataFrame:
+    """(profile, det, ori, rec, dictionary): paths below the root of models; the packaged dictionary is by its name alone."""
+    return profiles(spark).select("profile", "det", "ori", "rec", "dictionary")
+
+
+def dictionary_path(name: Column, root: str, packaged: str) -> Column:
+    """Where a dictionary lies: the packaged one in its own folder, others beside the models."""
+    return F.when(name == PACKAGED, F.concat(F.lit(f"{packaged}/"), name)).otherwise(F.concat(F.lit(f"{root}/"), name))
+
+
+def for_ports(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` (files named by the caller) with the facts of the port that ``column`` names; ``error`` where there is none."""
+    facts = _with_facts(rows.sparkSession.createDataFrame(PORTS, "port string, detector string, recognizer string"))
+    facts = facts.select("port", "det_in", "det_out", "rec_in", "rec_out", "includes_blank", "ctc_offset", "required_precision")
+    found = rows.join(facts, rows[column] == facts["port"], "left")
+    known = ", ".join(sorted(p[0] for p in PORTS))
+    return found.withColumn("error", F.when(F.col("port").isNull(), F.concat(F.lit("unknown port "), F.col(column), F.lit(f"; known: {known}"))))
+
+
+def undeclared(overrides: DataFrame, declared: DataFrame) -> DataFrame:
+    """Ids (id, model) whose model is not the one their case declares."""
+    wanted = declared.select("id", F.col("model").alias("declared"))
+    return overrides.join(wanted, "id").where(~F.col("model").eqNullSafe(F.col("declared")))
 
 
 def resolve(rows: DataFrame, column: str) -> DataFrame:

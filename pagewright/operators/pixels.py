@@ -246,6 +246,13 @@ def orientation_patch(patch: np.ndarray) -> np.ndarray:
     return bilinear(patch, ORIENT_WIDTH, ORIENT_HEIGHT)
 
 
+def quarter_turned(page: np.ndarray, degrees: int) -> np.ndarray:
+    """A page turned clockwise by a multiple of 90 degrees."""
+    if degrees % 90:
+        raise ValueError(f"{degrees} is no multiple of 90")
+    return np.ascontiguousarray(np.rot90(page, -degrees // 90 % 4))
+
+
 def rotated(patch: np.ndarray, angle: int) -> np.ndarray:
     if angle == 0:
         return patch
@@ -256,9 +263,11 @@ def rotated(patch: np.ndarray, angle: int) -> np.ndarray:
 
 def packed(patches: list[np.ndarray], gap: int = 32) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Patches side by side with white between them, and where each lies."""
+    if not patches:
+        raise ValueError("a strip needs a patch")
     parts, spans, at = [], [], 0
     for patch in patches:
         spans.append((at, at + patch.shape[1]))
         parts += [patch, np.full((patch.shape[0], gap, 3), 255, np.uint8)]
         at += patch.shape[1] + gap
-    return np.concatenate(parts[:-1] or [np.empty((PATCH_HEIGHT, 0, 3), np.uint8)], axis=1), spans
+    return np.concatenate(parts[:-1], axis=1), spans

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.backends import DICTIONARY, InferenceBackend, TemplateBackend, greedy
-from pagewright.errors import Refused
+from pagewright.backends import DICTIONARY, InferenceBackend, TemplateBackend
+from pagewright.engine import Engine, chosen_nets, target_side
 from pagewright.functions import text as tx
 from pagewright.operators import layout, pixels, scoring
 from pagewright.sources.corpus import VARIANTS, render
@@ -20,45 +20,32 @@ REGION = "page_id long, region_id int, center_x double, center_y double, thickne
 
 def recognise_page(rgb: np.ndarray, backend: InferenceBackend, dictionary: list[str], offset: int = 1) -> list[tuple]:
     """(region, text, confidence) of each region of a page."""
-    if rgb.ndim != 3 or rgb.shape[2] != 3 or rgb.dtype != np.uint8 or not rgb.size:
-        raise Refused("image-invalid", f"shape {rgb.shape}, type {rgb.dtype}")
-    padded, scale_x, scale_y, wpad, hpad = pixels.detector_input(rgb)
-    output = backend.detect(padded)
-    if output.shape != (1, *padded.shape[:2]):
-        raise Refused("detection-output-invalid", f"shape {output.shape}")
-    out = []
-    for region in pixels.regions(output[0], scale_x, scale_y, wpad, hpad):
-        patch = pixels.crop(rgb, region)
-        if not patch.size:
-            continue
-        scores = backend.orient(patch)
-        patch = pixels.rotated(patch, (0, 180)[int(np.argmax(scores))])
-        out.append((region, *greedy(backend.recognise(patch), dictionary, offset)))
-    return out
-
-
-def recognise(pages: DataFrame, factory: Callable[[], InferenceBackend] = TemplateBackend, dictionary: list[str] = DICTIONARY) -> DataFrame:
-    """Recognised regions of pages (page_id, height, width, data: BGR by row); a page that fails is one row with ``error``."""
+    with Engine(lambda: backend, dictionary, offset=offset) as engine:
+        return engine.read(rgb)
+
+
+def recognise(pages: DataFrame, factory: Callable[[], InferenceBackend] = TemplateBackend, dictionary: list[str] = DICTIONARY, *, target: int = pixels.TARGET, nets: Sequence[str] | None = None) -> DataFrame:
+    """Recognised regions of pages (page_id, height, width, data: BGR by row); a page that fails is one row with ``error``.
+
+    What no page could be read with is refused before any task starts.
+    """
+    target, nets = target_side(target), chosen_nets(nets, True)
     names = [f.split()[0] for f in REGION.split(", ")]
     types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
     fields = [types[f.split()[1]] for f in REGION.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        backend = factory()
-        backend.load()
-        try:
+        with Engine(factory, dictionary, target=target, nets=nets) as engine:
             for batch in batches:
                 rows = []
                 for page, height, width, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     try:
                         rgb = np.frombuffer(data, np.uint8).reshape(height, width, 3)[..., ::-1]
-                        found = recognise_page(rgb, backend, dictionary)
+                        found = engine.read(rgb)
                         rows += [(page, i, r.center_x, r.center_y, r.thickness, r.length, r.angle, bool(r.vertical), text, confidence, r.score, None) for i, (r, text, confidence) in enumerate(found)]
                     except ValueError as refused:
                         rows.append((page, -1, *(None,) * 9, str(refused)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(fields)], names)
-        finally:
-            backend.close()
 
     return pages.select(F.col("page_id").cast("long"), "height", "width", "data").mapInArrow(run, REGION)
 

@@ -307,7 +307,9 @@ def test_devices(spark):
 def test_catalog(spark):
     facts = {r["profile"]: r for r in catalog.profiles(spark).collect()}
     assert len(facts) == 4 and facts["v5-mobile"]["ctc_offset"] == 1 and facts["v6-tiny"]["ctc_offset"] == 0
-    assert set(catalog.options("fp32").values()) == {False}
+    on = {p: {f for f, x in catalog.options(p).items() if x} for p in catalog.PRECISION}
+    always = {"accelerated", "int8_inference", "int8_packed", "int8_storage"}
+    assert on == {"fp32": always, "fp16": always | {"fp16_packed", "fp16_storage", "fp16_arithmetic"}, "int8": always | {"int8_arithmetic"}}
     with pytest.raises(ValueError, match="unknown precision"):
         catalog.options("fp8")
 
