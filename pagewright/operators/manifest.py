@@ -145,7 +145,7 @@ def case_problems(case: Column, engines: Mapping[str, Sequence[str]] = ENGINES)
 
 def validated(cases: DataFrame) -> DataFrame:
     """``cases`` (place, case: JSON) as they are, if all keep the rules and no id is listed twice; else refused with the first problem."""
-    broken = cases.select("place", F.element_at(case_problems(F.col("case")), 1).alias("problem")).where("problem is not null").orderBy("place").head(1)
+    broken = cases.select("place", F.get(case_problems(F.col("case")), F.lit(0)).alias("problem")).where("problem is not null").orderBy("place").head(1)
     if broken:
         raise ValueError(f"invalid manifest at cases.{broken[0]['place']}: {broken[0]['problem']}")
     if repeated_ids(cases.select(F.get_json_object("case", "$.id").alias("id"))).head(1):

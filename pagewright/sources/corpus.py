@@ -18,9 +18,12 @@ NOISE_SEED = 7
 SPACE = 3
 
 
-def render(lines: Sequence[str], unit: int = 3, pad: int = 12, leading: int = 6) -> np.ndarray:
-    """A white page with the lines in black, ``unit`` pixels a cell. Letters without a glyph are left out."""
-    lines = ["".join(c for c in line if c in LETTERS or c == " ") for line in lines]
+def render(lines: Sequence[str], unit: int = 3, pad: int = 12, leading: int = 6, *, letters: str | None = LETTERS, right_to_left: bool = False) -> np.ndarray:
+    """A white page with the lines in black, ``unit`` pixels a cell, from the left or the right.
+
+    Letters other than ``letters`` are left out; without such a list all are drawn.
+    """
+    lines = ["".join(c for c in line if letters is None or c in letters or c == " ") for line in lines]
     widest = max([len(x) + (SPACE - 1) * x.count(" ") for x in lines], default=0)
     pitch = (ROWS + leading) * unit
     page = np.full((2 * pad + max(1, len(lines)) * pitch, 2 * pad + max(1, widest) * PITCH * unit, 3), 255, np.uint8)
@@ -30,6 +33,8 @@ def render(lines: Sequence[str], unit: int = 3, pad: int = 12, leading: int = 6)
             at += SPACE if letter == " " else 1
             if letter != " ":
                 y, x = pad + row * pitch, pad + (at - 1) * PITCH * unit
+                if right_to_left:
+                    x = page.shape[1] - x - COLUMNS * unit
                 ink = np.kron(glyph(letter), np.ones((unit, unit), bool))
                 page[y : y + ROWS * unit, x : x + COLUMNS * unit][ink] = 0
     return page

@@ -38,9 +38,10 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def results(spark: SparkSession, pattern: str) -> DataFrame:
-    """Rows of all results documents with their engine, device and document."""
+    """Rows of all results documents with their engine, device and document, by the document's path, then their place in it."""
     documents = spark.read.schema(manifest.RESULTS_SCHEMA).option("multiLine", True).json(pattern)
-    return documents.select("engine", "device", F.input_file_name().alias("document"), F.inline("rows"))
+    rows = documents.select("engine", "device", F.col("_metadata.file_path").alias("document"), F.posexplode("rows").alias("place", "row"))
+    return rows.select("engine", "device", "document", "place", "row.*").orderBy("document", "place")
 
 
 def dictionary(spark: SparkSession, path: str) -> list[str]:
@@ -62,13 +63,36 @@ def counter_files(spark: SparkSession, path: str) -> DataFrame:
 def write_manifest(path: str, document: dict) -> None:
     if document.get("schema_version") != manifest.VERSION or not isinstance(document.get("cases"), list):
         raise ValueError("not a manifest")
-    if len({c["id"] for c in document["cases"]}) != len(document["cases"]):
-        raise ValueError("case ids repeat")
+    spark = SparkSession.active()
+    listed = [(i, json.dumps(case, ensure_ascii=False)) for i, case in enumerate(document["cases"])]
+    manifest.validated(spark.createDataFrame(listed, "place long, case string"))
     with open(path, "w", encoding="utf-8") as out:
         json.dump(document, out, ensure_ascii=False, indent=2)
 
 
-def write_results(rows: DataFrame, path: str) -> None:
-    """Results documents, one folder an engine."""
-    grouped = rows.groupBy("engine", "device").agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in ("engine", "device")])).alias("rows"))
-    grouped.write.partitionBy("engine").json(path)
+def write_results(rows: DataFrame, path: str, documents: int = 1) -> None:
+    """Results documents ({engine, device, rows}), so many for each engine, with their rows by id."""
+    others = [c for c in rows.columns if c not in ("engine", "device")]
+    part = F.pmod(F.xxhash64("id"), F.lit(documents))
+    grouped = rows.groupBy("engine", "device", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", *(c for c in others if c != "id")))).alias("rows"))
+    grouped.drop("part").write.option("ignoreNullFields", False).json(path)
+
+
+def hex_number(text: Column) -> Column:
+    """A number in hexadecimal digits, 0x before them or not; null for anything else."""
+    digits = F.regexp_extract(F.trim(text), r"^(?:0[xX])?([0-9a-fA-F]{1,15})$", 1)
+    return F.when(digits != "", F.conv(digits, 16, 10).cast("long"))
+
+
+def files_of(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, value) of the files of a pattern, in the order of paths; files that vanish are skipped."""
+    rows = spark.read.option("ignoreMissingFiles", True).option("wholetext", True).text(pattern)
+    return rows.select(F.regexp_replace("_metadata.file_path", "^file:(//)?", "").alias("path"), "value").orderBy("path")
+
+
+def busy_devices(spark: SparkSession, root: str = "/sys/class/drm") -> DataFrame:
+    """Devices with a busy counter (path, name, vendor_id, device_id, drm_node) below ``root``; the node is part of the path."""
+    beside = lambda name: files_of(spark, f"{root}/card*/device/{name}").select(F.regexp_extract("path", r"/([^/]+)/device/[^/]+$", 1).alias("node"), hex_number(F.col("value")).alias(f"{name}_id"))
+    counters = files_of(spark, f"{root}/card*/device/gpu_busy_percent").select("path", F.regexp_extract("path", r"/([^/]+)/device/[^/]+$", 1).alias("node"))
+    found = counters.join(beside("vendor"), "node", "left").join(beside("device"), "node", "left")
+    return found.select("path", F.col("node").alias("name"), "vendor_id", "device_id", F.col("node").alias("drm_node"))

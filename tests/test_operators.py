@@ -341,15 +341,26 @@ def test_pages_are_read_back(spark, tmp_path):
     assert rendered(spark.createDataFrame([(1, None)], "page_id long, text string")).count() == 1
 
 
+CASE = {
+    "id": "a", "script": "Latn", "language": "en-GB", "direction": "ltr", "lines": ["x"], "font": None, "palette": {"foreground": "#000000", "background": "#ffffff"}, "size": {"font_px": None, "width_px": 5, "height_px": 6},
+    "background_objects": [{"kind": "line", "bounds": [0, 1, 2, 3], "fill": "#123456"}], "content_label": "text", "known_false_readings": [], "recognition": {"pagewright": {"model": "m"}, "paddleocr": None, "tesseract": {"language": "eng"}},
+    "variant": "clean", "image": "a.png",
+}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "keys.txt").write_text("a\nb\n \n", encoding="utf-8")
     assert readers.dictionary(spark, str(tmp_path / "keys.txt")) == ["a", "b", " "]
     (tmp_path / "few.txt").write_text("a\n", encoding="utf-8")
     with pytest.raises(Refused, match="dictionary-invalid"):
         readers.dictionary(spark, str(tmp_path / "few.txt"))
-    case = {"id": "a", "script": "Latn", "language": "en", "direction": "ltr", "lines": ["x"], "variant": "clean", "image": "a.png"}
+    case = CASE | {"id": "a"}
     readers.write_manifest(str(tmp_path / "ground-truth.json"), {"schema_version": 4, "cases": [case]})
     assert readers.cases(spark, str(tmp_path)).first()["id"] == "a"
+    for broken, said in (([CASE, CASE], "repeat"), ([CASE | {"lines": ["x", ""]}], r"cases\.0: lines\.1"), ([CASE, {k: v for k, v in CASE.items() if k != "font"}], r"cases\.1: case: no font")):
+        with pytest.raises(ValueError, match=said):
+            readers.write_manifest(str(tmp_path / "x.json"), {"schema_version": 4, "cases": broken})
+    assert not (tmp_path / "x.json").exists()
     with pytest.raises(ValueError, match="not a manifest"):
         readers.write_manifest(str(tmp_path / "x.json"), {"schema_version": 3, "cases": []})
 
