@@ -146,3 +146,8 @@ def assemble(regions: DataFrame, accepted: Column | None = None) -> tuple[DataFr
     empty = F.coalesce("text", F.lit("")) == ""
     counts = regions.groupBy("page_id").agg(F.count_if(empty).alias("undecoded_regions"), F.count_if(~empty & ~kept).alias("filtered_regions"), F.count_if(~empty & kept).alias("kept_regions"))
     return reconstruct(reading_order(regions.where(~empty & kept), "region_id")), counts
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """(page_id, lines) of assembled lines."""
+    return lines.groupBy("page_id").agg(F.count("*").alias("lines"))

@@ -14,6 +14,9 @@ from pagewright.functions import arrays as ar
 KIND_RANK = {0: 0, 1: 1, 2: 2}
 IDENTITY = ("name", "vendor_id", "device_id", "drm_node")
 
+#: Fixed values, in seconds: how long a reply may take, and how long a worker may take to be ready.
+REPLY_SECONDS, READY_SECONDS = 120, 30
+
 # Reasons a proof is not supported.
 NO_COUNTER = "no counter of its kind"
 NO_MATCH = "no counter matches the selected device"
@@ -35,6 +38,20 @@ def parse_fdinfo(files: DataFrame) -> DataFrame:
     return rows.groupBy("driver", "client", "pdev", F.col("c.metric").alias("metric")).agg(F.max("c.amount").alias("amount"))
 
 
+def diagnostic_counters(files: DataFrame) -> DataFrame:
+    """(metric, amount) summed over all files (value: its text): engine and memory counters as they stand, no client told apart."""
+    pattern = r"(?m)^(drm-(?:engine|memory)-\w+):\s+(\d+)"
+    names = F.regexp_extract_all("value", F.lit(pattern), F.lit(1))
+    amounts = F.transform(F.regexp_extract_all("value", F.lit(pattern), F.lit(2)), lambda x: x.cast("long"))
+    return files.select(F.explode(F.arrays_zip(names.alias("metric"), amounts.alias("amount"))).alias("c")).groupBy("c.metric").agg(F.sum("c.amount").alias("amount"))
+
+
+def identity(devices: DataFrame) -> DataFrame:
+    """Devices of the runtime (index, name, vendor_id, device_id, as text or numbers) as telemetry knows them; what is no number is null."""
+    number = lambda c: F.expr(f"try_cast({c} AS long)")
+    return devices.select(F.col("index").alias("runtime_index"), "name", number("vendor_id").alias("vendor_id"), number("device_id").alias("device_id"), F.lit(None).cast("string").alias("drm_node"))
+
+
 def counter_gain(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """What every counter gained between two snapshots (keys, metric, amount), never below 0."""
     on = [*keys, "metric"]

@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagewright.operators.telemetry import REPLY_SECONDS
 from pagewright.shared import shared_folder
 
-#: Fixed values, in seconds: how long a reply may take, and how long a worker may take to be ready.
-REPLY_SECONDS, READY_SECONDS = 120, 30
 
 
 def windowed(samples: DataFrame, width: str = "1 hour", late: str = "10 minutes", *keys: str) -> DataFrame:
