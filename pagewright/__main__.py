@@ -26,25 +26,31 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("folder", help="a folder or pattern of images")
     parser.add_argument("--repeat", type=not_negative, default=0, help="read so many times more, and report the median time")
     parser.add_argument("--precision", choices=sorted(catalog.PRECISION), default="fp32")
+    parser.add_argument("--all-gpus", action="store_true", help="read on all executors; else one task at a time")
+    parser.add_argument("--models", choices=[p[0] for p in catalog.PROFILES], default=catalog.DEFAULT_PROFILE)
     own = parser.parse_args(argv)
     spark = SparkSession.builder.appName("pagewright").getOrCreate()
     ship(spark)
+    profile = catalog.profiles(spark).where(F.col("profile") == own.models).first()
     found = images(spark, own.folder)
+    found = found.repartition(spark.sparkContext.defaultParallelism) if own.all_gpus else found.coalesce(1)
+    if not found.head(1):
+        parser.error(f"no image in {own.folder}")
     lost = found.where("height < 1 or n_channels <> 3").count()
     # An image's name stands for it; its hash is the key of its page.
     pages = found.where("height > 0 and n_channels = 3").withColumn("page_id", F.xxhash64("origin"))
     times = []
     for _ in range(1 + own.repeat):
         began = time.perf_counter()
-        lines = read_pages(pages).join(pages.select("page_id", "origin"), "page_id").orderBy("origin", "center_y", "center_x").select("origin", "text", "confidence")
+        lines = read_pages(pages, nets=("det", "ori", "rec") if profile["orients"] else ("det", "rec")).join(pages.select("page_id", "origin"), "page_id").orderBy("origin", "center_y", "center_x").select("origin", "text", "confidence")
         rows = lines.toLocalIterator() if not own.repeat else lines.collect()
         if not times:
             for row in rows:
                 print(f"{row['origin']}\t{row['confidence']:.3f}\t{row['text']}")
         times.append(time.perf_counter() - began)
     print(f"{lost} unreadable; first read {times[0]:.2f} s" + (f", median of {own.repeat} more {sorted(times[1:])[own.repeat // 2]:.2f} s" if own.repeat else ""))
-    print("precision: " + ", ".join(f"{k}={v}" for k, v in catalog.options(own.precision).items()))
-    return 0
+    print(f"models: {profile['detector']}, {profile['recognizer']}; precision: " + ", ".join(f"{k}={v}" for k, v in catalog.options(own.precision).items()))
+    return 2 if lost else 0
 
 
 if __name__ == "__main__":
