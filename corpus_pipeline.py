@@ -2,7 +2,9 @@
 
 Every stage reads what its predecessor kept, as Parquet, and decides with one
 operator of the llm subpackage; all but the last return the columns of
-``documents``.
+``documents``, extra ones too, whatever their names. Stages give an empty result
+for an empty table, treat rows that repeat alike, use whole texts of any length,
+and decide ties as their operators do.
 """
 
 from __future__ import annotations
@@ -22,37 +24,48 @@ LEAST_SURE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language, by a model of those whose id is not held out."""
+    """Documents whose text has a language, by a model of those whose id is not held out.
+
+    Null, empty and letterless texts have none and go, as do those as likely in
+    another language as in the one told.
+    """
     model = language_id.train(docs.where(not_remainder("doc_id", language_id.MODULUS, language_id.HELD_OUT)))
-    plain = docs.withColumnsRenamed({c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns})
-    told = language_id.identify(plain, model)
-    kept = told.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SURE)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({f"_own_{c}": c for c in ("lang_pred", "score")}).select(*docs.columns)
+    told = language_id.identify(docs.select(F.struct("*").alias("row"), "text"), model, drop_text=True)
+    return told.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SURE)).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id; of rows that repeat an id, one.
+    """One document of each near-duplicate group, that of the smallest id.
 
-    Rows without an id cannot stand for a group and stay.
+    Of rows that repeat an id the one whose text (then whose row) has the least
+    hash stands for it. A row without an id is told by its text: it counts as one
+    of an id far below zero that its text fixes, so copies among such rows go too.
+    Null and empty texts are linked with nothing and stay.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return with_id.unionByName(docs.where("doc_id is null"))
+    text = F.col("row.text")
+    by_text = F.lit(-(2**63)) + F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 8)
+    keyed = docs.select(F.struct("*").alias("row")).select(F.coalesce("row.doc_id", by_text).alias("doc_id"), text.alias("text"), "row")
+    kept = near_dedup.near_duplicates(keyed).where("kept").select("doc_id").distinct()
+    one = keyed.groupBy("doc_id").agg(F.min_by("row", F.struct(F.xxhash64("text"), F.xxhash64("row"))).alias("row"))
+    return one.join(kept, "doc_id", "left_semi").select("row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts replaced by its kind."""
+    """All documents, with personal data in their texts replaced by its kind; null and empty texts as they are."""
     return pii.mask(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics have their target weights."""
-    measured = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "lang", mixing.topic(F.col("text")).alias("topic"), mixing.n_words(F.col("text")).alias("n_tokens"))
+    """A sample whose sources, languages and topics have their target weights.
+
+    Nulls in a dimension are a value of their own; equal ids get equal decisions.
+    """
+    measured = docs.select(F.struct("*").alias("row"), "doc_id", "source", "lang", mixing.topic(F.col("text")).alias("topic"), mixing.n_words(F.col("text")).alias("n_tokens"))
     return mixing.mix(measured, ["source", "lang", "topic"], "n_tokens").where("sampled").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's tokens lie in sequences of the permitted lengths."""
+    """Where each document's tokens lie in sequences of the permitted lengths; a null or empty text has an end only."""
     return packing.pack(docs.select("doc_id", mixing.n_words(F.col("text")).alias("n_tokens")), "n_tokens")
 
 
