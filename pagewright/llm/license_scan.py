@@ -1,8 +1,8 @@
 """Licence scans by canonical digest, in DataFrame functions only.
 
 A text is brought to a canonical form: lower case, without the lines that are
-copyright notices (wrapped sentences that go on with "copyright" stay), every run of punctuation or white space one space, equivalent spellings made
-one. The digest of the whole form is hash-joined to the digests of known licence
+copyright notices (wrapped sentences that go on with "copyright" stay), every run
+of punctuation or white space one space, equivalent spellings made one. The digest of the whole form is hash-joined to the digests of known licence
 texts; so is the digest of each whole line, which finds the notices that name a
 licence within other text. Only lines whose form is as long as some known form
 travel; the table of licences may have any size, as Spark chooses the join by it.
@@ -10,7 +10,10 @@ travel; the table of licences may have any size, as Spark chooses the join by it
 Defined results: a null or empty text, or one of copyright lines only, has the
 digest of the empty form and no licence; if several known texts have one
 canonical form the licence that sorts first counts; repeated rows give repeated
-results; rows with null ids are scanned like others. Extra columns are ignored.
+results; rows with null ids are scanned like others; very long texts are read
+whole, in one pass for the whole form and one for their lines; an empty table
+gives an empty result, an empty table of licences no licence. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

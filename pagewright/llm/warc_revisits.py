@@ -14,8 +14,10 @@ Defined results: a response at the very time of a revisit counts as earlier; of
 responses at one time the one with the largest id is the latest; a record whose
 URL or time is null is met by nothing (its status is ``missing``); repeated
 revisits give repeated rows; records of other kinds are ignored; a header list
-that is null is empty; names are compared in lower case and of a repeated name
-the last value counts. Extra columns are ignored.
+that is null is empty, and one of any length is used whole; names are compared in
+lower case and of a repeated name the last value counts; an empty table, or one
+without revisits, gives an empty result. Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
