@@ -289,18 +289,20 @@ def visual_components(spark, sf_dir):
 
 
 _TOKENS = r"""
-w AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(text, '[\n ]+', ' ', 'g'), ' ')) AS word, generate_subscripts(string_split(regexp_replace(text, '[\n ]+', ' ', 'g'), ' '), 1) AS n FROM conversations),
+n AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS row, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM conversations),
+w AS (SELECT conv_id, turn, line, unnest(string_split(regexp_replace(row, ' +', ' ', 'g'), ' ')) AS word, generate_subscripts(string_split(regexp_replace(row, ' +', ' ', 'g'), ' '), 1) AS n FROM n),
 k AS (SELECT *, length(word) AS len FROM w WHERE word <> ''),
-p AS (SELECT *, coalesce(sum(len + 1) OVER (PARTITION BY conv_id, turn ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM k)"""
+p AS (SELECT *, 100.0 * line AS y, coalesce(sum(len + 1) OVER (PARTITION BY conv_id, turn, line ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM k)"""
 
 
 def _token_regions(spark, sf_dir):
-    """The words of each turn as regions of one line, set in letters 10 wide and 20 high."""
-    words = F.filter(F.split("text", "[\n ]+"), lambda w: w != "")
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.posexplode(words).alias("n", "text"))
-    before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("page_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    length = F.length("text") * 10.0
-    return rows.select("page_id", (F.col("n") + 1).alias("region_id"), (before * 10.0 + length / 2).alias("center_x"), F.lit(50.0).alias("center_y"), F.lit(20.0).alias("thickness"), length.alias("length"), F.lit(90.0).alias("angle"), F.lit(False).alias("vertical"), "text", (F.length("text") % 10 / 10.0).alias("confidence"), F.lit(0.9).alias("box_score"))
+    """The words of each turn's lines as regions, line under line, set in letters 10 wide and 20 high."""
+    lines = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line", "row"))
+    rows = lines.select("page_id", "line", F.posexplode(F.filter(F.split("row", " +"), lambda w: w != "")).alias("n", "text"))
+    before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("page_id", "line").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    length, confidence = F.length("text") * 10.0, F.length("text") % 10 / 10.0
+    own = rows.select("page_id", "line", "n", (before * 10.0 + length / 2).alias("center_x"), (F.col("line") * 100.0 + 100).alias("center_y"), F.lit(20.0).alias("thickness"), length.alias("length"), F.lit(90.0).alias("angle"), F.lit(False).alias("vertical"), "text", confidence.alias("confidence"), F.lit(0.9).alias("box_score"))
+    return own.withColumn("region_id", F.row_number().over(Window.partitionBy("page_id").orderBy("line", "n"))).drop("line", "n")
 
 
 _NO_SPACE = r"""CASE WHEN regexp_matches(before, '[(\[{<«\p{Ps}\p{Pi}]$') OR regexp_matches(word, '^[)\]}>».,;:!?%\p{Pe}\p{Pf}]') THEN '' ELSE ' ' END"""
@@ -308,18 +310,18 @@ _NO_SPACE = r"""CASE WHEN regexp_matches(before, '[(\[{<«\p{Ps}\p{Pi}]$') OR re
 
 @query(rf"""
 WITH {_TOKENS},
-s AS (SELECT *, lag(word) OVER (PARTITION BY conv_id, turn ORDER BY n) AS before FROM p)
+s AS (SELECT *, lag(word) OVER (PARTITION BY conv_id, turn, line ORDER BY n) AS before FROM p)
 SELECT conv_id * 1000 + turn AS page_id, string_agg(CASE WHEN before IS NULL THEN word ELSE {_NO_SPACE} || word END, '' ORDER BY n) AS text, CAST(count(*) AS INTEGER) AS members
-FROM s GROUP BY conv_id, turn""")
+FROM s GROUP BY conv_id, turn, line""")
 def reconstruct_text(spark, sf_dir):
     return layout.reconstruct(_token_regions(spark, sf_dir)).select("page_id", "text", "members")
 
 
 @query(rf"""
 WITH {_TOKENS}
-SELECT conv_id * 1000 + turn AS page_id, round(min(pos * 10.0) + (max((pos + len) * 10.0) - min(pos * 10.0)) / 2, 4) AS center_x, 50.0::DOUBLE AS center_y, 20.0::DOUBLE AS thickness,
+SELECT conv_id * 1000 + turn AS page_id, round(min(pos * 10.0) + (max((pos + len) * 10.0) - min(pos * 10.0)) / 2, 4) AS center_x, CAST(min(y) AS DOUBLE) AS center_y, 20.0::DOUBLE AS thickness,
        round(CAST(max((pos + len) * 10.0) - min(pos * 10.0) AS DOUBLE), 4) AS length, round(CASE WHEN sum(len) > 0 THEN sum(len * (len % 10 / 10.0)) / sum(len) END, 6) AS confidence
-FROM p GROUP BY conv_id, turn""")
+FROM p GROUP BY conv_id, turn, line""")
 def merged_rectangles(spark, sf_dir):
     lines = layout.reconstruct(_token_regions(spark, sf_dir))
     return lines.select("page_id", F.round("center_x", 4).alias("center_x"), F.round("center_y", 4).alias("center_y"), F.round("thickness", 4).alias("thickness"), F.round("length", 4).alias("length"), F.round("confidence", 6).alias("confidence"))
