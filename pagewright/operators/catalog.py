@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,9 +49,22 @@ def ctc_offset(includes_blank: Column) -> Column:
     return F.when(includes_blank, 0).otherwise(1)
 
 
+#: What a session has added to the catalog, by the names of its tables.
+_added: dict[str, list[tuple]] = {"detectors": [], "recognizers": [], "profiles": []}
+
+
+def register(*, detectors: Sequence[tuple] = (), recognizers: Sequence[tuple] = (), profiles: Sequence[tuple] = ()) -> None:
+    """Adds rows, shaped like those above, to the catalog; a name that is taken is refused."""
+    for kind, known, rows in (("detectors", DETECTORS, detectors), ("recognizers", RECOGNIZERS, recognizers), ("profiles", PROFILES, profiles)):
+        for row in rows:
+            if row[0] in {x[0] for x in [*known, *_added[kind]]}:
+                raise ValueError(f"{row[0]!r} is already one of the {kind}")
+            _added[kind].append(row)
+
+
 def _parts(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    det = spark.createDataFrame(DETECTORS, "detector string, det string, det_in string, det_out string, det_precision string")
-    rec = spark.createDataFrame(RECOGNIZERS, "recognizer string, rec string, dictionary string, own_in string, own_out string, includes_blank boolean, rec_precision string")
+    det = spark.createDataFrame([*DETECTORS, *_added["detectors"]], "detector string, det string, det_in string, det_out string, det_precision string")
+    rec = spark.createDataFrame([*RECOGNIZERS, *_added["recognizers"]], "recognizer string, rec string, dictionary string, own_in string, own_out string, includes_blank boolean, rec_precision string")
     return det, rec
 
 
@@ -63,7 +78,7 @@ def _with_facts(pairs: DataFrame) -> DataFrame:
 
 def profiles(spark: SparkSession) -> DataFrame:
     """One row a profile with its detector's and recogniser's facts."""
-    own = spark.createDataFrame(PROFILES, "profile string, detector string, recognizer string, ori string")
+    own = spark.createDataFrame([*PROFILES, *_added["profiles"]], "profile string, detector string, recognizer string, ori string")
     return _with_facts(own).withColumn("orients", F.col("ori").isNotNull())
 
 
@@ -99,7 +114,7 @@ def undeclared(overrides: DataFrame, declared: DataFrame) -> DataFrame:
 
 def resolve(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with the facts of the profile that ``column`` names; ``error`` where there is none."""
-    known = ", ".join(sorted(p[0] for p in PROFILES))
+    known = ", ".join(sorted(p[0] for p in [*PROFILES, *_added["profiles"]]))
     facts = profiles(rows.sparkSession)
     found = rows.join(facts, rows[column] == facts["profile"], "left")
     return found.withColumn("error", F.when(F.col("profile").isNull(), F.concat(F.lit("unknown profile "), F.col(column), F.lit(f"; known: {known}"))))

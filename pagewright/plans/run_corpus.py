@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import tempfile
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagewright.backends import DICTIONARY, InferenceBackend, TemplateBackend
 from pagewright.engine import Engine
-from pagewright.operators import layout, manifest, scoring
+from pagewright.operators import layout, manifest, pixels, scoring
 from pagewright.shared import shared_folder
 from pagewright.sources import readers
 
@@ -94,3 +97,55 @@ def run_corpus(spark: SparkSession, folder: str, *, engine: str, device: str, se
 def progress(rows: DataFrame) -> DataFrame:
     """(id, line): a case's outcome in one line."""
     return rows.select("id", F.format_string("%-34s cer=%.3f wer=%.3f %7.1f ms", "id", "cer", "wer", "ms").alias("line"))
+
+
+def read_with(cases: DataFrame, command: Sequence[str]) -> DataFrame:
+    """(id, ms, error, observed_lines) of cases (id, image: PNG or JPEG bytes) by another program.
+
+    ``command`` gets the image's path as its last argument, in the place of
+    ``{}`` if it has one; what it prints, but for blank lines, is what it read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory() as scratch:  # for the program's input alone, in the task that runs it
+            for batch in batches:
+                for case, image in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    path = os.path.join(scratch, "page")
+                    with open(path, "wb") as out:
+                        out.write(image)
+                    line = [x.replace("{}", path) for x in command]
+                    began = time.perf_counter()
+                    done = subprocess.run(line if line != list(command) else [*line, path], capture_output=True, text=True)
+                    took = (time.perf_counter() - began) * 1000
+                    lines = [x for x in done.stdout.split("\n") if x.strip()] if not done.returncode else []
+                    error = f"exit {done.returncode}: {done.stderr.strip()[:200]}" if done.returncode else None
+                    yield pa.record_batch([pa.array([case], pa.string()), pa.array([took]), pa.array([error], pa.string()), pa.array([lines], pa.list_(pa.string()))], ["id", "ms", "error", "observed_lines"])
+
+    return cases.select("id", "image").mapInArrow(run, "id string, ms double, error string, observed_lines array<string>")
+
+
+def phases(pages: DataFrame, factory: Factory = stand_in, dictionary: list[str] = DICTIONARY) -> DataFrame:
+    """(page_id, phase, calls, ms) of pages (page_id, height, width, data): what finding, cutting, turning and reading took."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with Engine(lambda: factory(""), dictionary) as engine:
+            for batch in batches:
+                for page, height, width, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    image = np.frombuffer(data, np.uint8).reshape(height, width, 3)[..., ::-1]
+                    spent: dict[str, list[float]] = {}
+
+                    def clocked(phase: str, step: Callable, *values):
+                        began = time.perf_counter()
+                        try:
+                            return step(*values)
+                        finally:
+                            spent.setdefault(phase, []).append((time.perf_counter() - began) * 1000)  # noqa: B023
+
+                    for region in clocked("detect", engine.detect, image):
+                        patch = clocked("crop", pixels.crop, image, region)
+                        if patch.size:
+                            clocked("recognise", engine.logits, clocked("orient", engine.upright, patch)[0])
+                    names = list(spent)
+                    yield pa.record_batch([pa.array([page] * len(names), pa.int64()), pa.array(names), pa.array([len(spent[n]) for n in names], pa.int64()), pa.array([sum(spent[n]) for n in names])], ["page_id", "phase", "calls", "ms"])
+
+    return pages.select(F.col("page_id").cast("long"), "height", "width", "data").mapInArrow(run, "page_id long, phase string, calls long, ms double")

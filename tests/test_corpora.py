@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.operators import manifest
+from pagewright.operators import catalog, manifest
 from pagewright.plans import compare, run_corpus
+from pagewright.plans.read_pages import rendered
 from pagewright.sources import corpora, readers
+from pagewright.sources.__main__ import main as command
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +79,35 @@ def test_letters_that_a_font_lacks(spark):
 
 def test_fonts_by_role_and_language():
     assert corpora.font("alternate", "en")["family"] == "ruled-wide" and corpora.font("alternate", "ar")["family"] == "ruled"
+
+
+def test_other_programs_read_and_fail(spark):
+    cases = spark.createDataFrame([("a", b"one\n\n two \n")], "id string, image binary")
+    row = run_corpus.read_with(cases, ["cat"]).first()
+    assert (row["observed_lines"], row["error"]) == (["one", " two "], None) and row["ms"] > 0
+    assert run_corpus.read_with(cases, ["head", "-c", "3", "{}"]).first()["observed_lines"] == ["one"]
+    assert run_corpus.read_with(cases, ["false"]).first()["error"].startswith("exit 1")
+
+
+def test_phases_of_reading(spark):
+    pages = rendered(spark.createDataFrame([(1, "one two three"), (2, "")], "page_id long, text string"))
+    found = {(r["page_id"], r["phase"]): r["calls"] for r in run_corpus.phases(pages).collect()}
+    assert found == {(1, "detect"): 1, (1, "crop"): 3, (1, "orient"): 3, (1, "recognise"): 3, (2, "detect"): 1}
+
+
+def test_corpus_command(tmp_path, capsys, spark):
+    with pytest.raises(SystemExit):
+        command([str(tmp_path)])
+    with pytest.raises(SystemExit):
+        command(["--script", "--orientation", str(tmp_path)])
+    assert command(["--orientation", str(tmp_path)]) == 0 and "4 cases" in capsys.readouterr().out
+
+
+def test_catalog_takes_new_rows(spark):
+    catalog.register(detectors=[("own-det", "own.param", "a", "b", "int8")], profiles=[("own", "own-det", "v6-tiny-rec", None)])
+    row = catalog.profiles(spark).where("profile = 'own'").first()
+    assert (row["det_in"], row["rec_in"], row["required_precision"], row["orients"]) == ("a", "input", ["int8"], False)
+    with pytest.raises(ValueError, match="already"):
+        catalog.register(profiles=[("own", "own-det", "v6-tiny-rec", None)])
+    for kind in catalog._added.values():
+        kind.clear()
