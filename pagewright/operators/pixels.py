@@ -181,6 +181,15 @@ def straight(ys: np.ndarray, xs: np.ndarray) -> bool:
     return height == 0 or width == 0 or (height == width and len(ys) == height + 1)
 
 
+def row_ends(ys: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ys, xs) of the first and the last pixel of each row: all that a hull can need."""
+    order = np.lexsort((xs, ys))
+    y, x = ys[order], xs[order]
+    first = np.flatnonzero(np.diff(y, prepend=y[0] - 1))
+    ends = np.concatenate([first, np.append(first[1:], len(y)) - 1])
+    return y[ends], x[ends]
+
+
 def regions(probability: np.ndarray, scale_x: float = 1.0, scale_y: float = 1.0, wpad: int = 0, hpad: int = 0) -> list[Region]:
     """Boxes of a probability map, of its blobs and their holes, in the coordinates of the original image."""
     out = []
@@ -190,7 +199,8 @@ def regions(probability: np.ndarray, scale_x: float = 1.0, scale_y: float = 1.0,
         score = float(probability[inner_ys, inner_xs].mean())
         if score < BOX:
             continue
-        points = np.stack([(xs - wpad // 2) / scale_x, (ys - hpad // 2) / scale_y], axis=1)
+        ends_y, ends_x = row_ends(ys, xs)
+        points = np.stack([(ends_x - wpad // 2) / scale_x, (ends_y - hpad // 2) / scale_y], axis=1)
         cx, cy, a, b, angle = least_rectangle(points)
         if max(a, b) < MIN_SIDE:
             continue
