@@ -50,8 +50,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def documents(spark: SparkSession, sf_dir: str, *, spread: bool = True) -> DataFrame:
+    """The table; where its files give fewer tasks than there are cores, its rows are dealt to all of them.
+
+    That costs a shuffle of a small table, and is for steps that cost far more.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if spread and docs.rdd.getNumPartitions() < cores else docs
 
 
 def not_remainder(column: str, modulus: int, remainder: int):

@@ -159,7 +159,7 @@ def compare_edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = compare_edited(documents(spark, sf_dir))
+    rows = compare_edited(documents(spark, sf_dir, spread=False))  # deals its rows itself
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         digest(F.col("prints")).alias("fingerprint"), digest(F.col("edited_prints")).alias("edited_fingerprint"),
