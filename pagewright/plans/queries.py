@@ -54,7 +54,7 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subsc
 WHERE trim(regexp_replace(line, '{_SQL_SPACES}+', ' ', 'g'), ' ') <> ''
 """)
 def normalise_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.composed(F.col("text")).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.composed(F.col("text")).alias("text"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.withColumn("line", tx.single_spaced(F.col("line"))).where("line <> ''")
 
@@ -297,7 +297,7 @@ p AS (SELECT *, 100.0 * line AS y, coalesce(sum(len + 1) OVER (PARTITION BY conv
 
 def _token_regions(spark, sf_dir):
     """The words of each turn's lines as regions, line under line, set in letters 10 wide and 20 high."""
-    lines = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line", "row"))
+    lines = spread(table(spark, sf_dir, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line", "row"))
     rows = lines.select("page_id", "line", F.posexplode(F.filter(F.split("row", " +"), lambda w: w != "")).alias("n", "text"))
     before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("page_id", "line").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     length, confidence = F.length("text") * 10.0, F.length("text") % 10 / 10.0

@@ -11,7 +11,7 @@ from pagewright.functions import arrays as ar
 from pagewright.functions import geometry as geo
 from pagewright.operators import catalog, layout, manifest, measures, telemetry
 from pagewright.plans import compare
-from pagewright.plans.queries import QUERIES, SQL, query, table
+from pagewright.plans.queries import QUERIES, SQL, query, spread, table
 from pagewright.sources import corpora, readers
 
 __all__ = ["QUERIES", "SQL"]
@@ -159,7 +159,7 @@ def manifest_rules(spark, sf_dir):
     text = json.dumps(_CASE)
     assert all(old in text for old, _, _ in _FAULTS)
     cases = F.array(*(F.lit(text.replace(old, new, 1)) for old, new, _ in _FAULTS))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.get(cases, (F.col("doc_id") % len(_FAULTS)).cast("int")).alias("case"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", F.get(cases, (F.col("doc_id") % len(_FAULTS)).cast("int")).alias("case"))
     return rows.select("doc_id", F.get(manifest.case_problems(F.col("case")), F.lit(0)).alias("problem"))
 
 
@@ -206,7 +206,7 @@ SELECT doc_id, letter FROM (SELECT DISTINCT doc_id, unnest(string_split(regexp_r
 def font_gaps(spark, sf_dir):
     """Letters of each document that no benchmark text has."""
     coverage = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "")).alias("letter"))
-    return corpora.uncovered(table(spark, sf_dir, "documents").select("doc_id", "text"), coverage, F.col("text")).select("doc_id", "letter")
+    return corpora.uncovered(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), coverage, F.col("text")).select("doc_id", "letter")
 
 
 @query("""
