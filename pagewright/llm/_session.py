@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that is unset and everything runs in one machine's processes
-    (``local[...]``, as in tests) is a temporary folder made.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        context.setCheckpointDir(named)
-    elif (context.master or "").startswith("local["):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+from pagewright.shared import shared_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut at a copy in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
