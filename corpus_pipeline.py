@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import language_id, mixing, near_dedup, packing, pii
-from pagewright.llm._session import ensure_checkpoint_dir, not_remainder
+from pagewright.llm._session import not_remainder
+from pagewright.shared import shared_folder
 
 #: Texts whose language is less sure go.
 LEAST_SURE = 0.5
@@ -30,8 +31,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     another language as in the one told.
     """
     model = language_id.train(docs.where(not_remainder("doc_id", language_id.MODULUS, language_id.HELD_OUT)))
-    told = language_id.identify(docs.select(F.struct("*").alias("row"), "text"), model, drop_text=True)
-    return told.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SURE)).select("row.*")
+    names = ["text" if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)]  # so that none is taken for a result
+    told = language_id.identify(docs.toDF(*names), model)
+    return told.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SURE)).select(*names).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,12 +83,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what stands between them lies in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    base = posixpath.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"pipeline-{uuid.uuid4().hex}")
+    """All stages over ``documents``; what stands between two lies in the shared checkpoint folder until the second is written."""
+    base = posixpath.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{i - 1}-{STAGES[i - 1][0]}")
+            before.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(before, True)
     return docs
