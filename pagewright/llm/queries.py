@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagewright.llm.fill_in_middle import OP12_SQL, op12_fill_in_middle
 from pagewright.llm.fingerprints import op1_fingerprints
 from pagewright.llm.language_id import op10_language_id
 from pagewright.llm.license_scan import OP2_SQL, op2_license_scan
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_topk_search": op9_topk_search,
     "op10_language_id": op10_language_id,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": OP2_SQL,
     "op7_warc_revisits": OP7_SQL,
     "op9_topk_search": OP9_SQL,
+    "op12_fill_in_middle": OP12_SQL,
 }
