@@ -11,6 +11,7 @@ from pagewright.llm.fingerprints import op1_fingerprints
 from pagewright.llm.language_id import op10_language_id
 from pagewright.llm.license_scan import OP2_SQL, op2_license_scan
 from pagewright.llm.lm_scoring import op4_lm_scoring
+from pagewright.llm.merkle import OP11_SQL, op11_merkle_manifest
 from pagewright.llm.mixing import op3_mixing
 from pagewright.llm.near_dedup import op5_near_dedup
 from pagewright.llm.packing import op6_packing
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_topk_search": op9_topk_search,
     "op10_language_id": op10_language_id,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 
@@ -36,5 +38,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": OP2_SQL,
     "op7_warc_revisits": OP7_SQL,
     "op9_topk_search": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
     "op12_fill_in_middle": OP12_SQL,
 }
