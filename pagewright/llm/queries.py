@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagewright.llm.decontamination import OP13_SQL, op13_decontamination
 from pagewright.llm.fill_in_middle import OP12_SQL, op12_fill_in_middle
 from pagewright.llm.fingerprints import op1_fingerprints
 from pagewright.llm.language_id import op10_language_id
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -40,4 +42,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_topk_search": OP9_SQL,
     "op11_merkle_manifest": OP11_SQL,
     "op12_fill_in_middle": OP12_SQL,
+    "op13_decontamination": OP13_SQL,
 }
