@@ -7,15 +7,14 @@ reading order and breaks every tie.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagewright.functions import geometry as geo
 from pagewright.functions import text as tx
+from pagewright.operators import graph
 
 # Fixed values.
 PERPENDICULAR, MAX_GAP, MAX_OVERLAP, OVERLAP_SHARE = 0.6, 4.0, 2.0, 0.5
@@ -32,57 +31,104 @@ def with_axis(regions: DataFrame) -> DataFrame:
     return regions.withColumn("axis", axis).withColumn("direction", tx.direction(F.col("text")))
 
 
+def _cells(regions: DataFrame) -> DataFrame:
+    """``regions`` with what their page says of cells: ``few``, the unit vector ``ref``, ``twice``, ``levels``, the region's own ``level`` and its two ``ends``.
+
+    Two regions of one visual line have an end of one near the start of the other:
+    along the line at most by ``MAX_GAP`` of the larger thickness, across by
+    ``PERPENDICULAR`` of it, and somewhat more by as much as angles on the page
+    differ (the ends of lines that lean apart are farther apart than their centres
+    tell). So cells are laid along the page's mean axis, and their size follows from
+    a region's own thickness, in steps of ``_STEP``: of a pair, the larger region says
+    in which grid it meets.
+    """
+    keys = ["page_id", "vertical"]
+    lean = F.degrees(F.atan2("axis.y", "axis.x"))
+    page = regions.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("axis.x").alias("rx"), F.avg("axis.y").alias("ry"), F.min(lean).alias("least"), F.max(lean).alias("most"))
+    size = F.hypot("rx", "ry")
+    ref = F.degrees(F.atan2("ry", "rx"))
+    off = F.least(F.greatest(F.col("most") - ref, ref - F.col("least")), F.lit(90.0))
+    apart = F.radians(F.least(F.col("most") - F.col("least"), F.lit(_MOST_APART)))
+    page = page.select(
+        *keys, (F.col("n") <= _FEW).alias("few"), F.when(size > 0, F.struct((F.col("rx") / size).alias("x"), (F.col("ry") / size).alias("y"))).otherwise(F.struct(F.lit(1.0).alias("x"), F.lit(0.0).alias("y"))).alias("ref"),
+        F.when(size > 0, F.sin(F.radians(off))).otherwise(1.0).alias("turn"), (F.sin(apart) / 2).alias("skew"), ((1 - F.cos(apart)) / 2).alias("short"),
+    )
+    rows = regions.join(page, keys)
+    by_thickness = F.col("thickness") * (PERPENDICULAR + MAX_GAP * F.col("turn"))
+    by_length = F.col("length") * (F.col("skew") + F.col("short") * F.col("turn"))
+    # Half a per cent more, so that rounding loses nothing.
+    level = F.when(F.col("few"), 0).otherwise(F.ceil(F.log(F.greatest(by_thickness, by_length, F.lit(1e-6)) * 1.005) / math.log(_STEP))).cast("int")
+    rows = rows.withColumn("level", level).withColumn("ratio", (MAX_GAP + PERPENDICULAR * F.col("turn")) / (PERPENDICULAR + MAX_GAP * F.col("turn"))).withColumn("twice", F.when(F.col("skew") > 0, 2.0).otherwise(1.0))
+    levels = rows.groupBy(*keys).agg(F.collect_set("level").alias("levels"))
+
+    def end(sign: int) -> Column:
+        x, y = F.col("center_x") + F.col("axis.x") * F.col("length") * (sign / 2), F.col("center_y") + F.col("axis.y") * F.col("length") * (sign / 2)
+        return F.struct(geo.dot(x, y, F.col("ref.x"), F.col("ref.y")).alias("along"), geo.dot(x, y, -F.col("ref.y"), F.col("ref.x")).alias("across"))
+
+    return rows.join(levels, keys).withColumn("start", end(-1)).withColumn("end", end(1)).drop("ref", "turn", "skew", "short")
+
+
+#: Pages with so few regions are one cell; thickness grows so much from one grid to the next; two axes of one line are apart by no more degrees.
+_FEW, _STEP, _MOST_APART = 24, math.sqrt(2.0), 12.01
+_OWN = ("region_id", "center_x", "center_y", "thickness", "length", "axis", "direction")
+
+
+def candidate_pairs(regions: DataFrame) -> DataFrame:
+    """Regions (suffixes _x and _y) of which x may end where y starts: neighbours in the grid of the larger one, each such meeting once."""
+    numbers = ("center_x", "center_y", "thickness", "length", "angle")
+    finite = regions.where(" and ".join(f"abs({c}) < 1e15" for c in numbers) + " and vertical is not null")
+    rows = _cells(with_axis(finite))
+    reach = F.pow(F.lit(_STEP), F.col("grid")) * F.col("twice")
+    place = lambda value, size: F.floor(value / size).cast("long")
+    grids = F.explode(F.filter("levels", lambda v: v >= F.col("level"))).alias("grid")
+    keys = ("page_id", "vertical", "grid", "row", "cell")
+
+    def meets(side: str, row: Column, cell: Column) -> DataFrame:
+        own = rows.select("page_id", "vertical", "few", "level", "ratio", "twice", "start", "end", *_OWN, grids)
+        own = own.withColumn("row", F.when(F.col("few"), F.array(F.lit(0).cast("long"))).otherwise(row)).withColumn("cell", F.when(F.col("few"), F.array(F.lit(0).cast("long"))).otherwise(cell))
+        own = own.withColumn("row", F.explode("row")).withColumn("cell", F.explode("cell"))
+        return own.select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in _OWN), (F.col("level") == F.col("grid")).alias(f"own_{side}"))
+
+    wide = reach * F.col("ratio")
+    # y starts from half a reach (two thicknesses of four) before x's end to a reach behind it; leaning ends lie as far on either side.
+    back = F.when(F.col("twice") > 1, wide).otherwise(wide * (MAX_OVERLAP / MAX_GAP) * 1.01)
+    x = meets("x", F.sequence(place(F.col("end.across") - reach, reach), place(F.col("end.across") + reach, reach)), F.sequence(place(F.col("end.along") - back, wide), place(F.col("end.along") + wide, wide)))
+    y = meets("y", F.array(place(F.col("start.across"), reach)), F.array(place(F.col("start.along"), wide)))
+    small = x.where("not own_x").join(y.where("own_y"), list(keys))
+    return x.where("own_x").join(y, list(keys)).unionByName(small)
+
+
 def same_line_pairs(regions: DataFrame) -> DataFrame:
     """(page_id, i, j), i before j, of regions on one visual line by the axis of i.
 
-    Page and orientation are the keys of the join; the rest is its condition.
+    Only regions in neighbouring cells meet, so a page may hold any number of
+    regions. One without finite numbers is on no other's line.
     """
-    columns = ("region_id", "center_x", "center_y", "thickness", "length", "axis", "direction")
-    own = with_axis(regions)
-    a = own.select("page_id", "vertical", *(F.col(c).alias(f"{c}_a") for c in columns))
-    b = own.select("page_id", "vertical", *(F.col(c).alias(f"{c}_b") for c in columns))
+    met = candidate_pairs(regions)
+    x_first = F.col("region_id_x") < F.col("region_id_y")
+    of = lambda c, first: F.when(x_first if first else ~x_first, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y"))
+    met = met.where("region_id_x <> region_id_y").select("page_id", x_first.alias("ahead"), *(of(c, True).alias(f"{c}_a") for c in _OWN), *(of(c, False).alias(f"{c}_b") for c in _OWN))
     ax, ay = F.col("axis_a.x"), F.col("axis_a.y")
     dx, dy = F.col("center_x_b") - F.col("center_x_a"), F.col("center_y_b") - F.col("center_y_a")
+    along = geo.dot(dx, dy, ax, ay)
     thick = F.greatest("thickness_a", "thickness_b")
-    gap = F.abs(geo.dot(dx, dy, ax, ay)) - (F.col("length_a") + F.col("length_b")) / 2
+    gap = F.abs(along) - (F.col("length_a") + F.col("length_b")) / 2
     overlap = F.least(MAX_OVERLAP * thick, OVERLAP_SHARE * F.least("length_a", "length_b"))
     on_line = (
-        (F.col("region_id_a") < F.col("region_id_b"))
+        (F.col("ahead") == (along >= 0))  # the meeting at a's end if b lies behind it, else that at b's end
         & tx.directions_agree(F.col("direction_a"), F.col("direction_b"))
         & (geo.dot(ax, ay, F.col("axis_b.x"), F.col("axis_b.y")) >= geo.MIN_AXIS_DOT)
         & (F.abs(geo.dot(dx, dy, -ay, ax)) <= PERPENDICULAR * thick)
         & (gap >= -overlap)
         & (gap <= MAX_GAP * thick)
     )
-    return a.join(b, ["page_id", "vertical"]).where(on_line).select("page_id", F.col("region_id_a").alias("i"), F.col("region_id_b").alias("j"))
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("node", T.IntegerType()), T.StructField("label", T.IntegerType())])))
-def _labels(pairs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The smallest member reachable, for each end of a page's pairs."""
-
-    def settle(page: list[dict]) -> list[tuple[int, int]]:
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for pair in page:
-            a, b = root(pair["i"]), root(pair["j"])
-            up[max(a, b)] = min(a, b)
-        return [(x, root(x)) for x in up]
-
-    for series in pairs:
-        yield series.map(settle)
+    return met.where(on_line).select("page_id", F.col("region_id_a").alias("i"), F.col("region_id_b").alias("j"))
 
 
 def components(regions: DataFrame) -> DataFrame:
-    """``regions`` with ``component``, the smallest region_id of its visual line. Only a page's pairs come together."""
-    pages = same_line_pairs(regions).groupBy("page_id").agg(F.collect_list(F.struct("i", "j")).alias("pairs"))
-    labels = pages.select("page_id", F.explode(_labels("pairs")).alias("x")).select("page_id", F.col("x.node").alias("region_id"), F.col("x.label").alias("component"))
+    """``regions`` with ``component``, the smallest region_id of its visual line."""
+    kind = dict(regions.dtypes)["region_id"]
+    labels = graph.components(same_line_pairs(regions)).select("page_id", F.col("node").cast(kind).alias("region_id"), F.col("label").cast(kind).alias("component"))
     return regions.join(labels, ["page_id", "region_id"], "left").withColumn("component", F.coalesce("component", "region_id"))
 
 
