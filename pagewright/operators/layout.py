@@ -7,14 +7,13 @@ reading order and breaks every tie.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as geo
 from pagewright.functions import text as tx
 from pagewright.operators import graph
+from pagewright.shared import cut
 
 # Fixed values.
 PERPENDICULAR, MAX_GAP, MAX_OVERLAP, OVERLAP_SHARE = 0.6, 4.0, 2.0, 0.5
@@ -31,80 +30,75 @@ def with_axis(regions: DataFrame) -> DataFrame:
     return regions.withColumn("axis", axis).withColumn("direction", tx.direction(F.col("text")))
 
 
-def _cells(regions: DataFrame) -> DataFrame:
-    """``regions`` with what their page says of cells: ``few``, the unit vector ``ref``, ``twice``, ``levels``, the region's own ``level`` and its two ``ends``.
+#: Pages with so few regions are one cell; a length counts as so much thickness; two axes of one line are apart by no more degrees.
+_FEW, _SLENDER, _MOST_APART = 24, 16.0, 12.01
+_OWN = ("region_id", "center_x", "center_y", "thickness", "length", "axis", "direction")
+
+
+def _celled(rows: DataFrame) -> DataFrame:
+    """Finite ``rows`` (with axis) with what their page says of its cells.
 
     Two regions of one visual line have an end of one near the start of the other:
     along the line at most by ``MAX_GAP`` of the larger thickness, across by
     ``PERPENDICULAR`` of it, and somewhat more by as much as angles on the page
     differ (the ends of lines that lean apart are farther apart than their centres
     tell). So cells are laid along the page's mean axis, and their size follows from
-    a region's own thickness, in steps of ``_STEP``: of a pair, the larger region says
-    in which grid it meets.
+    a region's own thickness, in steps of two: of a pair, the larger region says in
+    which grid it meets. ``grids`` has a bit for each grid that some region asks for.
     """
     keys = ["page_id", "vertical"]
+    numbers = ("center_x", "center_y", "thickness", "length", "angle")
+    rows = rows.where(" and ".join(f"abs({c}) < 1e12" for c in numbers) + " and vertical is not null and page_id is not null")
+    # Half a per cent more, so that rounding loses nothing.
+    rows = rows.withColumn("level", F.greatest(F.ceil(F.log2(F.greatest("thickness", F.col("length") / _SLENDER, F.lit(1e-9)) * 1.005)), F.lit(0)).cast("int"))
     lean = F.degrees(F.atan2("axis.y", "axis.x"))
-    page = regions.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("axis.x").alias("rx"), F.avg("axis.y").alias("ry"), F.min(lean).alias("least"), F.max(lean).alias("most"))
-    size = F.hypot("rx", "ry")
-    ref = F.degrees(F.atan2("ry", "rx"))
+    page = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("axis.x").alias("rx"), F.avg("axis.y").alias("ry"), F.min(lean).alias("least"), F.max(lean).alias("most"), F.bit_or(F.expr("shiftleft(1L, level)")).alias("grids")
+    )
+    size, ref = F.hypot("rx", "ry"), F.degrees(F.atan2("ry", "rx"))
     off = F.least(F.greatest(F.col("most") - ref, ref - F.col("least")), F.lit(90.0))
     apart = F.radians(F.least(F.col("most") - F.col("least"), F.lit(_MOST_APART)))
+    skew, short, turn = F.sin(apart) / 2, (1 - F.cos(apart)) / 2, F.when(size > 0, F.sin(F.radians(off))).otherwise(1.0)
     page = page.select(
-        *keys, (F.col("n") <= _FEW).alias("few"), F.when(size > 0, F.struct((F.col("rx") / size).alias("x"), (F.col("ry") / size).alias("y"))).otherwise(F.struct(F.lit(1.0).alias("x"), F.lit(0.0).alias("y"))).alias("ref"),
-        F.when(size > 0, F.sin(F.radians(off))).otherwise(1.0).alias("turn"), (F.sin(apart) / 2).alias("skew"), ((1 - F.cos(apart)) / 2).alias("short"),
+        *keys, (F.col("n") <= _FEW).alias("few"), "grids", F.when(size > 0, F.col("rx") / size).otherwise(1.0).alias("rx"), F.when(size > 0, F.col("ry") / size).otherwise(0.0).alias("ry"),
+        # How far, in units of the grid, an end lies from the other's start: across, along, and along the other way.
+        (PERPENDICULAR + MAX_GAP * turn + _SLENDER * (skew + short * turn)).alias("across"), (MAX_GAP + PERPENDICULAR * turn + _SLENDER * (short + skew * turn)).alias("along"),
+        (MAX_OVERLAP + PERPENDICULAR * turn + _SLENDER * (short + skew * turn)).alias("back"),
     )
-    rows = regions.join(page, keys)
-    by_thickness = F.col("thickness") * (PERPENDICULAR + MAX_GAP * F.col("turn"))
-    by_length = F.col("length") * (F.col("skew") + F.col("short") * F.col("turn"))
-    # Half a per cent more, so that rounding loses nothing.
-    level = F.when(F.col("few"), 0).otherwise(F.ceil(F.log(F.greatest(by_thickness, by_length, F.lit(1e-6)) * 1.005) / math.log(_STEP))).cast("int")
-    rows = rows.withColumn("level", level).withColumn("ratio", (MAX_GAP + PERPENDICULAR * F.col("turn")) / (PERPENDICULAR + MAX_GAP * F.col("turn"))).withColumn("twice", F.when(F.col("skew") > 0, 2.0).otherwise(1.0))
-    levels = rows.groupBy(*keys).agg(F.collect_set("level").alias("levels"))
-
-    def end(sign: int) -> Column:
-        x, y = F.col("center_x") + F.col("axis.x") * F.col("length") * (sign / 2), F.col("center_y") + F.col("axis.y") * F.col("length") * (sign / 2)
-        return F.struct(geo.dot(x, y, F.col("ref.x"), F.col("ref.y")).alias("along"), geo.dot(x, y, -F.col("ref.y"), F.col("ref.x")).alias("across"))
-
-    return rows.join(levels, keys).withColumn("start", end(-1)).withColumn("end", end(1)).drop("ref", "turn", "skew", "short")
-
-
-#: Pages with so few regions are one cell; thickness grows so much from one grid to the next; two axes of one line are apart by no more degrees.
-_FEW, _STEP, _MOST_APART = 24, math.sqrt(2.0), 12.01
-_OWN = ("region_id", "center_x", "center_y", "thickness", "length", "axis", "direction")
+    return rows.join(page, keys)
 
 
-def candidate_pairs(regions: DataFrame) -> DataFrame:
+def _candidates(rows: DataFrame) -> DataFrame:
     """Regions (suffixes _x and _y) of which x may end where y starts: neighbours in the grid of the larger one, each such meeting once."""
-    numbers = ("center_x", "center_y", "thickness", "length", "angle")
-    finite = regions.where(" and ".join(f"abs({c}) < 1e15" for c in numbers) + " and vertical is not null")
-    rows = _cells(with_axis(finite))
-    reach = F.pow(F.lit(_STEP), F.col("grid")) * F.col("twice")
+    celled = _celled(rows)
+    unit = F.expr("shiftleft(1L, grid)").cast("double")
     place = lambda value, size: F.floor(value / size).cast("long")
-    grids = F.explode(F.filter("levels", lambda v: v >= F.col("level"))).alias("grid")
-    keys = ("page_id", "vertical", "grid", "row", "cell")
-
-    def meets(side: str, row: Column, cell: Column) -> DataFrame:
-        own = rows.select("page_id", "vertical", "few", "level", "ratio", "twice", "start", "end", *_OWN, grids)
-        own = own.withColumn("row", F.when(F.col("few"), F.array(F.lit(0).cast("long"))).otherwise(row)).withColumn("cell", F.when(F.col("few"), F.array(F.lit(0).cast("long"))).otherwise(cell))
-        own = own.withColumn("row", F.explode("row")).withColumn("cell", F.explode("cell"))
-        return own.select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in _OWN), (F.col("level") == F.col("grid")).alias(f"own_{side}"))
-
-    wide = reach * F.col("ratio")
-    # y starts from half a reach (two thicknesses of four) before x's end to a reach behind it; leaning ends lie as far on either side.
-    back = F.when(F.col("twice") > 1, wide).otherwise(wide * (MAX_OVERLAP / MAX_GAP) * 1.01)
-    x = meets("x", F.sequence(place(F.col("end.across") - reach, reach), place(F.col("end.across") + reach, reach)), F.sequence(place(F.col("end.along") - back, wide), place(F.col("end.along") + wide, wide)))
-    y = meets("y", F.array(place(F.col("start.across"), reach)), F.array(place(F.col("start.along"), wide)))
-    small = x.where("not own_x").join(y.where("own_y"), list(keys))
-    return x.where("own_x").join(y, list(keys)).unionByName(small)
+    keys = ("page_id", "vertical", "grid", "part", "row", "cell")
+    bits = F.filter(F.sequence(F.col("level"), F.lit(41)), lambda g: F.col("grids").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), g)) != 0)
+    grids = F.when(F.col("few"), F.array(F.lit(0))).otherwise(bits)
+    own = F.col("few") | (F.col("level") == F.col("grid"))
 
-
-def same_line_pairs(regions: DataFrame) -> DataFrame:
-    """(page_id, i, j), i before j, of regions on one visual line by the axis of i.
-
-    Only regions in neighbouring cells meet, so a page may hold any number of
-    regions. One without finite numbers is on no other's line.
-    """
-    met = candidate_pairs(regions)
+    def meets(side: str, sign: int) -> DataFrame:
+        x, y = F.col("center_x") + F.col("axis.x") * F.col("length") * (sign / 2), F.col("center_y") + F.col("axis.y") * F.col("length") * (sign / 2)
+        near = celled.select("*", F.explode(grids).alias("grid")).withColumn("at", geo.dot(x, y, F.col("rx"), F.col("ry"))).withColumn("off", geo.dot(x, y, -F.col("ry"), F.col("rx")))
+        high, wide = F.col("across") * unit, F.col("along") * unit
+        if sign > 0:
+            row, cell = F.sequence(place(F.col("off") - high, high), place(F.col("off") + high, high)), F.sequence(place(F.col("at") - F.col("back") * unit, wide), place(F.col("at") + wide, wide))
+            # Part 0: x in its own grid, with all of it; part 1: a smaller x, with those whose own grid it is.
+            part = F.array(F.when(own, 0).otherwise(1))
+        else:
+            row, cell, part = F.array(place(F.col("off"), high)), F.array(place(F.col("at"), wide)), F.when(own, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        one = F.col("few")
+        zero = F.array(F.lit(0).cast("long"))
+        part = F.when(one, F.array(F.lit(0))).otherwise(part)
+        near = near.withColumn("part", F.explode(part)).withColumn("row", F.explode(F.when(one, zero).otherwise(row))).withColumn("cell", F.explode(F.when(one, zero).otherwise(cell)))
+        return near.select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in _OWN))
+
+    return meets("x", 1).join(meets("y", -1), list(keys))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    met = _candidates(rows)
     x_first = F.col("region_id_x") < F.col("region_id_y")
     of = lambda c, first: F.when(x_first if first else ~x_first, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y"))
     met = met.where("region_id_x <> region_id_y").select("page_id", x_first.alias("ahead"), *(of(c, True).alias(f"{c}_a") for c in _OWN), *(of(c, False).alias(f"{c}_b") for c in _OWN))
@@ -125,11 +119,27 @@ def same_line_pairs(regions: DataFrame) -> DataFrame:
     return met.where(on_line).select("page_id", F.col("region_id_a").alias("i"), F.col("region_id_b").alias("j"))
 
 
+def candidate_pairs(regions: DataFrame) -> DataFrame:
+    """The pairs that ``same_line_pairs`` compares."""
+    return _candidates(cut(with_axis(regions)))
+
+
+def same_line_pairs(regions: DataFrame) -> DataFrame:
+    """(page_id, i, j), i before j, of regions on one visual line by the axis of i.
+
+    Only regions in neighbouring cells meet, so a page may hold any number of
+    regions. One without finite numbers is on no other's line. Regions are
+    worked out once and kept in the shared folder.
+    """
+    return _pairs(cut(with_axis(regions)))
+
+
 def components(regions: DataFrame) -> DataFrame:
-    """``regions`` with ``component``, the smallest region_id of its visual line."""
+    """``regions`` with axis, direction and ``component``, the smallest region_id of its visual line."""
     kind = dict(regions.dtypes)["region_id"]
-    labels = graph.components(same_line_pairs(regions)).select("page_id", F.col("node").cast(kind).alias("region_id"), F.col("label").cast(kind).alias("component"))
-    return regions.join(labels, ["page_id", "region_id"], "left").withColumn("component", F.coalesce("component", "region_id"))
+    rows = cut(with_axis(regions))
+    labels = graph.components(_pairs(rows)).select("page_id", F.col("node").cast(kind).alias("region_id"), F.col("label").cast(kind).alias("component"))
+    return rows.join(labels, ["page_id", "region_id"], "left").withColumn("component", F.coalesce("component", "region_id"))
 
 
 def separator(before: Column, after: Column, thickness: Column) -> Column:
@@ -153,7 +163,7 @@ def reconstruct(regions: DataFrame) -> DataFrame:
     A component of one region, or of both writing directions, stays as it is.
     """
     fields = ("region_id", "center_x", "center_y", "thickness", "length", "angle", "vertical", "text", "confidence", "box_score")
-    rows = with_axis(components(regions)).withColumn("ink", tx.ink(F.col("text")))
+    rows = components(regions).withColumn("ink", tx.ink(F.col("text")))
     grouped = rows.groupBy("page_id", "component").agg(
         F.collect_list(F.struct(*fields, "ink")).alias("members"),
         F.sum("axis.x").alias("sx"), F.sum("axis.y").alias("sy"), F.median("thickness").alias("thickness"),
@@ -162,28 +172,28 @@ def reconstruct(regions: DataFrame) -> DataFrame:
     size = F.hypot("sx", "sy")
     grouped = grouped.withColumn("ax", F.col("sx") / size).withColumn("ay", F.col("sy") / size)
     apart = (F.size("members") == 1) | F.col("mixed") | (F.col("ltr") & F.col("rtl"))
-    alone = grouped.where(apart).select("page_id", "component", F.explode("members").alias("m"))
-    alone = alone.select("page_id", "component", *(F.col(f"m.{f}").alias(f) for f in fields), F.lit(1).alias("members"))
-
     along = lambda m: m["center_x"] * F.col("ax") + m["center_y"] * F.col("ay")
     across = lambda m: m["center_y"] * F.col("ax") - m["center_x"] * F.col("ay")
     sign = F.when(F.col("rtl"), -1.0).otherwise(1.0)
     placed = F.array_sort(F.transform("members", lambda m: F.struct((along(m) * sign).alias("key"), m["region_id"].alias("region_id"), along(m).alias("at"), across(m).alias("off"), *(m[f].alias(f) for f in (*fields[1:], "ink")))))
-    joined = grouped.where(~apart).withColumn("m", placed)
+    joined = grouped.withColumn("apart", apart).withColumn("m", F.when(~F.col("apart"), placed))
     pieces = F.transform("m", lambda x, i: F.when(i == 0, x["text"]).otherwise(F.concat(separator(F.get("m", F.greatest(i - 1, F.lit(0))), x, F.col("thickness")), x["text"])))
     edge = lambda at, side, sign, pick: pick(F.transform("m", lambda x: x[at] + sign * x[side] / 2))
     joined = joined.select(
-        "page_id", "component", "ax", "ay", "m", F.array_join(pieces, "").alias("text"), _weighted(F.col("m"), "confidence").alias("confidence"), _weighted(F.col("m"), "box_score").alias("box_score"),
+        "page_id", "component", "apart", "members", "ax", "ay", F.col("m")[0]["vertical"].alias("vertical"), F.size("m").alias("count"),
+        F.array_join(pieces, "").alias("text"), _weighted(F.col("m"), "confidence").alias("confidence"), _weighted(F.col("m"), "box_score").alias("box_score"),
         edge("at", "length", -1, F.array_min).alias("lo"), edge("at", "length", 1, F.array_max).alias("hi"),
         edge("off", "thickness", -1, F.array_min).alias("top"), edge("off", "thickness", 1, F.array_max).alias("bottom"),
     )
     mid, over = (F.col("lo") + F.col("hi")) / 2, (F.col("top") + F.col("bottom")) / 2
-    merged = joined.select(
-        "page_id", "component", F.col("component").alias("region_id"), (F.col("ax") * mid - F.col("ay") * over).alias("center_x"), (F.col("ay") * mid + F.col("ax") * over).alias("center_y"),
+    merged = F.struct(
+        F.col("component").alias("region_id"), (F.col("ax") * mid - F.col("ay") * over).alias("center_x"), (F.col("ay") * mid + F.col("ax") * over).alias("center_y"),
         (F.col("bottom") - F.col("top")).alias("thickness"), (F.col("hi") - F.col("lo")).alias("length"), geo.axis_angle(F.col("ax"), F.col("ay")).alias("angle"),
-        F.col("m")[0]["vertical"].alias("vertical"), "text", "confidence", "box_score", F.size("m").alias("members"),
+        "vertical", "text", "confidence", "box_score", F.col("count").alias("members"),
     )
-    return alone.unionByName(merged)
+    alone = F.transform("members", lambda m: F.struct(*(m[f].alias(f) for f in fields), F.lit(1).alias("members")))
+    # One pass over the groups, whichever way each of them goes.
+    return joined.select("page_id", "component", F.explode(F.when(F.col("apart"), alone).otherwise(F.array(merged))).alias("line")).select("page_id", "component", "line.*")
 
 
 def assemble(regions: DataFrame, accepted: Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pagewright.functions import arrays as ar
 from pagewright.functions import text as tx
 from pagewright.functions.geometry import let
+from pagewright.operators import ranks
 
 
 def least_assignment(costs: Sequence[Sequence[float]]) -> float:
@@ -94,13 +95,17 @@ def score_cases(cases: DataFrame) -> DataFrame:
 
 
 def engine_summary(rows: DataFrame, engine: str, *, milliseconds: str = "ms") -> DataFrame:
-    """Pooled rates, share of exact cases, median and nearest-rank p95 of an engine's rows."""
-    ms = F.col(milliseconds)
+    """Pooled rates, share of exact cases, median and nearest-rank p95 of an engine's rows; times may be null.
+
+    Sums are combined before the shuffle and times selected by counting, so an
+    engine may have any number of rows.
+    """
+    n = F.col("n")
     pooled = lambda part: F.try_divide(F.sum(f"{part}_distance"), F.sum(f"{part}_length"))
-    return rows.groupBy(engine).agg(
-        pooled("char").alias("cer"), pooled("word").alias("wer"), F.avg(F.col("exact").cast("int")).alias("exact_rate"), F.median(ms).alias("p50"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {milliseconds})").alias("p95"), (F.sum(ms) / 1000).alias("seconds"), F.count("*").alias("cases"),
-    )
+    sums = rows.groupBy(engine).agg(pooled("char").alias("cer"), pooled("word").alias("wer"), F.avg(F.col("exact").cast("int")).alias("exact_rate"), (F.sum(milliseconds) / 1000).alias("seconds"), F.count("*").alias("cases"))
+    times = ranks.order_statistics(rows, engine, milliseconds, {"low": F.floor((n + 1) / 2), "high": F.ceil((n + 1) / 2), "p95": F.ceil(n * 95 / 100)}).withColumnRenamed(engine, "of")
+    both = sums.join(times, F.col(engine).eqNullSafe(F.col("of")), "left")
+    return both.select(engine, "cer", "wer", "exact_rate", ((F.col("low") + F.col("high")) / 2).alias("p50"), "p95", "seconds", "cases")
 
 
 def variant_pivot(rows: DataFrame, variant: str, engine: str, engines: Sequence[str]) -> DataFrame:

@@ -521,8 +521,7 @@ def telemetry_rollup(spark, sf_dir):
 @query("""
 SELECT user_id, round(list_reduce(list_prepend(1.0::DOUBLE, list(value ORDER BY ts, event_id)), lambda c, x: (c + x) / 2), 6) AS cost FROM events GROUP BY user_id""")
 def cost_ema(spark, sf_dir):
-    runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("runs"))
-    return runs.select("user_id", F.round(scheduling.cost_after(F.lit(1.0), F.transform("runs", lambda r: r["value"])), 6).alias("cost"))
+    return scheduling.cost_after(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 1.0).select("user_id", F.round("cost", 6).alias("cost"))
 
 
 @query()
