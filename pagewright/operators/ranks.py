@@ -9,6 +9,8 @@ from pagewright.shared import cut
 
 #: Ranges that a round cuts a range into, and the bound of each sketch that proposes them.
 RANGES, SKETCH = 128, 2048
+#: A range with no more rows is sorted in one row; so small ones need no further round.
+FEW = 1 << 16
 #: Groups whose ranges are sent to all tasks; of more, rows are joined to them by a shuffle.
 MOST_SENT = 10_000
 
@@ -25,8 +27,9 @@ def order_statistics(rows: DataFrame, group: str, value: str, ranks: dict[str, C
     Selection by counting: a sketch of bounded size proposes values to cut at, the
     rows below, at and between them are counted (partial counts, one row a range
     and task), and the next round looks only into the one range that holds the
-    rank. A value that is repeated often is itself a cut, so ties end the search.
-    No task holds a group's values, whatever their number.
+    rank, until such ranges have ``FEW`` rows. A value that is repeated often is
+    itself a cut, so ties end the search. No task holds a group's values, whatever
+    their number.
     """
     names = list(ranks)
     rows = cut(rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null"))
@@ -34,31 +37,36 @@ def order_statistics(rows: DataFrame, group: str, value: str, ranks: dict[str, C
     wanted = F.array(*(F.struct(F.lit(i).alias("of"), r.cast("long").alias("want")) for i, r in enumerate(ranks.values())))
     none = F.lit(None).cast("double")
     # Of each rank the open range that it lies in; null ends are open, and NaN lies above all.
-    open_ranks = cut(sizes.select("g", F.explode(wanted).alias("r")).select("g", "r.*", none.alias("lo"), none.alias("hi")).where("want is not null"))
+    open_ranks = sizes.select("g", F.explode(wanted).alias("r"), "n").select("g", "r.*", none.alias("lo"), none.alias("hi"), "n").where("want between 1 and n")
     found: list[DataFrame] = []
     while True:
-        spans = cut(open_ranks.select("g", "lo", "hi").distinct())
-        n_spans = spans.count()
+        spans = open_ranks.select("g", "lo", "hi").distinct()
+        n_spans, most = open_ranks.agg(F.count_distinct(F.struct("g", "lo", "hi")), F.max("n")).first()
         if not n_spans:
             break
         own = spans.select(F.col("g").alias("of_g"), "lo", "hi")
         inside = F.col("g").eqNullSafe(F.col("of_g")) & (F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") < F.col("hi")))
         held = rows.join(_sent(own, n_spans), inside).select("g", "lo", "hi", "v")
+        if most <= FEW:
+            of_span = held.groupBy(F.col("g").alias("of_g"), F.col("lo").alias("of_lo"), F.col("hi").alias("of_hi")).agg(F.array_sort(F.collect_list("v")).alias("all"))
+            same = F.col("g").eqNullSafe(F.col("of_g")) & F.col("lo").eqNullSafe(F.col("of_lo")) & F.col("hi").eqNullSafe(F.col("of_hi"))
+            found.append(open_ranks.join(of_span, same).select("g", "of", F.get("all", (F.col("want") - 1).cast("int")).alias("value")))
+            break
         cuts = held.groupBy("g", "lo", "hi").agg(F.array_sort(F.array_distinct(F.percentile_approx("v", [i / RANGES for i in range(RANGES + 1)], SKETCH))).alias("cuts"))
-        own = cut(cuts).select(F.col("g").alias("of_g"), F.col("lo").alias("of_lo"), F.col("hi").alias("of_hi"), "cuts")
+        own = cuts.select(F.col("g").alias("of_g"), F.col("lo").alias("of_lo"), F.col("hi").alias("of_hi"), "cuts")
         same = F.col("g").eqNullSafe(F.col("of_g")) & F.col("lo").eqNullSafe(F.col("of_lo")) & F.col("hi").eqNullSafe(F.col("of_hi"))
         # An even place is between two cuts, an odd one at a cut.
         below = F.size(F.filter("cuts", lambda c: c < F.col("v")))
         place = 2 * below + F.when(F.get("cuts", below) == F.col("v"), 1).otherwise(0)
         counted = held.join(_sent(own, n_spans), same).select("g", "lo", "hi", "cuts", place.alias("place")).groupBy("g", "lo", "hi", "cuts", "place").agg(F.count("*").alias("n"))
         before = F.coalesce(F.sum("n").over(Window.partitionBy("g", "lo", "hi").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        counted = counted.withColumn("before", before).select(F.col("g").alias("of_g"), F.col("lo").alias("of_lo"), F.col("hi").alias("of_hi"), "cuts", "place", "before", "n")
-        met = open_ranks.join(counted, same & (F.col("want") > F.col("before")) & (F.col("want") <= F.col("before") + F.col("n")))
+        counted = counted.withColumn("before", before).select(F.col("g").alias("of_g"), F.col("lo").alias("of_lo"), F.col("hi").alias("of_hi"), "cuts", "place", "before", F.col("n").alias("counted"))
+        met = open_ranks.join(counted, same & (F.col("want") > F.col("before")) & (F.col("want") <= F.col("before") + F.col("counted")))
         at = F.floor(F.col("place") / 2).cast("int")
         sure = (F.col("place") % 2) == 1
-        met = cut(met.select("g", "of", F.when(sure, F.get("cuts", at)).alias("value"), (F.col("want") - F.col("before")).alias("want"), F.when(at > 0, F.get("cuts", at - 1)).otherwise(F.col("lo")).alias("lo"), F.coalesce(F.get("cuts", at), "hi").alias("hi"), sure.alias("sure")))
+        met = cut(met.select("g", "of", F.when(sure, F.get("cuts", at)).alias("value"), (F.col("want") - F.col("before")).alias("want"), F.when(at > 0, F.get("cuts", at - 1)).otherwise(F.col("lo")).alias("lo"), F.coalesce(F.get("cuts", at), "hi").alias("hi"), F.col("counted").alias("n"), sure.alias("sure")))
         found.append(met.where("sure").select("g", "of", "value"))
-        open_ranks = met.where("not sure").select("g", "of", "want", "lo", "hi")
+        open_ranks = met.where("not sure").select("g", "of", "want", "lo", "hi", "n")
     if not found:
         return sizes.select(F.col("g").alias(group), "n", *(none.alias(x) for x in names))
     values = found[0]

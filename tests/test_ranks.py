@@ -26,8 +26,9 @@ def same(a, b):
     return a == b or (a != a and b != b)
 
 
-@pytest.mark.parametrize(("cuts", "sent"), [(128, 10_000), (4, 10_000), (2, 0)])
-def test_equals_sorting(spark, monkeypatch, cuts, sent):
+@pytest.mark.parametrize(("cuts", "sent", "few"), [(128, 10_000, 4096), (128, 10_000, 10), (4, 10_000, 40), (2, 0, 0)])
+def test_equals_sorting(spark, monkeypatch, cuts, sent, few):
+    monkeypatch.setattr(ranks, "FEW", few)
     monkeypatch.setattr(ranks, "RANGES", cuts)
     monkeypatch.setattr(ranks, "MOST_SENT", sent)
     own = groups()
@@ -58,8 +59,9 @@ def test_summary_of_engines(spark):
     assert (found["b"].p50, found["b"].p95, found["b"].cer) == (None, None, None) and found[None].p50 == 5.0
 
 
-def test_no_plan_holds_a_group(spark):
+def test_no_plan_holds_a_group(spark, monkeypatch):
     rows = spark.range(1000).select((F.col("id") % 3).alias("engine"), F.rand(1).alias("ms"), *(F.lit(1).alias(c) for c in ("char_distance", "char_length", "word_distance", "word_length")), F.lit(True).alias("exact"))
+    monkeypatch.setattr(ranks, "FEW", 0)
     plan = scoring.engine_summary(rows, "engine")._jdf.queryExecution().toString()
     assert "percentile(" not in plan and "collect_list" not in plan and "median" not in plan
 
