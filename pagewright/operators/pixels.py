@@ -139,14 +139,17 @@ def least_rectangle(points: np.ndarray) -> tuple[float, float, float, float, flo
 
 
 def oriented(a: float, b: float, angle: float) -> tuple[float, float, float, bool]:
-    """(thickness, length, angle, vertical) of a rectangle; the rules are those of the column expression of this name."""
+    """(thickness, length, angle, vertical) of a rectangle; the rules are those of the column expression of this name, one after another."""
     upright = abs(angle) <= 30 and b > a * ASPECT or abs(angle) >= 60 and a > b * ASPECT
-    turn = 180 if angle < -30 else 0
-    swaps = 0
-    for due, by in ((lambda t: not upright and t < 30, 90), (lambda t: upright and t >= 60, -90), (lambda t: not upright and (b, a)[swaps % 2 == 0] > (a, b)[swaps % 2 == 0], -90)):
-        if due(angle + turn):
-            turn, swaps = turn + by, swaps + 1
-    return (b, a, angle + turn, upright) if swaps % 2 else (a, b, angle + turn, upright)
+    if angle < -30:
+        angle += 180
+    if not upright and angle < 30:
+        a, b, angle = b, a, angle + 90
+    if upright and angle >= 60:
+        a, b, angle = b, a, angle - 90
+    if not upright and a > b:
+        a, b, angle = b, a, angle - 90
+    return a, b, angle, upright
 
 
 def borders(mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

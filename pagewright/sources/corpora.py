@@ -16,25 +16,39 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators.pixels import quarter_turned
-from pagewright.sources import corpus, readers
+from pagewright.sources import corpus, sinks
 
-TEXTS = [
-    ("en", ["The brown fox jumps over the lazy dog,", "then walks home (slowly) at 10.45."]),
-    ("pt", ["Um cao dorme na varanda e sonha", "com a lua: informaçao, atençao."]),
-    ("en", ["price, amount, total", "12.50, 3, 37.50", "1.99, 10, 19.90"]),
-    ("en", ["Queue: 0 jobs", "Disk 87 used", "Last run - ok"]),
-    ("fr", ["Le métro est là; où es-tu?", "Déjà vu à Besançon."]),
-]
+#: Fixed value: the seed of all that is made here.
+SEED = 20260301
+#: Scripts: name, script, language, direction, first letter, letters.
 SCRIPTS = [
-    ("russian", "Cyrl", "ru", "ltr", ["Добрый день, мир!", "Это вторая строка."]),
-    ("greek", "Grek", "el", "ltr", ["Καλημέρα κόσμε", "δεύτερη γραμμή."]),
-    ("japanese", "Jpan", "ja", "ltr", ["こんにちは世界", "カタカナの行。"]),
-    ("mandarin", "Hans", "zh", "ltr", ["你好，世界", "第二行文字。"]),
-    ("arabic", "Arab", "ar", "rtl", ["مرحبا بالعالم", "السطر الثاني"]),
-    ("azerbaijani", "Latn", "az", "ltr", ["Salam dünya, necəsən?", "İkinci sətir."]),
-    ("hebrew", "Hebr", "he", "rtl", ["שלום עולם", "שורה שנייה"]),
-    ("georgian", "Geor", "ka", "ltr", ["გამარჯობა მსოფლიო", "მეორე ხაზი."]),
-]
+    ("russian", "Cyrl", "ru", "ltr", 0x430, 32), ("greek", "Grek", "el", "ltr", 0x3B1, 17), ("japanese", "Jpan", "ja", "ltr", 0x3042, 80), ("mandarin", "Hans", "zh", "ltr", 0x4E00, 900),
+    ("arabic", "Arab", "ar", "rtl", 0x641, 10), ("azerbaijani", "Latn", "az", "ltr", 0x61, 26), ("hebrew", "Hebr", "he", "rtl", 0x5D0, 27), ("georgian", "Geor", "ka", "ltr", 0x10D0, 33),
+]
+
+
+def rule(*key: object) -> np.random.Generator:
+    """Numbers that the seed and a key fix."""
+    return np.random.default_rng([SEED, *"/".join(map(str, key)).encode()])
+
+
+def made_lines(n: int, words: int, first: int, letters: int, *key: object) -> list[str]:
+    """Lines of words of letters from a range of code points."""
+    r = rule("lines", *key)
+    return [" ".join("".join(chr(first + int(x)) for x in r.integers(0, letters, r.integers(2, 8))) for _ in range(words)) for _ in range(n)]
+
+
+def made_numbers(n: int, *key: object) -> list[str]:
+    """Lines of amounts, as a bill has them."""
+    r = rule("numbers", *key)
+    return [", ".join(f"{r.integers(1, 900)}.{r.integers(0, 100):02}" for _ in range(3)) for _ in range(n)]
+
+
+#: Texts of the benchmark: words, longer words, amounts, labels with amounts, a single line.
+TEXTS = [
+    ("en", made_lines(2, 5, 0x61, 26, "plain")), ("pt", made_lines(3, 4, 0x61, 26, "longer")), ("en", made_numbers(3, "amounts")),
+    ("en", [f"{a}: {b}" for a, b in zip(made_lines(3, 1, 0x61, 26, "labels"), made_numbers(3, "labels"), strict=True)]), ("fr", made_lines(1, 6, 0x61, 26, "single")),
+]
 CONFUSED = ["花", "回"]
 BLACK_ON_WHITE = {"foreground": "#000000", "background": "#FFFFFF"}
 _ROLES = {"primary": "ruled", "alternate": "ruled-wide"}
@@ -60,10 +74,20 @@ LOOKS = [
     Look("skew-5deg", degrade=lambda p: corpus.skewed(p, 5.0)), Look("skew-12deg", degrade=lambda p: corpus.skewed(p, 12.0)), Look("blur-5px", degrade=lambda p: corpus.blurred(p, 5)),
     Look("noise-sigma25", degrade=corpus.noisy), Look("quantised-40", degrade=lambda p: corpus.quantised(p, 40)), Look("faded-40pc", degrade=lambda p: corpus.faded(p, 0.4)),
 ]
+
+
+def palette(dark: bool, *key: object) -> dict[str, str]:
+    """Two colours far apart in brightness, of hues that the key fixes."""
+    r = rule("palette", *key)
+    shade = lambda low, high: "#" + "".join(f"{int(x):02X}" for x in r.integers(low, high, 3))
+    ink, ground = shade(0, 80), shade(190, 256)
+    return {"foreground": ground, "background": ink} if dark else {"foreground": ink, "background": ground}
+
+
 SCRIPT_LOOKS = [
     Look("clean"),
-    Look("warm-small-objects", unit=2, pad=42, role="alternate", palette={"foreground": "#402010", "background": "#FFF0D0"}, objects=("circle", "rectangle")),
-    Look("night-large-objects", unit=4, pad=48, palette={"foreground": "#E0E8F0", "background": "#101820"}, objects=("rectangle", "polygon")),
+    Look("tinted-loose", unit=3, pad=56, role="alternate", palette=palette(False, "tinted"), objects=("polygon", "circle")),
+    Look("inverse-large", unit=5, pad=64, palette=palette(True, "inverse"), objects=("circle", "rectangle")),
 ]
 
 
@@ -78,9 +102,17 @@ def colour(text: str) -> np.ndarray:
 
 
 def objects_of(width: int, height: int, kinds: Sequence[str]) -> list[dict]:
-    """What stands beside the text: a disc above left, a bar above right, a triangle below left."""
-    places = {"circle": ([6, 6, 16, 16], "#F0A020"), "rectangle": ([max(0, width - 70), 8, 60, 12], "#80C0D0"), "polygon": ([8, max(0, height - 26), 22, 16], "#50B0B0")}
-    return [{"kind": k, "bounds": places[k][0], "fill": places[k][1]} for k in kinds]
+    """What stands beside the text: each object in a margin, of a place, size and colour that the page's size and its turn fix."""
+    records = []
+    for turn, kind in enumerate(kinds):
+        r = rule("object", width, height, turn, kind)
+        margin = max(10, min(width, height) // 6)
+        w, h = (int(x) for x in r.integers(margin // 2, margin, 2))
+        h = w if kind == "circle" else h
+        along = int(r.integers(0, max(1, width - w)))
+        top = 2 if turn % 2 else max(0, height - h - 2)
+        records.append({"kind": kind, "bounds": [along, top, w, h], "fill": "#" + "".join(f"{int(x):02X}" for x in r.integers(90, 220, 3))})
+    return records
 
 
 def decorated(page: np.ndarray, palette: dict[str, str], kinds: Sequence[str]) -> tuple[np.ndarray, list[dict]]:
@@ -99,14 +131,19 @@ def decorated(page: np.ndarray, palette: dict[str, str], kinds: Sequence[str]) -
     return np.rint(ground * (1 - ink) + colour(palette["foreground"]) * ink).astype(np.uint8), records
 
 
-def icons() -> tuple[np.ndarray, list[dict]]:
-    """A page of two signs that are no letters: a ring with a dot, a frame in a frame."""
-    y, x = np.mgrid[0:180, 0:360]
-    away = np.hypot(x - 100, y - 90)
-    frame = np.maximum(np.abs(x - 270), np.abs(y - 90))
-    ink = (away < 18) | ((away > 38) & (away < 48)) | (frame < 24) | ((frame > 40) & (frame < 48))
-    page = np.where(ink[..., None], colour("#182028"), 255.0).astype(np.uint8)
-    return page, [{"kind": "circle", "bounds": [52, 42, 96, 96], "fill": "#182028"}, {"kind": "rectangle", "bounds": [222, 42, 96, 96], "fill": "#182028"}]
+def icons(n: int = 4, cell: int = 120) -> tuple[np.ndarray, list[dict]]:
+    """A page of signs that are no letters, in a row: rings and frames in each other, of widths that a rule fixes."""
+    y, x = np.mgrid[0:cell, 0:cell] - (cell - 1) / 2
+    page, records = np.full((cell, n * cell, 3), 255, np.uint8), []
+    for i in range(n):
+        r = rule("icon", i)
+        kind = "circle" if i % 2 == 0 else "rectangle"
+        away = np.hypot(x, y) if kind == "circle" else np.maximum(np.abs(x), np.abs(y))
+        edges = np.cumsum(r.integers(5, 12, 4))
+        page[:, i * cell : (i + 1) * cell][np.searchsorted(edges, away) % 2 == 0] = 24
+        side = 2 * int(edges[-1])
+        records.append({"kind": kind, "bounds": [i * cell + cell // 2 - side // 2, cell // 2 - side // 2, side, side], "fill": "#181818"})
+    return page, records
 
 
 def case(id_: str, look: Look, page: np.ndarray, lines: Sequence[str], *, script: str, language: str, direction: str = "ltr", objects: Sequence[dict] = (), recognition: dict | None = None, **more) -> tuple[dict, np.ndarray]:
@@ -129,7 +166,8 @@ def benchmark_cases() -> list[Callable[[], tuple[dict, np.ndarray]]]:
 def script_cases() -> list[Callable[[], tuple[dict, np.ndarray]]]:
     """Eight scripts in three looks, a page of letters that are easily taken for signs, and two without letters."""
 
-    def made(name, script, language, direction, lines, look):
+    def made(name, script, language, direction, first, letters, look):
+        lines = made_lines(2, 3, first, letters, name)
         page = corpus.render(lines, look.unit, look.pad, letters=None, right_to_left=direction == "rtl")
         page, objects = decorated(page, look.palette, look.objects)
         return case(f"{name}-{look.name}".removesuffix("-clean"), look, page, lines, script=script, language=language, direction=direction, objects=objects)
@@ -140,7 +178,7 @@ def script_cases() -> list[Callable[[], tuple[dict, np.ndarray]]]:
 
     def shapes():
         look = Look("negative-background-objects", objects=("circle", "rectangle", "polygon"))
-        page, objects = decorated(np.full((180, 360, 3), 255, np.uint8), look.palette, look.objects)
+        page, objects = decorated(np.full((240, 320, 3), 255, np.uint8), look.palette, look.objects)
         return case("negative-background-objects", look, page, [], script="Zyyy", language="und", objects=objects, content_label="negative-background-object", known_false_readings=CONFUSED, font=None, recognition=_NOBODY)
 
     confused = lambda: case("positive-cjk-confused", look := Look("positive-cjk-confused", unit=6, pad=52), corpus.render(CONFUSED, look.unit, look.pad, letters=None), CONFUSED, script="Hans", language="zh", content_label="positive-cjk")
@@ -171,18 +209,8 @@ def cases(spark: SparkSession, name: str) -> DataFrame:
 
 
 def write(spark: SparkSession, name: str, folder: str) -> int:
-    """Writes a corpus: its images one after another, then the manifest; returns how many cases there are."""
-    entries = []
-    for row in cases(spark, name).orderBy("place").toLocalIterator():
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['image']}")
-        out = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path, True)
-        try:
-            out.write(row["content"])
-        finally:
-            out.close()
-        entries.append(json.loads(row["case"]))
-    readers.write_manifest(f"{folder}/ground-truth.json", {"schema_version": 4, "cases": entries})
-    return len(entries)
+    """Writes a corpus: its images by tasks, then the manifest; returns how many cases there are."""
+    return sinks.write_corpus(cases(spark, name), folder)
 
 
 def uncovered(texts: DataFrame, coverage: DataFrame, text: Column) -> DataFrame:

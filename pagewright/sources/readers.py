@@ -70,14 +70,6 @@ def write_manifest(path: str, document: dict) -> None:
         json.dump(document, out, ensure_ascii=False, indent=2)
 
 
-def write_results(rows: DataFrame, path: str, documents: int = 1) -> None:
-    """Results documents ({engine, device, rows}), so many for each engine, with their rows by id."""
-    others = [c for c in rows.columns if c not in ("engine", "device")]
-    part = F.pmod(F.xxhash64("id"), F.lit(documents))
-    grouped = rows.groupBy("engine", "device", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", *(c for c in others if c != "id")))).alias("rows"))
-    grouped.drop("part").write.option("ignoreNullFields", False).json(path)
-
-
 def hex_number(text: Column) -> Column:
     """A number in hexadecimal digits, 0x before them or not; null for anything else."""
     digits = F.regexp_extract(F.trim(text), r"^(?:0[xX])?([0-9a-fA-F]{1,15})$", 1)

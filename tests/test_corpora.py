@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import catalog, manifest
 from pagewright.plans import compare, run_corpus
 from pagewright.plans.read_pages import rendered
-from pagewright.sources import corpora, readers
+from pagewright.sources import corpora, readers, sinks
 from pagewright.sources.__main__ import main as command
 
 
@@ -41,7 +41,10 @@ def test_quarter_turns_and_decorations():
         corpora.quarter_turned(page, 45)
     blank, records = corpora.decorated(np.full((100, 200, 3), 255, np.uint8), {"foreground": "#000000", "background": "#102030"}, ("circle", "rectangle", "polygon"))
     assert [r["kind"] for r in records] == ["circle", "rectangle", "polygon"] and tuple(blank[50, 100]) == (16, 32, 48)
-    assert tuple(blank[14, 14]) == (240, 160, 32)
+    for r in records:
+        x, y, w, h = r["bounds"]
+        assert 0 <= x and x + w <= 200 and 0 <= y and y + h <= 100 and tuple(blank[y + h // 2, x + w // 2]) == tuple(int(r["fill"][i : i + 2], 16) for i in (1, 3, 5))
+    assert corpora.objects_of(200, 100, ("circle",)) == records[:1]
 
 
 def test_run_and_compare(spark, orientation, tmp_path):
@@ -51,7 +54,7 @@ def test_run_and_compare(spark, orientation, tmp_path):
     assert len(found) == 4 and all(r["ms"] > 0 and r["selection"] == '{"model":"v6-medium"}' for r in found.values())
     assert {i for i, r in found.items() if r["exact"]} >= {"orientation-000deg"} and all(len(found[i]["truth_lines"]) == 2 for i in upright)
     assert "cer=0.000" in run_corpus.progress(rows).where("id = 'orientation-000deg'").first()["line"]
-    readers.write_results(rows, str(tmp_path / "results"))
+    sinks.write_results(rows, str(tmp_path / "results"))
     back = readers.results(spark, str(tmp_path / "results" / "*.json"))
     assert sorted(r["id"] for r in back.collect()) == sorted(found)
     cases = readers.cases(spark, orientation)
