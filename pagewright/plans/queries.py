@@ -543,6 +543,17 @@ def expired_jobs(spark, sf_dir):
     return rows.select("event_id", "user_id", (F.col("reply").isNull() | (F.col("reply") > F.col("ts") + F.expr("INTERVAL 120 SECONDS"))).alias("expired"))
 
 
+@query("""
+SELECT event_id, user_id, reply IS NULL OR reply > ts + INTERVAL 120 SECOND AS expired FROM (SELECT event_id, user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS reply FROM events)""")
+def stream_expired_jobs(spark, sf_dir):
+    """The same of a stream, each job told when event time passes its deadline."""
+    from pagewright.streaming import deadlines
+    from pagewright.streaming import telemetry as live
+
+    jobs = deadlines.expired_jobs(live.ended(live.stream(spark, sf_dir, "events").select("event_id", "user_id", "ts")))
+    return live.settled(jobs, "append", state_store=deadlines.ROCKS)
+
+
 @query("SELECT lang, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY lang")
 def warmup_first(spark, sf_dir):
     return scheduling.first_of_each(table(spark, sf_dir, "documents").select("lang", "doc_id", "source"), "lang", "doc_id").select("lang", "doc_id", "source")
@@ -594,8 +605,8 @@ SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS samples, round(s
 def stream_telemetry(spark, sf_dir):
     from pagewright.streaming import telemetry as live
 
-    counted = live.windowed(live.stream(spark, sf_dir, "events"), "1 hour", "10 minutes", "event_type")
-    return live.settled(counted, "complete").withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    counted = live.windowed(live.ended(live.stream(spark, sf_dir, "events")), "1 hour", "10 minutes", "event_type")
+    return live.settled(counted, "append").withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("""

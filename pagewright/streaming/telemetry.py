@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,32 @@ from pagewright.shared import shared_folder
 
 
 def windowed(samples: DataFrame, width: str = "1 hour", late: str = "10 minutes", *keys: str) -> DataFrame:
-    """Count, sum and maximum of (ts, value) in tumbling windows; samples later than ``late`` are left out."""
+    """Count, sum and maximum of (ts, value) in tumbling windows, each told once, when no sample in time can fall into it any more.
+
+    Samples that come later than ``late`` are left out. For append mode: what a
+    window holds is dropped when it is told, so state is that of open windows.
+    """
     return samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), *keys).agg(F.count("*").alias("samples"), F.sum("value").alias("total"), F.max("value").alias("most")).select(F.col("window.start").alias("start"), *keys, "samples", "total", "most")
 
 
+#: A time after all others, in seconds (the year 9000).
+_AFTER_ALL = 221_845_392_000
+
+
+def ended(samples: DataFrame, time: str = "ts") -> DataFrame:
+    """A bounded stream with one row after all others, null but for its time, so that event time passes all windows and deadlines.
+
+    It comes with the last rows of a run over what is there now; in append mode
+    its own window is never told.
+    """
+    spark = samples.sparkSession
+    path = posixpath.join(shared_folder(spark), f"ended-{uuid.uuid4().hex}")
+    kinds = dict(samples.dtypes)
+    last = F.timestamp_seconds(F.lit(_AFTER_ALL)).cast(kinds[time])
+    spark.range(1).select(*(last.alias(c) if c == time else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items())).write.parquet(path)
+    return samples.unionByName(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
+
+
 REPLY = "key long, generation long, event_id long, stale boolean"
 STATE = "generation long"
 
@@ -63,7 +86,18 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def settled(result: DataFrame, mode: str) -> DataFrame:
+@contextmanager
+def _state_store(spark: SparkSession, provider: str | None) -> Iterator[None]:
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider or before)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def settled(result: DataFrame, mode: str, *, state_store: str | None = None) -> DataFrame:
     """What a stream gives for all that is there now, written in the shared folder and read back.
 
     Each batch has a folder of its own, which a repeated batch writes anew; in
@@ -77,8 +111,9 @@ def settled(result: DataFrame, mode: str) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
         last[:] = [batch]
 
-    run = result.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
+    with _state_store(spark, state_store):
+        run = result.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
     if not last:
         return spark.createDataFrame([], result.schema)
     path = f"{base}/out/batch={last[0]}" if mode == "complete" else f"{base}/out"
