@@ -21,8 +21,9 @@ for one with probability below n / 2**64 each, and sets are told apart by 128 bi
 Defined results: a null or empty text, or one without a word, has no shingle,
 is linked with nothing and is its own component; a text of fewer words than a
 shingle is one shingle; rows that repeat an id count as one document with
-several texts; a row with a null id gets its class's component if it has one
-and else null, and is kept if it has no class mate; very long texts are used
+several texts; a row with a null id gets the component of its class if that has
+rows with ids and else null, and is kept in the latter case only, so copies among
+rows without ids are all kept unless ``keyed`` gives them keys; very long texts are used
 whole; an empty table gives an empty result. Extra columns are ignored, whatever
 their names.
 """
@@ -242,5 +243,29 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+#: Ids that several rows have (or none), up to which they are sent to all tasks instead of shuffling documents.
+MOST_SENT = 100_000
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row) of ``docs``, with keys in the place of ids, so that no two rows have one key and none is null.
+
+    An id that one row has is its key. Rows that share an id or have none are told
+    apart by their texts: a key far below zero is fixed by id and text, and of
+    rows that have both in common the one of the least hash stands for all.
+    """
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    shared = cut_pairs(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("shared_id")))
+    n = shared.count()
+    if not n:
+        return rows.select("doc_id", "text", "row")
+    side = F.broadcast(shared) if n <= MOST_SENT else shared
+    same = F.col("doc_id").eqNullSafe(F.col("shared_id"))
+    key = F.lit(-(2**63)) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")), F.col("text").isNull()), 8)
+    told = rows.join(side, same, "left_semi").withColumn("key", key)
+    one = told.groupBy("key").agg(F.min_by(F.struct("text", "row"), F.xxhash64("row")).alias("one")).select(F.col("key").alias("doc_id"), "one.text", "one.row")
+    return rows.join(side, same, "left_anti").select("doc_id", "text", "row").unionByName(cut(one))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle_words=4)

@@ -3,65 +3,78 @@
 A dimension is a term, a row's non-zero integer component there a posting. For a
 block of queries and a batch of rows there is a dense array of scores; term by
 term, each query's weight is scattered with the term's postings into it. The
-best k of each query in a tile are found by partition selection, of equal
-scores those of smaller ids, and merged.
+best k of each query are found by partition selection, of equal scores those of
+smaller ids, and merged, first in a task, then over all.
 
-Queries lie in blocks and rows in tiles, both of bounded size and dealt by hash;
-every block meets every tile in a group of its own. The driver holds neither,
-and the plan is the same for any number of queries. Each row is shuffled once a
-block of queries, and k results a query and tile.
+Rows are not moved: each task streams over its own rows, and queries come to it
+by broadcasts of at most ``PASS_BYTES``, one pass over the rows each. What is
+shuffled are k results a query and task. The driver holds one pass's queries.
 
 Defined results: a vector that is null or holds a null or non-finite component
 takes no part, neither does a row without an id; a shorter vector has no posting
 in the terms it lacks; an empty one scores 0; a row does not meet rows of its own
 id; a repeated query id is one query, the row with the smallest vector; repeated
-candidates are ranked each time; without queries or rows there is no result. A
-component of 2**53 or more in size after scaling is an error, as is a score that
-is no long. Extra columns are ignored, whatever their names.
+candidates are ranked each time; without queries or rows there is no result.
+Components and scores of any size are exact; a score beyond the ends of a long
+counts as that end, when it is ranked too. Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm._session import cut, partitions
+from pagewright.llm._session import cut
 
 BLOCK_QUERIES = 1024
-TILE_ROWS = 1 << 16
-_LEAST_TILE = 1 << 10
+#: Bytes of one pass's queries, and cells of a dense array of scores or rows.
+PASS_BYTES = 1 << 26
 _CELLS = 1 << 21
+_LONG = 2**63
 
 
-def scaled(vectors: DataFrame, *, id_column: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
-    """(vec_id, terms array<long>) of the rows that take part."""
+def scaled(vectors: DataFrame, *, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(vec_id, terms array<double>) of the rows that take part."""
     x = F.col(vector)
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
-    sized = lambda v: F.when(F.abs(v) < 2.0**53, F.floor(v)).otherwise(F.raise_error(F.lit("a component is too large")).cast("long"))
-    whole = F.transform(x, lambda v: sized(v.cast("double") * scale))
-    return vectors.where(x.isNotNull() & F.col(id_column).isNotNull()).where(finite).select(F.col(id_column).cast("long").alias("vec_id"), whole.alias("terms"))
+    return vectors.where(x.isNotNull() & F.col(id_column).isNotNull()).where(finite).select(F.col(id_column).cast("long").alias("vec_id"), x.cast("array<double>").alias("terms"))
 
 
-def _matrix(lists: pa.Array) -> np.ndarray:
+def whole(values: np.ndarray, scale: int) -> np.ndarray:
+    """``floor(scale * x)`` of each value, exact: 64-bit integers, or Python's where one does not fit."""
+    if not len(values) or np.abs(values).max() * scale < 2.0**53:
+        return np.floor(values * scale).astype(np.int64)
+    # A double of 2**53 or more is an integer itself.
+    return np.array([int(x) * scale if abs(x) >= 2.0**53 else int(np.floor(x * scale)) for x in values.tolist()], object)
+
+
+def _matrix(lists: pa.ListArray, scale: int) -> np.ndarray:
     """Rows x terms; a list that is shorter than the longest ends in zeros."""
     lengths = np.asarray(lists.value_lengths())
-    flat = np.asarray(lists.flatten())
-    out = np.zeros((len(lists), int(lengths.max(initial=0))), np.int64)
+    flat = whole(np.asarray(lists.flatten()), scale)
+    out = np.zeros((len(lists), int(lengths.max(initial=0))), flat.dtype)
     out[np.arange(out.shape[1]) < lengths[:, None]] = flat
     return out
 
 
+def _most(x: np.ndarray) -> int:
+    return max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+
+
 def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Scores (queries x rows), built up term by term; Python's integers where they may not fit 64 bits."""
     terms = min(queries.shape[1], rows.shape[1])
-    most = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
-    fits = most(queries) * most(rows) * terms < 2**63
+    fits = _most(queries) * _most(rows) * terms < _LONG
     if not fits:
         queries, rows = queries.astype(object), rows.astype(object)
+    elif object in (queries.dtype, rows.dtype):
+        queries, rows = queries.astype(np.int64), rows.astype(np.int64)
     scores = np.zeros((len(queries), len(rows)), np.int64 if fits else object)
     for term in range(terms):
         having = np.flatnonzero(rows[:, term])
@@ -76,52 +89,77 @@ def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return scores
 
 
+def scored(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit integers. The few rows and queries that are too large for that arithmetic go a slower way, the others do not."""
+    terms = max(1, min(queries.shape[1], rows.shape[1]))
+    bound = int((_LONG // terms) ** 0.5) - 1
+    small = lambda x: np.array([_most(v) < bound for v in x], bool) if _most(x) >= bound else np.ones(len(x), bool)
+    q, r = small(queries), small(rows)
+    out = np.zeros((len(queries), len(rows)), np.int64)
+    ends = lambda x: np.clip(x, -_LONG, _LONG - 1).astype(np.int64) if x.size else x.astype(np.int64)
+    for one in (q, ~q):
+        for two in (r, ~r):
+            if one.any() and two.any():
+                out[np.ix_(one, two)] = ends(accumulate(queries[one], rows[two]))
+    return out
+
+
 def select(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> list[np.ndarray]:
     """Places of each query's k best allowed rows; of equal scores those of smaller ids."""
     out = []
     for score, may in zip(scores, allowed, strict=True):
         places = np.flatnonzero(may)
-        if score.dtype == object:
-            out.append(np.array(sorted(places, key=lambda p: (-score[p], ids[p]))[:k], np.int64))
-            continue
         if len(places) > k:
             own = score[places]
             least = np.partition(own, len(own) - k)[len(own) - k]
             places = places[own >= least]  # with all ties at the edge
-        out.append(places[np.lexsort((ids[places], -score[places]))][:k])
+        out.append(places[np.lexsort((ids[places], -(score[places] + 1)))][:k])  # so that the least long has a negative too
     return out
 
 
-def _search(k: int) -> Callable:
-    """One block of queries against one tile of rows (both vec_id, terms)."""
-
-    def run(block: pa.Table, tile: pa.Table) -> pa.Table:
-        query_ids, queries = np.asarray(block["vec_id"]), _matrix(block["terms"].combine_chunks())
-        best: dict[int, list[tuple[int, int]]] = {}
-        step = max(1, _CELLS // max(1, len(query_ids)))
-        for at in range(0, tile.num_rows if len(query_ids) else 0, step):
-            part = tile.slice(at, step)
-            ids, rows = np.asarray(part["vec_id"]), _matrix(part["terms"].combine_chunks())
-            scores = accumulate(queries, rows)
-            for q, places in enumerate(select(scores, ids, ids[None, :] != query_ids[:, None], k)):
-                found = [(-int(scores[q, p]), int(ids[p])) for p in places]
-                best[q] = sorted(best.get(q, []) + found)[:k]
-        rows = [(int(query_ids[q]), i, -s) for q, found in best.items() for s, i in found]
-        return pa.table({name: pa.array([r[i] for r in rows], pa.int64()) for i, name in enumerate(("query_id", "vec_id", "score"))})
+def _search(asked: Broadcast, k: int, scale: int) -> Callable:
+    """The best k of a task's rows (vec_id, terms) for each query of a pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, lists = asked.value
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in query_ids]
+        # Block by block as numbers, so that one wide or huge query does not widen all.
+        blocks = [(at, _matrix(lists.slice(at, BLOCK_QUERIES), scale)) for at in range(0, len(query_ids), BLOCK_QUERIES)]
+        for batch in batches:
+            widest = int(np.asarray(batch.column(1).value_lengths()).max(initial=1)) if batch.num_rows else 1
+            step = max(1, _CELLS // max(min(BLOCK_QUERIES, max(1, len(query_ids))), widest))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                ids, rows = np.asarray(part.column(0)), _matrix(part.column(1), scale)
+                for at, queries in blocks:
+                    own = query_ids[at : at + BLOCK_QUERIES]
+                    scores = scored(queries, rows)
+                    for q, places in enumerate(select(scores, ids, ids[None, :] != own[:, None], k)):
+                        s, i = np.concatenate([held[at + q][0], scores[q, places]]), np.concatenate([held[at + q][1], ids[places]])
+                        best = np.lexsort((i, -(s + 1)))[:k]
+                        held[at + q] = s[best], i[best]
+        sizes = [len(s) for s, _ in held]
+        if sum(sizes):
+            yield pa.record_batch({"query_id": pa.array(np.repeat(query_ids, sizes)), "vec_id": pa.array(np.concatenate([i for _, i in held])), "score": pa.array(np.concatenate([s for s, _ in held]))})
 
     return run
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``rows`` for each of ``queries`` (both vec_id, terms)."""
+    spark = rows.sparkSession
     queries = cut(queries.groupBy("vec_id").agg(F.min("terms").alias("terms")))
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    n = rows.count()
-    tiles = max(1, -(-n // TILE_ROWS), min(partitions(rows.sparkSession), n // _LEAST_TILE))
-    meet = lambda own, other, count: own.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    asked = meet(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "tile", tiles)
-    held = meet(rows.select("vec_id", "terms").withColumn("tile", F.pmod(F.xxhash64("vec_id", "terms"), F.lit(tiles)).cast("int")), "block", blocks)
-    found = asked.groupBy("block", "tile").cogroup(held.groupBy("block", "tile")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    held = queries.agg(F.sum(F.size("terms") + 2)).first()[0] or 0
+    passes = max(1, -(-8 * held // PASS_BYTES))
+    found = None
+    for i in range(passes):
+        asked = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).toArrow()
+        sent = spark.sparkContext.broadcast((np.asarray(asked["vec_id"]), asked["terms"].combine_chunks()))
+        own = rows.select("vec_id", "terms").mapInArrow(_search(sent, k, scale), "query_id long, vec_id long, score long")
+        if passes > 1:
+            own = cut(own)
+            sent.destroy()
+        found = own if found is None else found.unionByName(own)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

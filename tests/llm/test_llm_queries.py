@@ -374,16 +374,43 @@ def test_search_with_clashing_columns_and_large_numbers(spark, monkeypatch):
     frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, -1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>").withColumn("terms", F.lit("x")).withColumn("block", F.lit(1)).withColumn("tile", F.lit(2))
     rows = topk_search.scaled(frame)
     assert [tuple(r) for r in topk_search.top_k(rows, rows.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 2, 1536 * 1024), (0, 2, 1, 1024 * 1024)]
-    monkeypatch.setattr(topk_search, "_LEAST_TILE", 1)
+    monkeypatch.setattr(topk_search, "PASS_BYTES", 40)
     assert topk_search.top_k(rows, rows).count() == 6
     wide = spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [2.0**11, 3.0]), (2, [-(2.0**11), 3.0])], "vec_id long, embedding array<double>")
-    large = topk_search.scaled(wide, scale=1)
-    assert [r["score"] for r in topk_search.top_k(large, large.where("vec_id = 0")).orderBy("rank").collect()] == [2**51 + 3, -(2**51) + 3]
-    with pytest.raises(Exception, match="too large"):
-        topk_search.scaled(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>")).collect()
+    large = topk_search.scaled(wide)
+    assert [r["score"] for r in topk_search.top_k(large, large.where("vec_id = 0"), scale=1).orderBy("rank").collect()] == [2**51 + 3, -(2**51) + 3]
     assert topk_search.accumulate(np.array([[2**52, 2**40]]), np.array([[2**10, -(2**22)]])).tolist() == [[0]]
-    with pytest.raises(Exception, match="OverflowError"):
-        topk_search.top_k(large, large.where("vec_id = 0").withColumn("vec_id", F.lit(9).cast("long"))).collect()
+
+
+def plain_best(vectors, k=10):
+    """Whole numbers of any size; scores beyond a long count as its end."""
+    low, high = -(2**63), 2**63 - 1
+    whole = {i: [int(x) * 1024 if abs(x) >= 2.0**53 else math.floor(1024 * x) for x in v] for i, v in vectors}
+    out = []
+    for q in (i for i in whole if i % 100 == 0):
+        found = sorted((-max(low, min(high, sum(a * b for a, b in zip(whole[q], v, strict=False)))), i) for i, v in whole.items() if i != q)[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    return sorted(out)
+
+
+def test_search_with_huge_components_among_good_rows(spark):
+    r = random.Random(12)
+    vectors = [(i, [r.uniform(-1, 1) for _ in range(6)]) for i in range(220)]
+    vectors += [(300, [1e20, 1.0, 0, 0, 0, 0.0]), (301, [1e300, 0.0]), (302, [-1e20] * 6), (400, [2.0**53, 2.0**-10]), (303, [2.0**50, -(2.0**50), 0.5]), (304, [-1e-300] * 6)]
+    vectors = [(i, [float(x) for x in v]) for i, v in vectors]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    rows = topk_search.scaled(frame)
+    found = topk_search.top_k(rows, rows.where("vec_id % 100 = 0"))
+    assert sorted(tuple(x) for x in found.collect()) == plain_best(vectors)
+
+
+def test_search_of_wide_vectors_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "PASS_BYTES", 1 << 16)
+    monkeypatch.setattr(topk_search, "_CELLS", 1 << 13)
+    r = np.random.default_rng(5)
+    vectors = [(i, r.normal(size=4096).tolist()) for i in range(401)]
+    rows = topk_search.scaled(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(2))
+    assert sorted(tuple(x) for x in topk_search.top_k(rows, rows.where("vec_id % 100 = 0")).collect()) == plain_best(vectors)
 
 
 # The pipeline ----------------------------------------------------------------
@@ -395,4 +422,35 @@ def test_near_copies_among_rows_without_or_with_equal_ids(spark):
     found = [corpus_pipeline.drop_near_copies(spark, docs.repartition(n), FOLDER) for n in (1, 5)]
     assert found[0].columns == docs.columns
     kept = [sorted(map(repr, x.collect())) for x in found]
-    assert kept[0] == kept[1] and len(kept[0]) == 4
+    assert kept[0] == kept[1] and len(kept[0]) == 5
+    texts = [r.text for r in found[0].collect()]
+    assert {"one thing", "another thing", "apart from all", None} < set(texts) and sum(t is not None and t.startswith(base) for t in texts) == 1
+
+
+def test_near_dedup_stage_against_all_pairs(spark, monkeypatch):
+    """Rows with ids, shared ids and none: one row of each group of similar texts stays, and every row alone."""
+    r = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(25):
+        own = [r.choice(vocabulary) for _ in range(r.randrange(8, 90))]
+        texts += [" ".join(own), " ".join(own), " ".join([*own[: len(own) - 1], "end"]), " ".join([*own, "more"])][: r.randrange(1, 5)]
+    rows = [(r.choice([i, i, i, 7, 8, None]), t, "x") for i, t in enumerate([*texts, None, "", "one two"])]
+
+    def shingles(t):
+        w = words(t)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    sets = [shingles(t) for _, t, _ in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+            if alike or rows[i] == rows[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most in (100_000, 0):
+        monkeypatch.setattr(near_dedup, "MOST_SENT", most)
+        kept = [tuple(x) for x in corpus_pipeline.drop_near_copies(spark, docs.repartition(3), FOLDER).collect()]
+        assert len(kept) == len(set(group)) and {group[rows.index(k)] for k in kept} == set(group)
