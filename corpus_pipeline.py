@@ -37,19 +37,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id.
+    """One document of each near-duplicate group, that of the smallest key.
 
-    Of rows that repeat an id the one whose text (then whose row) has the least
-    hash stands for it. A row without an id is told by its text: it counts as one
-    of an id far below zero that its text fixes, so copies among such rows go too.
-    Null and empty texts are linked with nothing and stay.
+    Rows are told apart by their ids; those that share an id or have none by their
+    texts (``near_dedup.keyed``), so different texts with one id are documents of
+    their own. Null and empty texts are linked with nothing; of those with one id
+    in common (or none) one stays.
     """
-    text = F.col("row.text")
-    by_text = F.lit(-(2**63)) + F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 8)
-    keyed = docs.select(F.struct("*").alias("row")).select(F.coalesce("row.doc_id", by_text).alias("doc_id"), text.alias("text"), "row")
-    kept = near_dedup.near_duplicates(keyed).where("kept").select("doc_id").distinct()
-    one = keyed.groupBy("doc_id").agg(F.min_by("row", F.struct(F.xxhash64("text"), F.xxhash64("row"))).alias("row"))
-    return one.join(kept, "doc_id", "left_semi").select("row.*")
+    keyed = near_dedup.keyed(docs)
+    kept = near_dedup.near_duplicates(keyed).where("kept").select("doc_id")
+    return keyed.join(kept, "doc_id", "left_semi").select("row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
