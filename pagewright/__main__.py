@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import sys
 import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.cluster import ship
+from pagewright.engine import require_files
+from pagewright.errors import Refused
 from pagewright.operators import catalog
-from pagewright.plans.read_pages import read_pages
+from pagewright.plans.read_pages import read
 from pagewright.sources.readers import images
 
 
@@ -28,29 +31,38 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--precision", choices=sorted(catalog.PRECISION), default="fp32")
     parser.add_argument("--all-gpus", action="store_true", help="read on all executors; else one task at a time")
     parser.add_argument("--models", choices=[p[0] for p in catalog.PROFILES], default=catalog.DEFAULT_PROFILE)
+    parser.add_argument("--models-root", help="a folder that must hold the files of the chosen models")
     own = parser.parse_args(argv)
     spark = SparkSession.builder.appName("pagewright").getOrCreate()
     ship(spark)
     profile = catalog.profiles(spark).where(F.col("profile") == own.models).first()
+    if own.models_root:
+        try:
+            require_files(spark, catalog.model_files(spark).where(F.col("profile") == own.models), own.models_root, ("det", "ori", "rec") if profile["orients"] else ("det", "rec"))
+        except Refused as refused:
+            parser.error(str(refused))
     found = images(spark, own.folder)
     found = found.repartition(spark.sparkContext.defaultParallelism) if own.all_gpus else found.coalesce(1)
-    if not found.head(1):
-        parser.error(f"no image in {own.folder}")
-    lost = found.where("height < 1 or n_channels <> 3").count()
-    # An image's name stands for it; its hash is the key of its page.
-    pages = found.where("height > 0 and n_channels = 3").withColumn("page_id", F.xxhash64("origin"))
+    # An image's name stands for it; its hash is the key of its page. What is no image in colour is refused by the read itself.
+    pages = found.select(F.xxhash64("origin").alias("page_id"), "origin", "height", "width", F.when(F.col("n_channels") == 3, F.col("data")).alias("data"))
+    names = pages.select("page_id", "origin")
     times = []
     for _ in range(1 + own.repeat):
         began = time.perf_counter()
-        lines = read_pages(pages, nets=("det", "ori", "rec") if profile["orients"] else ("det", "rec")).join(pages.select("page_id", "origin"), "page_id").orderBy("origin", "center_y", "center_x").select("origin", "text", "confidence")
+        done = read(pages, nets=("det", "ori", "rec") if profile["orients"] else ("det", "rec"), spread=None if own.all_gpus else 1)
+        lines = done.lines.join(names, "page_id").orderBy("origin", "center_y", "center_x").select("origin", "text", "confidence")
         rows = lines.toLocalIterator() if not own.repeat else lines.collect()
         if not times:
             for row in rows:
                 print(f"{row['origin']}\t{row['confidence']:.3f}\t{row['text']}")
+            for row in done.refusals.join(names, "page_id").orderBy("origin", "region_id").toLocalIterator():
+                print(f"{row['origin']}\t{row['code']}: {row['detail']}", file=sys.stderr)
         times.append(time.perf_counter() - began)
-    print(f"{lost} unreadable; first read {times[0]:.2f} s" + (f", median of {own.repeat} more {sorted(times[1:])[own.repeat // 2]:.2f} s" if own.repeat else ""))
+    if not done.regions + done.refused and not found.head(1):
+        parser.error(f"no image in {own.folder}")
+    print(f"{done.refused} refused; first read {times[0]:.2f} s" + (f", median of {own.repeat} more {sorted(times[1:])[own.repeat // 2]:.2f} s" if own.repeat else ""))
     print(f"models: {profile['detector']}, {profile['recognizer']}; precision: " + ", ".join(f"{k}={v}" for k, v in catalog.options(own.precision).items()))
-    return 2 if lost else 0
+    return 2 if done.refused else 0
 
 
 if __name__ == "__main__":

@@ -13,7 +13,7 @@ from typing import Protocol
 import numpy as np
 
 from pagewright.errors import Refused
-from pagewright.operators.pixels import DET_MEAN, DET_NORM, LINE_MEAN, LINE_NORM, borders
+from pagewright.operators.pixels import DET_MEAN, DET_NORM, LINE_MEAN, LINE_NORM, PAD, borders
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?'()-éèêàçüöäßñóíáú"
 DICTIONARY = [*LETTERS, " "]
@@ -21,7 +21,7 @@ ROWS, COLUMNS, PITCH = 7, 5, 6
 
 
 class InferenceBackend(Protocol):
-    """``detect`` and ``recognise`` get tensors less their mean, times their norm; ``orient`` a patch as it was cut."""
+    """All three get tensors less their mean, times their norm: a page, a line's patch at 160 x 80, a patch 48 high."""
 
     def load(self) -> None: ...
     def detect(self, image: np.ndarray) -> np.ndarray: ...
@@ -69,25 +69,33 @@ class TemplateBackend:
             return None
         unit = (rows[-1] - rows[0] + 1) / ROWS
         y = np.clip((rows[0] + (np.arange(ROWS) + 0.5) * unit).astype(int), 0, dark.shape[0] - 1)
-        best = None
-        for stretch in np.linspace(0.93, 1.07, 29):
-            step = unit * stretch
-            n = max(1, int(np.ceil((columns[-1] - columns[0] + 1) / step / PITCH - 0.2)))
-            x = columns[0] + (np.arange(n)[:, None] * PITCH + np.arange(COLUMNS) + 0.5) * step
-            outside = x > dark.shape[1] - 1
-            x = np.clip(x.astype(int), 0, dark.shape[1] - 1)
-            cells = np.where(outside[:, None, :], -1.0, dark[y[None, :, None], x[:, None, :]] * 2 - 1)
-            fit = float((cells.reshape(n, -1) @ self._templates.T).max(axis=1).mean())
-            if best is None or fit > best[0]:
-                best = fit, cells
-        return best[1]
+        # All pitches at once: stretches x letters x cells.
+        step = unit * np.linspace(0.93, 1.07, 29)
+        n = np.maximum(1, np.ceil((columns[-1] - columns[0] + 1) / step / PITCH - 0.2)).astype(int)
+        x = columns[0] + (np.arange(n.max())[:, None] * PITCH + np.arange(COLUMNS) + 0.5) * step[:, None, None]
+        outside = x > dark.shape[1] - 1
+        x = np.clip(x.astype(int), 0, dark.shape[1] - 1)
+        cells = np.where(outside[:, :, None, :], -1.0, dark[y[None, None, :, None], x[:, :, None, :]] * 2 - 1)
+        fits = (cells.reshape(len(step), n.max(), -1) @ self._templates.T).max(axis=2)
+        best = int(np.argmax([float(fits[i, :k].mean()) for i, k in enumerate(n)]))
+        return cells[best, : n[best]]
 
     def orient(self, patch: np.ndarray) -> np.ndarray:
-        best = []
-        for turned in (patch, patch[::-1, ::-1]):
-            cells = self._cells(turned)
-            best.append(0.0 if cells is None else float((cells.reshape(len(cells), -1) @ self._templates.T).max(axis=1).mean()) / (ROWS * COLUMNS))
-        return np.array(best)
+        """How full the left and the right edges of letters are: each has its stem on the left, or on the right if it is turned."""
+        gray = np.rint(patch / LINE_NORM + LINE_MEAN)
+        used = np.flatnonzero((gray != PAD).any(axis=(0, 2)))
+        if not len(used):
+            return np.zeros(2)
+        dark = 1.0 - gray[:, : used[-1] + 1].mean(axis=2) / 255.0
+        dark /= max(float(dark.max()), 1e-6)
+        rows = np.flatnonzero(dark.max(axis=1) > 0.5)
+        if not len(rows):
+            return np.zeros(2)
+        full = dark[rows[0] : rows[-1] + 1].mean(axis=0)
+        edge = np.flatnonzero(np.diff((full > 0.2).astype(np.int8), prepend=0, append=0))
+        first, last = edge[::2], edge[1::2] - 1
+        near = lambda at, step: np.maximum(full[at], full[np.clip(at + step, 0, len(full) - 1)])
+        return np.array([near(first, 1).mean(), near(last, -1).mean()]) if len(first) else np.zeros(2)
 
     def recognise(self, patch: np.ndarray) -> np.ndarray:
         """Two steps a letter: its class, then the blank, class 0."""
@@ -135,9 +143,9 @@ def greedy(logits: np.ndarray, dictionary: list[str], offset: int = 1) -> tuple[
     """CTC decoding of a (steps x classes) array; a leading axis of one is dropped."""
     logits = logits[0] if logits.ndim == 3 and logits.shape[0] == 1 else logits
     if logits.ndim != 2 or logits.shape[0] < 1 or logits.shape[1] < 2:
-        raise Refused("recognition-output-invalid", f"{logits.shape} is not steps by classes")
+        raise Refused("recognition-output-invalid", f"an array of {logits.shape} instead of steps by classes")
     if logits.shape[1] != len(dictionary) + offset:
-        raise Refused("dictionary-mismatch", f"{logits.shape[1]} classes came; this dictionary expects {len(dictionary) + offset}")
+        raise Refused("dictionary-mismatch", f"scores for {logits.shape[1]} classes, names and blanks for {len(dictionary) + offset}")
     classes, scores = logits.argmax(axis=1), logits.max(axis=1)
     keep = (classes > 0) & (classes != np.concatenate([[0], classes[:-1]])) & (classes - offset < len(dictionary))
     kept = scores[keep]

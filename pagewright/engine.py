@@ -64,8 +64,21 @@ def absent_files(spark: SparkSession, models: DataFrame, root: str, nets: Sequen
     graphs = F.explode(F.array(*(F.col(net) for net in nets)))
     needed = models.select("profile", graphs.alias("graph")).select("profile", F.explode(F.array("graph", F.regexp_replace("graph", r"\.param$", ".bin"))).alias("path"))
     needed = needed.unionByName(models.select("profile", F.col("dictionary").alias("path"))).where("path is not null").distinct()
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("found"))
-    return needed.join(there, F.col("found").endswith(F.concat(F.lit("/"), F.col("path"))), "left_anti") if there.head(1) else needed
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    at = at.makeQualified(system.getUri(), system.getWorkingDirectory())
+    if not system.exists(at):
+        return needed
+    # Paths below the root, so that they are joined by equality; contents are not read.
+    inner = F.ltrim(F.expr(f"substring(path, {len(at.toString()) + 1})"), F.lit("/"))
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path")).select(inner.alias("path"))
+    return needed.join(there, "path", "left_anti").select("profile", "path")
+
+
+def require_files(spark: SparkSession, models: DataFrame, root: str, nets: Sequence[str]) -> None:
+    """Refuses to go on when a file is absent, all that are being named."""
+    if absent := absent_files(spark, models, root, nets).orderBy("path").limit(20).collect():
+        raise Refused("model-missing", ", ".join(sorted({f"{root}/{r['path']}" for r in absent})))
 
 
 def guarded(stage: str, operation: str, step: Callable, *values: Any) -> Any:
@@ -88,11 +101,16 @@ class Engine:
         if len(dictionary) < 2:
             raise Refused("dictionary-invalid", f"{len(dictionary)} classes")
         self.dictionary, self.offset, self.angles = list(dictionary), offset, tuple(angles)
-        self.backend: InferenceBackend | None = factory()
+        self.backend: InferenceBackend | None = None
         try:
+            self.backend = factory()
             self.backend.load()
         except BaseException as failure:
             self.close()
+            if isinstance(failure, ImportError):
+                raise Refused("runtime-missing", str(failure) or type(failure).__name__) from None
+            if isinstance(failure, FileNotFoundError):
+                raise Refused("model-missing", str(failure)) from None
             if isinstance(failure, Exception) and not isinstance(failure, Refused):
                 raise Refused("model-invalid", str(failure) or type(failure).__name__) from None
             raise
@@ -131,7 +149,7 @@ class Engine:
     def upright(self, patch: np.ndarray) -> tuple[np.ndarray, int, float]:
         """(the patch turned upright, the angle, its score)."""
         net = self._net("ori")
-        scores = np.asarray(guarded("orientation", "extract", net.orient, patch), float).reshape(-1)
+        scores = np.asarray(guarded("orientation", "extract", net.orient, pixels.orientation_input(patch)), float).reshape(-1)
         if len(scores) != len(self.angles):
             raise Refused("orientation-inference-failed", f"{len(scores)} scores for {len(self.angles)} angles")
         best = int(scores.argmax())

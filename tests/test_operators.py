@@ -322,7 +322,7 @@ def test_parity(spark):
 
 
 def test_pages_are_read_back(spark, tmp_path):
-    text = "The quick brown fox jumps over the lazy dog, (twice) 1234567890 and runs away."
+    text = "Seven grey boxes were moved up the quay, (twice) 1234567890 and left again."
     backend = TemplateBackend()
     backend.load()
     for variant in ("clean", "skew-2deg", "blur-3px", "quantised-24"):
