@@ -130,15 +130,15 @@ def _ctc(spark, sf_dir, offset: int) -> DataFrame:
 @query(f"""
 WITH s AS (SELECT label, vec_id // {STEPS} AS crop, vec_id, list_position(embedding, list_max(embedding)) - 1 AS c, CAST(list_max(embedding) AS DOUBLE) AS p FROM embeddings),
 n AS (SELECT *, row_number() OVER (PARTITION BY label, crop ORDER BY vec_id) - 1 AS t FROM s),
-spans AS (SELECT *, generate_series AS i, 40 * generate_series AS l, 40 * generate_series + 28 AS r FROM generate_series(0, 3)),
-w AS (SELECT i, CAST(round_even(l * 0.125, 0) AS BIGINT) AS lo, greatest(CAST(round_even(r * 0.125, 0) AS BIGINT), CAST(round_even(l * 0.125, 0) AS BIGINT) + 1) AS hi FROM spans),
-p AS (SELECT label, crop, i, t, c, p, coalesce(lag(c) OVER (PARTITION BY label, crop, i ORDER BY t), 0) AS before FROM n JOIN w ON t >= lo AND t < hi),
+steps AS (SELECT label, crop, unnest(generate_series(0, (count(*) + 4) // 5 - 1)) AS i FROM s GROUP BY label, crop),
+w AS (SELECT label, crop, i, CAST(round_even(40 * i * 0.125, 0) AS BIGINT) AS lo, greatest(CAST(round_even((40 * i + 28) * 0.125, 0) AS BIGINT), CAST(round_even(40 * i * 0.125, 0) AS BIGINT) + 1) AS hi FROM steps),
+p AS (SELECT n.label, n.crop, i, t, c, p, coalesce(lag(c) OVER (PARTITION BY n.label, n.crop, i ORDER BY t), 0) AS before FROM n JOIN w ON n.label = w.label AND n.crop = w.crop AND t >= lo AND t < hi),
 k AS (SELECT label, crop, i, string_agg({_SQL_LETTERS}[CAST(c AS INTEGER)], '' ORDER BY t) AS text, avg(p) AS confidence FROM p WHERE c <> before AND c > 0 GROUP BY ALL)
-SELECT g.label, g.crop, CAST(w.i AS INTEGER) AS span, coalesce(k.text, '') AS text, round(coalesce(k.confidence, 0), 6) AS confidence
-FROM (SELECT DISTINCT label, crop FROM s) g CROSS JOIN w LEFT JOIN k ON g.label = k.label AND g.crop = k.crop AND w.i = k.i""")
+SELECT w.label, w.crop, CAST(w.i AS INTEGER) AS span, coalesce(k.text, '') AS text, round(coalesce(k.confidence, 0), 6) AS confidence
+FROM w LEFT JOIN k ON w.label = k.label AND w.crop = k.crop AND w.i = k.i""")
 def decode_spans(spark, sf_dir):
-    """Four crops that stand side by side in each strip, read apart."""
-    spans = F.array(*(F.struct(F.lit(40 * i).alias("left"), F.lit(40 * i + 28).alias("right")) for i in range(4)))
+    """Crops 28 wide that stand side by side all along each strip, read apart; eight pixels are a step."""
+    spans = F.transform(F.sequence(F.lit(0), F.ceil(F.size("s") / 5).cast("int") - 1), lambda i: F.struct((40 * i).alias("left"), (40 * i + 28).alias("right")))
     read = ar.decode_spans(F.transform("s", lambda x: x["cls"]), F.transform("s", lambda x: x["score"]), spans, F.lit(0.125), F.array(*map(F.lit, CHARSET)), 1)
     rows = _crops(spark, sf_dir).select("label", "crop", F.posexplode(read).alias("span", "r"))
     return rows.select("label", "crop", "span", "r.text", F.round("r.confidence", 6).alias("confidence"))

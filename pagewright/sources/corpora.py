@@ -72,7 +72,7 @@ class Look(NamedTuple):
 LOOKS = [
     Look("clean-unit3"), Look("clean-unit2", unit=2), Look("clean-unit4", unit=4), Look("clean-wide", role="alternate"), Look("clean-loose", pad=40),
     Look("skew-5deg", degrade=lambda p: corpus.skewed(p, 5.0)), Look("skew-12deg", degrade=lambda p: corpus.skewed(p, 12.0)), Look("blur-5px", degrade=lambda p: corpus.blurred(p, 5)),
-    Look("noise-sigma25", degrade=corpus.noisy), Look("quantised-40", degrade=lambda p: corpus.quantised(p, 40)), Look("faded-40pc", degrade=lambda p: corpus.faded(p, 0.4)),
+    Look("noise-sigma25", degrade=corpus.noisy), Look("lossy-q25", degrade=lambda p: corpus.lossy(p, 25)), Look("faded-40pc", degrade=lambda p: corpus.faded(p, 0.4)),
 ]
 
 

@@ -69,16 +69,47 @@ def faded(page: np.ndarray, factor: float = 0.7) -> np.ndarray:
     return (255 - (255 - page.astype(float)) * factor).astype(np.uint8)
 
 
-def quantised(page: np.ndarray, step: int = 24) -> np.ndarray:
-    """Block quantisation, in place of a lossy codec: each 8 x 8 block keeps its mean and coarse differences."""
-    h, w = page.shape[:2]
-    out = page.astype(float)
-    for y in range(0, h, 8):
-        for x in range(0, w, 8):
-            block = out[y : y + 8, x : x + 8]
-            mean = block.mean(axis=(0, 1))
-            out[y : y + 8, x : x + 8] = mean + np.rint((block - mean) / step) * step
-    return np.clip(out, 0, 255).astype(np.uint8)
+def _cosines() -> np.ndarray:
+    """The 8-point cosine transform as a matrix (orthonormal)."""
+    k = np.arange(8)
+    out = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / 16) / 2
+    out[0] /= np.sqrt(2)
+    return out
+
+
+def _coded(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A plane after its 8 x 8 blocks' cosine coefficients were rounded to multiples of ``table``; edges are repeated to whole blocks."""
+    h, w = plane.shape
+    padded = np.pad(plane, ((0, -h % 8), (0, -w % 8)), mode="edge") - 128
+    blocks = padded.reshape(padded.shape[0] // 8, 8, -1, 8).swapaxes(1, 2)
+    c = _cosines()
+    kept = np.rint(c @ blocks @ c.T / table) * table
+    return ((c.T @ kept @ c).swapaxes(1, 2).reshape(padded.shape) + 128)[:h, :w]
+
+
+def lossy(page: np.ndarray, quality: int = 40) -> np.ndarray:
+    """What a lossy codec leaves: luma and halved chroma, 8 x 8 cosine transforms, coefficients rounded the coarser the higher their frequency and the lower the quality (1 to 100).
+
+    The transform codec itself, without entropy coding, which loses nothing. The
+    quantisation table is a rule of its own, so files of other codecs differ.
+    """
+    if not 1 <= quality <= 100:
+        raise ValueError("a quality of 1 to 100")
+    share = (50 / quality if quality < 50 else 2 - quality / 50) or 0.01
+    u, v = np.mgrid[0:8, 0:8]
+    table = np.maximum(1.0, np.floor((10 + 6 * (u + v) + (u * v)) * share + 0.5))
+    rgb = page.astype(float)
+    luma = rgb @ np.array([0.299, 0.587, 0.114])
+    out = [_coded(luma, table)]
+    h, w = luma.shape
+    for channel, scale in ((2, 1.772), (0, 1.402)):
+        plane = np.pad((rgb[..., channel] - luma) / scale + 128, ((0, h % 2), (0, w % 2)), mode="edge")
+        half = _coded(plane.reshape(plane.shape[0] // 2, 2, -1, 2).mean(axis=(1, 3)), np.minimum(table * 1.5, 255))
+        out.append(np.kron(half, np.ones((2, 2)))[:h, :w] - 128)
+    y, blue, red = out
+    b, r = y + 1.772 * blue, y + 1.402 * red
+    g = (y - 0.299 * r - 0.114 * b) / 0.587
+    return np.clip(np.rint(np.stack([r, g, b], axis=-1)), 0, 255).astype(np.uint8)
 
 
 VARIANTS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
@@ -87,7 +118,7 @@ VARIANTS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "blur-3px": lambda page: blurred(page, 3),
     "noise-sigma25": noisy,
     "faded-70pc": faded,
-    "quantised-24": quantised,
+    "lossy-q40": lossy,
     "upside-down": lambda page: page[::-1, ::-1],
 }
 

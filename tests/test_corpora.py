@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import catalog, manifest
 from pagewright.plans import compare, run_corpus
 from pagewright.plans.read_pages import rendered
-from pagewright.sources import corpora, readers, sinks
+from pagewright.sources import corpora, corpus, readers, sinks
 from pagewright.sources.__main__ import main as command
 
 
@@ -114,3 +114,29 @@ def test_catalog_takes_new_rows(spark):
         catalog.register(profiles=[("own", "own-det", "v6-tiny-rec", None)])
     for kind in catalog._added.values():
         kind.clear()
+
+
+def test_lossy_codec_loses_more_at_lower_quality():
+    r = np.random.default_rng(4)
+    page = corpus.render(["a page of words", "and more"], 3)
+    page = np.clip(page + r.normal(0, 12, page.shape) + np.linspace(0, 40, page.shape[1])[None, :, None] * [1, 0, -1], 0, 255).astype(np.uint8)
+    ratio = lambda q: 10 * np.log10(255**2 / np.mean((page.astype(float) - corpus.lossy(page, q)) ** 2))
+    ratios = [ratio(q) for q in (1, 10, 25, 50, 75, 90, 100)]
+    assert ratios == sorted(ratios) and ratios[-1] > 25 and ratios[0] < 20
+    for shape in ((1, 1), (8, 8), (9, 17), (30, 7)):
+        flat = np.full((*shape, 3), (10, 200, 90), np.uint8)
+        assert np.abs(corpus.lossy(flat, 95).astype(int) - flat).max() <= 3
+    gray = np.repeat(page[..., :1], 3, axis=2)
+    assert np.ptp(corpus.lossy(gray, 30), axis=2).max() == 0  # no colour comes from none
+    # One block by the definition of the transform.
+    block = r.integers(0, 256, (8, 8)).astype(float)
+    table = np.full((8, 8), 16.0)
+    direct = np.zeros((8, 8))
+    wave = lambda n, k: np.cos(np.pi * (2 * n + 1) * k / 16) * (np.sqrt(0.5) if k == 0 else 1) / 2
+    for u in range(8):
+        for v in range(8):
+            c = sum((block[y, x] - 128) * wave(y, u) * wave(x, v) for y in range(8) for x in range(8))
+            direct += np.rint(c / 16) * 16 * np.array([[wave(y, u) * wave(x, v) for x in range(8)] for y in range(8)])
+    assert np.allclose(corpus._coded(block, table), direct + 128)
+    with pytest.raises(ValueError, match="quality"):
+        corpus.lossy(page, 0)

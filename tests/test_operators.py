@@ -325,7 +325,7 @@ def test_pages_are_read_back(spark, tmp_path):
     text = "Seven grey boxes were moved up the quay, (twice) 1234567890 and left again."
     backend = TemplateBackend()
     backend.load()
-    for variant in ("clean", "skew-2deg", "blur-3px", "quantised-24"):
+    for variant in ("clean", "skew-2deg", "blur-3px", "lossy-q40"):
         page = np.ascontiguousarray(corpus.VARIANTS[variant](corpus.render(wrapped(text, 40))))
         assert " ".join(t for _, t, _ in recognise_page(page, backend, DICTIONARY)) == text
     assert recognise_page(np.full((64, 64, 3), 255, np.uint8), backend, DICTIONARY) == []
