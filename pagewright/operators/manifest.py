@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import os
+from collections.abc import Mapping
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.geometry import let
+from pagewright.operators import schema
 
 # The version and the fields of a manifest and of a results document.
 VERSION = 4
@@ -45,102 +47,16 @@ def violations(case: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(broken, F.lit(name != "size")), F.lit(name)) for name, broken in rules.items())))
 
 
-# The fields of a case and of its parts; what an engine's selection holds.
-CASE = ("background_objects", "content_label", "direction", "font", "id", "image", "known_false_readings", "language", "lines", "palette", "recognition", "script", "size", "variant")
-FONT = ("family", "file", "license", "source", "version")
-PALETTE = ("background", "foreground")
-SIZE = ("font_px", "height_px", "width_px")
-OBJECT = ("bounds", "fill", "kind")
-ENGINES = {"pagewright": ("model",), "paddleocr": ("language", "model"), "tesseract": ("language",)}
+#: The rules of a case, as a JSON Schema document.
+CASE_SCHEMA = os.path.join(os.path.dirname(__file__), "case.schema.json")
 
 
-def _kind(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit("NULL"))
-
-
-def _part(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, f"$.{name}", "variant")
-
-
-def _string(value: Column, pattern: str = "(?s).+") -> Column:
-    return (_kind(value) == "STRING") & F.try_variant_get(value, "$", "string").rlike(pattern)
-
-
-def _whole(value: Column, least: int) -> Column:
-    return (_kind(value) == "BIGINT") & (F.try_variant_get(value, "$", "long") >= least)
-
-
-def _items(value: Column, of: str) -> Column:
-    return F.coalesce(F.try_variant_get(value, "$", f"array<{of}>"), F.array().cast(f"array<{of}>"))
-
-
-def _fields(value: Column, path: str, wanted: Sequence[str]) -> Column:
-    """Which fields an object lacks or has besides; one entry for what is no object."""
-    keys = F.coalesce(F.json_object_keys(F.to_json(value)), F.array().cast("array<string>"))
-    names = F.array(*map(F.lit, wanted))
-    said = lambda what, some: F.transform(some, lambda k: F.concat(F.lit(f"{path}: {what} "), k))
-    return F.when(_kind(value).startswith("OBJECT"), F.concat(said("no", F.array_sort(F.array_except(names, keys))), said("unknown", F.array_sort(F.array_except(keys, names))))).otherwise(F.array(F.lit(f"{path}: no object")))
-
-
-def case_problems(case: Column, engines: Mapping[str, Sequence[str]] = ENGINES) -> Column:
+def case_problems(case: Column, rules: Mapping[str, Any] | None = None) -> Column:
     """All rules that a case (a string of JSON) breaks, as ``path: what``, in the order of paths; the first is the one to report.
 
-    ``engines``: the fields of each engine's selection, which may also be null.
+    ``rules``: another JSON Schema document than that of this version's cases.
     """
-    one_of = lambda names: f"^({'|'.join(names)})$"
-
-    def problems(v: Column) -> Column:
-        at = lambda path: _part(v, path)
-        out: list[Column] = []
-
-        def must(path: str, good: Column, what: str) -> None:
-            # A part that is not there is named by the object that lacks it.
-            bad = (_kind(at(path)) != "NULL") & ~F.coalesce(good, F.lit(False))
-            out.append(F.when(bad, F.array(F.lit(f"{path}: {what}"))).otherwise(F.array().cast("array<string>")))
-
-        def each(path: str, of: str, bad: Callable[[Column], Column]) -> None:
-            found = F.transform(_items(at(path), of), lambda x, i: F.transform(bad(x), lambda b: F.concat(F.lit(f"{path}."), i.cast("string"), b)))
-            out.append(F.when(_kind(at(path)).startswith("ARRAY"), F.flatten(found)).otherwise(F.when(_kind(at(path)) != "NULL", F.array(F.lit(f"{path}: no array"))).otherwise(F.array().cast("array<string>"))))
-
-        def has(path: str, names: Sequence[str], nullable: bool = False) -> None:
-            none = _kind(at(path)).isin("NULL", *(["VOID"] if nullable else []))
-            out.append(F.when(none, F.array().cast("array<string>")).otherwise(_fields(at(path), path, names)))
-
-        listed = lambda *tests: F.array_compact(F.array(*(F.when(F.coalesce(good, F.lit(False)), None).otherwise(F.lit(what)) for good, what in tests)))
-        texts = lambda x: listed((_string(x), ": no text"))
-        bounds = lambda x: (F.size(_items(_part(x, "bounds"), "variant")) == 4) & F.forall(_items(_part(x, "bounds"), "variant"), lambda b: _whole(b, 0))
-        out.append(_fields(v, "case", CASE))
-        each("background_objects", "variant", lambda x: F.concat(_fields(x, "", OBJECT), listed((bounds(x), ".bounds: not four"), (_string(_part(x, "fill"), COLOUR), ".fill: no colour"), (_string(_part(x, "kind"), one_of(OBJECTS)), ".kind: unknown"))))
-        must("content_label", _string(at("content_label"), one_of(LABELS)), "unknown")
-        must("direction", _string(at("direction"), one_of(DIRECTIONS)), "unknown")
-        has("font", FONT, nullable=True)
-        for name in FONT:
-            must(f"font.{name}", _string(at(f"font.{name}")), "no text")
-        must("id", _string(at("id"), ID), "no id")
-        must("image", _string(at("image"), IMAGE), "no image path")
-        each("known_false_readings", "variant", texts)
-        readings = _items(at("known_false_readings"), "string")
-        must("known_false_readings", F.size(readings) == F.size(F.array_distinct(readings)), "repeated")
-        must("language", _string(at("language"), LANGUAGE), "no language")
-        each("lines", "variant", texts)
-        has("palette", PALETTE)
-        for name in PALETTE:
-            must(f"palette.{name}", _string(at(f"palette.{name}"), COLOUR), "no colour")
-        has("recognition", sorted(engines))
-        for engine, names in sorted(engines.items()):
-            has(f"recognition.{engine}", names, nullable=True)
-            for name in names:
-                must(f"recognition.{engine}.{name}", _string(at(f"recognition.{engine}.{name}")), "no text")
-        must("script", _string(at("script"), SCRIPT), "no script")
-        has("size", SIZE)
-        must("size.font_px", _whole(at("size.font_px"), 1) | (_kind(at("size.font_px")) == "VOID"), "not above 0")
-        for name in SIZE[1:]:
-            must(f"size.{name}", _whole(at(f"size.{name}"), 1), "not above 0")
-        must("variant", _string(at("variant")), "no text")
-        return F.flatten(F.array(*out))
-
-    parsed = F.try_parse_json(case)
-    return F.when(parsed.isNull(), F.array(F.lit("case: no JSON"))).otherwise(let(parsed, problems))
+    return schema.compiled(rules or schema.load(CASE_SCHEMA), root="case")(case)
 
 
 def validated(cases: DataFrame) -> DataFrame:

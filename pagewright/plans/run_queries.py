@@ -146,7 +146,7 @@ _FAULTS = [
     ('"variant"', '"variant"', None), ('"case-1"', '"-case"', "id: no id"), ('"case-1"', "7", "id: no id"), ('"Latn"', '"latin"', "script: no script"), ('"en-GB"', '"english-"', "language: no language"), ('"ltr"', '"up"', "direction: unknown"),
     ('["one", "two"]', '["one", ""]', "lines.1: no text"), ('["one", "two"]', '"one"', "lines: no array"), ('"family": "f", ', "", "font: no family"), ('"license": "l"', '"license": ""', "font.license: no text"), ('"version": "1"', '"version": "1", "x": 1', "font: unknown x"),
     ('"#FFFFFF"', '"white"', "palette.background: no colour"), ('"#000000"', '"#00000"', "palette.foreground: no colour"), ('"font_px": null', '"font_px": 0', "size.font_px: not above 0"), ('"width_px": 500', '"width_px": 0', "size.width_px: not above 0"), ('"height_px": 600', '"height_px": 1.5', "size.height_px: not above 0"),
-    ('"kind": "line"', '"kind": "blob"', "background_objects.0.kind: unknown"), ("[0, 1, 2, 3]", "[0, 1, 2]", "background_objects.0.bounds: not four"), ("[0, 1, 2, 3]", "[0, 1, 2, -3]", "background_objects.0.bounds: not four"), ('"#123456"', '"#1234567"', "background_objects.0.fill: no colour"),
+    ('"kind": "line"', '"kind": "blob"', "background_objects.0.kind: unknown"), ("[0, 1, 2, 3]", "[0, 1, 2]", "background_objects.0.bounds: not four"), ("[0, 1, 2, 3]", "[0, 1, 2, -3]", "background_objects.0.bounds.3: below 0"), ('"#123456"', '"#1234567"', "background_objects.0.fill: no colour"),
     ('"content_label": "text"', '"content_label": "words"', "content_label: unknown"), ('["a", "b"]', '["a", "a"]', "known_false_readings: repeated"), ('["a", "b"]', '["a", ""]', "known_false_readings.1: no text"), ('"model": "m"', '"model": ""', "recognition.pagewright.model: no text"), ('"paddleocr": null, ', "", "recognition: no paddleocr"),
     ('"clean"', '""', "variant: no text"), ('"a/b.png"', '"../b.png"', "image: no image path"), ('"a/b.png"', '"/b.png"', "image: no image path"), ('"a/b.png"', '"b.gif"', "image: no image path"), ('"lines"', '"line"', "case: no lines"), ('"id"', '"extra": 1, "id"', "case: unknown extra"), ("{", "", "case: no object"), ('["a", "b"]', '["a" "b"]', "case: no JSON"),
 ]
