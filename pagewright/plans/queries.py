@@ -591,6 +591,24 @@ def detect_boxes(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, region_id int, center_x double, center_y double, thickness double, length double, angle double, vertical boolean, score double")
 
 
+@query()
+def detect_boxes_sql(spark, sf_dir):
+    """The same, written in SQL with a table function."""
+    from pagewright.functions import tables
+
+    tables.register(spark)
+    return spark.sql("SELECT e.vec_id, r.* FROM {rows} e, LATERAL map_regions(e.embedding, 8, 4.0D) r", rows=table(spark, sf_dir, "embeddings"))
+
+
+@query("SELECT conv_id, turn, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS text FROM conversations")
+def turn_lines_sql(spark, sf_dir):
+    """The lines of each turn, by a table function in SQL."""
+    from pagewright.functions import tables
+
+    tables.register(spark)
+    return spark.sql("SELECT c.conv_id, c.turn, l.line, l.text FROM {rows} c, LATERAL text_lines(c.text) l", rows=spread(table(spark, sf_dir, "conversations")))
+
+
 @query()
 def read_pages(spark, sf_dir):
     """Benchmark texts set as pages, read back and scored."""

@@ -99,9 +99,15 @@ def port_models(spark, sf_dir):
 
 
 @query("""
-SELECT * FROM (VALUES ('v6-medium', 'm/PaddleOCR-ncnn-CPP/models/ppocr_keys_v6.txt'), ('v6-small', 'm/PaddleOCR-ncnn-CPP/models/ppocr_keys_v6.txt'), ('v6-tiny', 'm/PaddleOCR-ncnn-CPP/models/ppocr_keys_v6_tiny.txt'), ('v5-mobile', 'own/ppocrv5_keys.txt')) v(profile, dictionary)""")
+WITH v(profile, dictionary) AS (VALUES ('v6-medium', 'm/PaddleOCR-ncnn-CPP/models/ppocr_keys_v6.txt'), ('v6-small', 'm/PaddleOCR-ncnn-CPP/models/ppocr_keys_v6.txt'), ('v6-tiny', 'm/PaddleOCR-ncnn-CPP/models/ppocr_keys_v6_tiny.txt'), ('v5-mobile', 'own/ppocrv5_keys.txt')),
+o AS (SELECT o_orderkey, ['v6-medium', 'v6-small', 'v6-tiny', 'v5-mobile', 'none'][CAST(o_orderkey % 5 + 1 AS INTEGER)] AS profile FROM orders)
+SELECT o_orderkey, profile, dictionary FROM o LEFT JOIN v USING (profile)""")
 def dictionary_paths(spark, sf_dir):
-    return catalog.model_files(spark).select("profile", catalog.dictionary_path(F.col("dictionary"), "m", "own").alias("dictionary"))
+    """Where the dictionary lies that each order's profile needs."""
+    names = F.array(*map(F.lit, ("v6-medium", "v6-small", "v6-tiny", "v5-mobile", "none")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.get(names, (F.col("o_orderkey") % 5).cast("int")).alias("profile"))
+    files = catalog.model_files(spark).select("profile", catalog.dictionary_path(F.col("dictionary"), "m", "own").alias("dictionary"))
+    return rows.join(files, "profile", "left").select("o_orderkey", "profile", "dictionary")
 
 
 @query("SELECT doc_id AS id, 'v' || doc_id % 4 AS model, 'v' || doc_id % 3 AS declared FROM documents WHERE doc_id % 4 <> doc_id % 3")
