@@ -5,7 +5,8 @@ import math
 import duckdb
 import pytest
 
-from pagewright.plans.run_queries import QUERIES, SQL
+from pagewright.plans import report_queries, run_queries  # noqa: F401 - each adds its queries
+from pagewright.plans.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
