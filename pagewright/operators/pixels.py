@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -122,20 +123,101 @@ def hull(points: np.ndarray) -> np.ndarray:
 
 
 def least_rectangle(points: np.ndarray) -> tuple[float, float, float, float, float]:
-    """(center x, center y, width, height, angle in [-90, 0)) of the smallest rectangle around points."""
+    """(center x, center y, width, height, angle in [-90, 0)) of the smallest rectangle around points.
+
+    One side of it lies on an edge of the hull. As edges turn, the farthest points
+    ahead, across and behind only move on along the hull, so all edges together
+    take time in proportion to it.
+    """
     corners = hull(np.asarray(points, float))
-    if len(corners) == 1:
+    n = len(corners)
+    if n == 1:
         return float(corners[0, 0]), float(corners[0, 1]), 0.0, 0.0, -90.0
+    at = corners.tolist()
     best = None
-    for edge in np.diff(np.vstack([corners, corners[:1]]), axis=0):
-        theta = np.arctan2(edge[1], edge[0]) % (np.pi / 2) - np.pi / 2
-        along, across = np.array([np.cos(theta), np.sin(theta)]), np.array([-np.sin(theta), np.cos(theta)])
-        u, v = corners @ along, corners @ across
-        area = np.ptp(u) * np.ptp(v)
+    ahead = across = behind = 0
+    for i in range(n):
+        (x, y), (x2, y2) = at[i], at[(i + 1) % n]
+        size = math.hypot(x2 - x, y2 - y)
+        ux, uy = (x2 - x) / size, (y2 - y) / size
+        along = lambda k: at[k % n][0] * ux + at[k % n][1] * uy  # noqa: E731, B023
+        off = lambda k: at[k % n][1] * ux - at[k % n][0] * uy  # noqa: E731, B023
+        ahead = max(ahead, i + 1)
+        while along(ahead + 1) > along(ahead):
+            ahead += 1
+        across = max(across, ahead)
+        while off(across + 1) > off(across):
+            across += 1
+        behind = max(behind, across)
+        while along(behind + 1) < along(behind):
+            behind += 1
+        low, high, bottom, top = along(behind), along(ahead), off(i), off(across)
+        area = (high - low) * (top - bottom)
         if best is None or area < best[0] - 1e-9:
-            center = along * (u.max() + u.min()) / 2 + across * (v.max() + v.min()) / 2
-            best = area, float(center[0]), float(center[1]), float(np.ptp(u)), float(np.ptp(v)), float(np.degrees(theta))
-    return best[1:]
+            best = area, (ux, uy), (low + high) / 2, (bottom + top) / 2, high - low, top - bottom
+    _, (ux, uy), mid, over, width, height = best
+    # The side whose direction is in [-90, 0) degrees is the width.
+    theta = math.atan2(uy, ux) % (math.pi / 2) - math.pi / 2
+    turned = abs(math.cos(theta) * ux + math.sin(theta) * uy) < 0.5
+    return ux * mid - uy * over, uy * mid + ux * over, height if turned else width, width if turned else height, math.degrees(theta)
+
+
+#: The eight neighbours (dy, dx), clockwise from the left.
+_AROUND = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))
+
+
+def followed(mask: np.ndarray, y: int, x: int, outside: int) -> np.ndarray:
+    """Corner points (x, y) of the border that starts at a pixel whose neighbour ``outside`` (a place in ``_AROUND``) is not of the blob.
+
+    The border is walked once, from pixel to touching pixel with the outside on
+    one hand; points are kept where its direction changes. ``mask`` has an empty
+    edge all around.
+    """
+    turn = next((k % 8 for k in range(outside + 1, outside + 8) if mask[y + _AROUND[k % 8][0], x + _AROUND[k % 8][1]]), None)
+    if turn is None:
+        return np.array([[x, y]])
+    first = y + _AROUND[turn][0], x + _AROUND[turn][1]
+    here, came, points, way = (y, x), turn, [], None
+    while True:
+        # From where it came, against the clock, to the next pixel of the blob.
+        k = came
+        while True:
+            k = (k - 1) % 8
+            there = here[0] + _AROUND[k][0], here[1] + _AROUND[k][1]
+            if mask[there]:
+                break
+        if k != way:
+            points.append((here[1], here[0]))
+        way = k
+        if there == (y, x) and here == first:
+            break
+        came, here = (k + 4) % 8, there
+    # The start is a corner only if the direction changes there.
+    if len(points) > 2:
+        (xa, ya), (xb, yb), (xc, yc) = points[-1], points[0], points[1]
+        if np.sign(xb - xa) == np.sign(xc - xb) and np.sign(yb - ya) == np.sign(yc - yb) and (xb - xa) * (yc - yb) == (yb - ya) * (xc - xb):
+            points = points[1:]
+    return np.array(points)
+
+
+def contours(mask: np.ndarray) -> list[tuple[np.ndarray, bool]]:
+    """(corner points x, y; whether of a hole) of each border: every blob's outer one, then those of its holes, top first.
+
+    A hole's border lies on the pixels of the blob around it.
+    """
+    out = []
+    for ys, xs in blobs(mask):
+        top, left = ys.min() - 1, xs.min() - 1
+        own = np.zeros((np.ptp(ys) + 3, np.ptp(xs) + 3), bool)
+        own[ys - top, xs - left] = True
+        shift = np.array([left, top])
+        row = int(ys.min() - top)
+        out.append((followed(own, row, int(np.flatnonzero(own[row])[0]), 0) + shift, False))
+        _, *holes = sorted(blobs(~own, corners=False), key=lambda gap: (gap[0][0], gap[1][0]))
+        for gap_y, gap_x in holes:
+            at = np.lexsort((gap_x, gap_y))[0]
+            out.append((followed(own, int(gap_y[at]), int(gap_x[at]) - 1, 4) + shift, True))
+    return out
 
 
 def oriented(a: float, b: float, angle: float) -> tuple[float, float, float, bool]:

@@ -591,6 +591,29 @@ def detect_boxes(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, region_id int, center_x double, center_y double, thickness double, length double, angle double, vertical boolean, score double")
 
 
+@query()
+def contour_points(spark, sf_dir):
+    """Corner points of all borders, outer ones and those of holes, of each embedding taken as an 8 x 8 probability map."""
+    import numpy as np
+    import pyarrow as pa
+
+    from pagewright.operators import pixels
+
+    kind = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
+
+    def run(batches):
+        for batch in batches:
+            vectors = np.clip(4 * np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, 8, 8), 0, 1)
+            vecs, turns, holes, points = [], [], [], []
+            for vec, values in zip(batch.column(0).to_pylist(), vectors, strict=True):
+                for i, (corners, hole) in enumerate(pixels.contours(values > pixels.BINARY)):
+                    vecs.append(vec), turns.append(i), holes.append(hole), points.append([{"x": x, "y": y} for x, y in corners.tolist()])
+            yield pa.RecordBatch.from_arrays([pa.array(vecs, pa.int64()), pa.array(turns, pa.int32()), pa.array(holes, pa.bool_()), pa.array(points, kind)], ["vec_id", "contour", "hole", "points"])
+
+    whole = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where("size(embedding) = 64")
+    return whole.mapInArrow(run, "vec_id long, contour int, hole boolean, points array<struct<x:int,y:int>>")
+
+
 @query()
 def detect_boxes_sql(spark, sf_dir):
     """The same, written in SQL with a table function."""
