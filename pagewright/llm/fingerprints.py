@@ -11,9 +11,8 @@ that what a very long text needs at once is a segment and what is kept of it.
 
 Defined results: a null text is an empty one and has no fingerprint; a text
 shorter than ``K`` is one run, one with fewer runs than ``W`` one window. Two
-texts without fingerprints are alike to 1. Rows without an id take no part in
-``compare_edited`` and so in the query, as they have no place in the order of
-ids. Rows that repeat an id follow one another in the order of their texts, and
+texts without fingerprints are alike to 1. Rows without an id come before all
+others. Rows that repeat an id (or have none) follow one another in the order of their texts, and
 each one's next document is the row after it; equal rows are next to each other.
 An empty table gives an empty result; a single row is its own next. Extra
 columns are ignored.
@@ -131,18 +130,20 @@ def in_order(docs: DataFrame, ranges: int) -> DataFrame:
     Adds ``span`` (the range) and ``again``. The number of ranges is bounded by the
     parameter; only their first ids come to the driver.
     """
-    ids = docs.select("doc_id").where("doc_id is not null")
+    least = F.lit(-(2**63)).cast("long")  # where rows without an id lie
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(ranges)], 100 * ranges)).first()[0] or []
-    place = lambda firsts: F.size(F.filter(F.array(*map(F.lit, firsts)), lambda x: x <= F.col("doc_id")))
+    place = lambda firsts, key: F.size(F.filter(F.array(*map(F.lit, firsts)), lambda x: x <= key))
     if not cuts:
         return docs.where("false").withColumn("span", F.lit(0)).withColumn("again", F.lit(False))
-    firsts = sorted(r[0] for r in ids.groupBy(place(sorted(set(cuts)))).agg(F.min("doc_id")).select("min(doc_id)").collect())
+    firsts = sorted(r[0] for r in ids.groupBy(place(sorted(set(cuts)), F.col("doc_id"))).agg(F.min("doc_id")).select("min(doc_id)").collect())
     n = len(firsts)
-    span = place(firsts) - 1
+    key = F.coalesce(F.col("doc_id").cast("long"), least)
+    span = place(firsts, key) - 1
     own = F.struct(span.alias("span"), F.lit(False).alias("again"))
     also = F.struct(((span + n - 1) % n).alias("span"), F.lit(True).alias("again"))
-    ends = F.array_contains(F.array(*map(F.lit, firsts)), F.col("doc_id"))
-    return docs.where("doc_id is not null").withColumn("_to", F.explode(F.when(ends, F.array(own, also)).otherwise(F.array(own)))).select("*", "_to.span", "_to.again").drop("_to")
+    ends = F.array_contains(F.array(*map(F.lit, firsts)), key)
+    return docs.withColumn("_to", F.explode(F.when(ends, F.array(own, also)).otherwise(F.array(own)))).select("*", "_to.span", "_to.again").drop("_to")
 
 
 def compare_edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:

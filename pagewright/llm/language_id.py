@@ -4,7 +4,8 @@ Each language has a probability for every piece of a fixed public vocabulary. A
 text's likelihood under a language sums over all segmentations of its words
 into pieces (forward algorithm); the language with the highest likelihood wins.
 
-Any number of languages: each takes a quarter of a megabyte of the model, in the
+Words of a batch of texts are told apart by 64-bit hashes (two of n distinct ones
+are taken for one with probability below n**2 / 2**65). Any number of languages: each takes a quarter of a megabyte of the model, in the
 driver and in each worker, and nothing else grows with their number.
 
 Defined results: a text that is null, empty or without a letter is ``und`` with

@@ -17,7 +17,8 @@ null id is a training row or not by the empty text's crc32, and one whose
 each time; texts of equal words get equal scores; a very long text is a unit of
 its own, and a very long word is scored position by position with the same sums;
 an empty table gives an empty result. Extra columns are ignored, whatever their
-names.
+names. Words are told apart by 64-bit hashes: of n distinct ones, two are taken for
+one with probability below n**2 / 2**65.
 """
 
 from __future__ import annotations

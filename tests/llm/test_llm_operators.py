@@ -51,7 +51,7 @@ def words(text):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "benchmark"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{FOLDER}/{table}.parquet')")
     found, wanted = QUERIES[name](spark, FOLDER), connection.sql(ORACLE_SQL[name])
     order = [list(wanted.columns).index(c) for c in found.columns]
@@ -97,7 +97,16 @@ def test_fingerprint_query(spark, docs, odd, none):
         assert rows[d]["n_chars"] == len(text) and rows[d]["edited_sha256"] == hashlib.sha256((text[: len(text) - q] + following[:q]).encode()).hexdigest()
     assert np.mean([r["near_edited"] > r["near_next"] for r in rows.values()]) > 0.95
     strange = fingerprints.compare_edited(odd).collect()
-    assert len(strange) == len(ODD) - 1 and len({tuple(map(tuple, r["prints"])) for r in strange if r["text"] == "one"}) == 1
+    assert len(strange) == len(ODD) and len({tuple(map(tuple, r["prints"])) for r in strange if r["text"] == "one"}) == 1
+    # Every row has a place; those without an id come first, in the order of their texts, and the last row's next is the first.
+    rows = [(None, "bbbbbbbb tail"), (None, "aaaaaaaa tail"), (-(2**63), "least of ids"), (5, None), (5, "five five five"), (7, "seven and more"), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    wanted = []
+    for (i, t), (_, after) in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
+        t, after = t or "", after or ""
+        wanted.append(repr((i, t, t[: len(t) - len(t) // 4] + after[: len(t) // 4])))
+    assert sorted(repr((r["doc_id"], r["text"], r["edited"])) for r in fingerprints.compare_edited(table.repartition(3)).collect()) == sorted(wanted)
     assert fingerprints.compare_edited(none).count() == 0
     single = fingerprints.compare_edited(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).first()
     assert single["edited"] == "abcdefab"
