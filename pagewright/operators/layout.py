@@ -32,6 +32,7 @@ def with_axis(regions: DataFrame) -> DataFrame:
 
 #: Pages with so few regions are one cell; a length counts as so much thickness; two axes of one line are apart by no more degrees.
 _FEW, _SLENDER, _MOST_APART = 24, 16.0, 12.01
+_FINITE = " and ".join(f"abs({c}) < 1e12" for c in ("center_x", "center_y", "thickness", "length", "angle")) + " and vertical is not null and page_id is not null"
 _OWN = ("region_id", "center_x", "center_y", "thickness", "length", "axis", "direction")
 
 
@@ -47,8 +48,6 @@ def _celled(rows: DataFrame) -> DataFrame:
     which grid it meets. ``grids`` has a bit for each grid that some region asks for.
     """
     keys = ["page_id", "vertical"]
-    numbers = ("center_x", "center_y", "thickness", "length", "angle")
-    rows = rows.where(" and ".join(f"abs({c}) < 1e12" for c in numbers) + " and vertical is not null and page_id is not null")
     # Half a per cent more, so that rounding loses nothing.
     rows = rows.withColumn("level", F.greatest(F.ceil(F.log2(F.greatest("thickness", F.col("length") / _SLENDER, F.lit(1e-9)) * 1.005)), F.lit(0)).cast("int"))
     lean = F.degrees(F.atan2("axis.y", "axis.x"))
@@ -70,7 +69,12 @@ def _celled(rows: DataFrame) -> DataFrame:
 
 def _candidates(rows: DataFrame) -> DataFrame:
     """Regions (suffixes _x and _y) of which x may end where y starts: neighbours in the grid of the larger one, each such meeting once."""
-    celled = _celled(rows)
+    finite = rows.where(_FINITE)
+    most = finite.groupBy("page_id", "vertical").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= _FEW:  # each page is one cell
+        one, two = (finite.select("page_id", "vertical", *(F.col(c).alias(f"{c}_{side}") for c in _OWN)) for side in "xy")
+        return one.join(two, ["page_id", "vertical"])
+    celled = _celled(finite)
     unit = F.expr("shiftleft(1L, grid)").cast("double")
     place = lambda value, size: F.floor(value / size).cast("long")
     keys = ("page_id", "vertical", "grid", "part", "row", "cell")
