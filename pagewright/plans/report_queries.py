@@ -82,11 +82,11 @@ def word_multisets(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> '') AS kept FROM conversations""")
+SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> ''), '|') AS kept FROM conversations""")
 def kept_lines(spark, sf_dir):
     """Lines of each turn, single-spaced, without blank ones."""
     rows = spread(table(spark, sf_dir, "conversations"))
-    return rows.select("conv_id", "turn", tx.normalised_lines(F.split(tx.composed(F.col("text")), "\n")).alias("kept"))
+    return rows.select("conv_id", "turn", F.array_join(tx.normalised_lines(F.split(tx.composed(F.col("text")), "\n")), "|").alias("kept"))
 
 
 @query("""
