@@ -82,3 +82,45 @@ def test_stream_of_a_table_equals_the_batch(spark, tmp_path, files):
     found, wanted = (QUERIES[name](spark, str(tmp_path)).select("event_id", "user_id", "expired") for name in ("stream_expired_jobs", "expired_jobs"))
     rows = sorted(map(tuple, found.collect()))
     assert rows == sorted(map(tuple, wanted.collect())) and {r[2] for r in rows} == {True, False}
+
+
+def test_state_is_moved_by_parts_not_by_jobs():
+    import numpy as np
+    import pandas as pd
+
+    kept, calls, timers = {}, [], []
+
+    class Map:
+        def updateValue(self, key, value):  # noqa: N802
+            calls.append(key)
+            kept[key] = value
+
+        def removeKey(self, key):  # noqa: N802
+            calls.append(key)
+            kept.pop(key)
+
+        def iterator(self):
+            return iter(list(kept.items()))
+
+        def clear(self):
+            kept.clear()
+
+    class Handle:
+        def getMapState(self, *_):  # noqa: N802
+            return Map()
+
+        def registerTimer(self, at):  # noqa: N802
+            timers.append(at)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 9_000_000
+
+    jobs = deadlines.Deadlines(120)
+    jobs.init(Handle())
+    rows = pd.DataFrame({"user_id": 7, "event_id": np.arange(10_000), "at": np.arange(10_000)[::-1] * 1_000_000})
+    rows["ts"] = pd.to_datetime(rows["at"], unit="us")
+    list(jobs.handleInputRows((7,), iter([rows[:5000], rows[5000:]]), Now()))
+    told = pd.concat(list(jobs.handleExpiredTimer((7,), Now(), None)))
+    assert len(told) == 8881 and not told["expired"].any() and set(told["event_id"]) == set(range(1119, 10_000))  # those of the last deadline's 120 s and later wait
+    assert timers == [120_000, 9_001_000] and len(calls) < 20
