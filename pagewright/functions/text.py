@@ -63,10 +63,24 @@ def scripts(text: Column) -> Column:
 
 @cache
 def _letters_of(*classes: str) -> str:
-    """A pattern for one code point of these bidirectional classes."""
+    """A pattern for one code point of these bidirectional classes.
+
+    An expression tries the ranges of a class one after another, so they are the
+    leaves of a tree: each half is looked into only for code points between its ends.
+    """
     inside = np.array([unicodedata.bidirectional(chr(c)) in classes for c in range(0x110000)])
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False)).reshape(-1, 2)
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b - 1:x}}}" for a, b in edges.tolist()) + "]"
+
+    def tree(ranges: list[list[int]]) -> str:
+        if len(ranges) <= 4:
+            return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b - 1:x}}}" for a, b in ranges) + "]"
+        # Parted where the gap is widest among the middle ones, so that what is in neither half is soon found to be.
+        middle = range(len(ranges) // 4 or 1, len(ranges) - len(ranges) // 4)
+        half = max(middle, key=lambda i: ranges[i][0] - ranges[i - 1][1])
+        parts = [ranges[:half], ranges[half:]]
+        return "(?:" + "|".join(f"(?=[\\x{{{p[0][0]:x}}}-\\x{{{p[-1][1] - 1:x}}}]){tree(p)}" for p in parts) + ")"
+
+    return tree(edges.tolist())
 
 
 def direction(text: Column) -> Column:
