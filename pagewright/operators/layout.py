@@ -7,8 +7,13 @@ reading order and breaks every tie.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions import geometry as geo
 from pagewright.functions import text as tx
@@ -138,12 +143,134 @@ def same_line_pairs(regions: DataFrame) -> DataFrame:
     return _pairs(cut(with_axis(regions)))
 
 
-def components(regions: DataFrame) -> DataFrame:
-    """``regions`` with axis, direction and ``component``, the smallest region_id of its visual line."""
+#: Regions of a page that a task puts into lines by itself; those of a page with more meet in cells.
+LOCAL_REGIONS = 1 << 12
+#: Regions, of however many pages, and pairs that a task compares in one go.
+_AT_ONCE, _PAIRS_AT_ONCE = 1 << 15, 1 << 19
+
+
+def _numbers(rows: pa.Table, name: str) -> np.ndarray:
+    return rows[name].cast(pa.float64()).to_numpy()
+
+
+def _line_labels(rows: pa.Table) -> np.ndarray:
+    """Of regions in the order of (page_id, region_id) the place of the first one of each one's visual line."""
+    n = rows.num_rows
+    page = rows["page_id"].combine_chunks().dictionary_encode()
+    known = np.asarray(page.is_valid()) & np.asarray(rows["region_id"].is_valid()) & np.asarray(rows["vertical"].is_valid())
+    page, ids = np.asarray(page.indices.fill_null(-1)), np.asarray(rows["region_id"].combine_chunks().fill_null(-1))
+    x, y, thick, length, angle = (_numbers(rows, c) for c in ("center_x", "center_y", "thickness", "length", "angle"))
+    for value in (x, y, thick, length, angle):
+        known &= np.abs(value) < 1e12
+    axis = rows["axis"].combine_chunks()
+    ax, ay = (np.asarray(axis.field(c)) for c in (0, 1))
+    way = np.asarray(pa.compute.index_in(rows["direction"], pa.array(["neutral", "ltr", "rtl", "mixed"])))
+    # Equal ids of a page are one node.
+    same = np.flatnonzero((page[1:] == page[:-1]) & (ids[1:] == ids[:-1]) & known[1:] & known[:-1])
+    ends = [(same, same + 1)]
+    own = np.flatnonzero(known)
+    if not len(own):
+        return np.arange(n)
+    # A page's regions of one kind come one after another; along each axis one reaches so far at most, whichever way the other leans.
+    kind = page[own].astype(np.int64) * 2 + np.asarray(rows["vertical"].combine_chunks().fill_null(False))[own]
+    kinds, kind = np.unique(kind, return_inverse=True)
+    reach = np.abs(length[own]) / 2 + MAX_GAP * np.abs(thick[own])
+    best = None
+    for at, along, across in ((x, ax, ay), (y, ay, ax)):
+        steepest = [np.zeros(len(kinds)), np.zeros(len(kinds))]
+        for most, part in zip(steepest, (along, across), strict=True):
+            np.maximum.at(most, kind, np.abs(part[own]))
+        far = (reach * steepest[0][kind] + PERPENDICULAR * np.abs(thick[own]) * steepest[1][kind]) * (1 + 1e-9) + 1e-6 + 1e-9 * np.abs(at[own])
+        # Starts and ends in one order of all kinds: those of a later kind lie after all of an earlier one.
+        low, high = at[own] - far, at[own] + far
+        order = np.lexsort((low, kind))
+        start = np.searchsorted(kind[order], np.arange(len(kinds) + 1))
+        last = np.empty(len(own), np.int64)
+        for k in range(len(kinds)):
+            part = slice(start[k], start[k + 1])
+            last[part] = start[k] + np.searchsorted(low[order[part]], high[order[part]], "right")
+        meets = last - np.arange(len(own)) - 1
+        cost = np.bincount(kind[order], meets, len(kinds))
+        if best is None:
+            best = (cost, order, meets)
+        else:
+            first = best[0] <= cost
+            keep = [first[kind[best[1]]], ~first[kind[order]]]
+            # Both orders hold a kind's regions in the same places.
+            order, meets = np.where(keep[0], best[1], order), np.where(keep[0], best[2], meets)
+    total = np.cumsum(meets)
+    begin = 0
+    while begin < len(own):
+        before = total[begin - 1] if begin else 0
+        end = max(int(np.searchsorted(total, before + _PAIRS_AT_ONCE, "right")), begin + 1)
+        some = meets[begin:end]
+        one = np.repeat(np.arange(begin, end), some)
+        two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(some) - some, some)
+        one, two = own[order[one]], own[order[two]]
+        a, b = np.minimum(one, two), np.maximum(one, two)
+        dx, dy = x[b] - x[a], y[b] - y[a]
+        along = dx * ax[a] + dy * ay[a]
+        t = np.maximum(thick[a], thick[b])
+        gap = np.abs(along) - (length[a] + length[b]) / 2
+        on = (gap <= MAX_GAP * t) & (gap >= -np.minimum(MAX_OVERLAP * t, OVERLAP_SHARE * np.minimum(length[a], length[b])))
+        on &= np.abs(dx * -ay[a] + dy * ax[a]) <= PERPENDICULAR * t
+        on &= (ax[a] * ax[b] + ay[a] * ay[b] >= geo.MIN_AXIS_DOT) & (ids[a] != ids[b])
+        on &= (way[a] != 3) & (way[b] != 3) & ((way[a] == 0) | (way[b] == 0) | (way[a] == way[b]))
+        ends.append((a[on], b[on]))
+        begin = end
+    return graph.least_labels(np.concatenate([a for a, _ in ends]), np.concatenate([b for _, b in ends]), n)
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Regions with axis and direction in the order of (page_id, region_id), whole pages in a task: their last column, empty so far, becomes their component."""
+
+    def settle(rows: pa.Table) -> list[pa.RecordBatch]:
+        least = rows["region_id"].combine_chunks().take(pa.array(_line_labels(rows)))
+        return rows.set_column(rows.num_columns - 1, "component", least).to_batches()
+
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count < _AT_ONCE:
+            continue
+        rows = pa.Table.from_batches(held)
+        last = rows["page_id"][count - 1]
+        # Regions of no page are on no line: they wait for no others.
+        own = np.asarray(pa.compute.equal(rows["page_id"], last).fill_null(False)) if last.is_valid else np.zeros(count, bool)
+        whole = 0 if own.all() else int(np.flatnonzero(~own)[-1]) + 1
+        if whole:
+            yield from settle(rows.slice(0, whole))
+        held, count = rows.slice(whole).to_batches(), count - whole
+    if count:
+        yield from settle(pa.Table.from_batches(held))
+
+
+def components(regions: DataFrame, *, local_regions: int = LOCAL_REGIONS) -> DataFrame:
+    """``regions`` with axis, direction and ``component``, the smallest region_id of its visual line.
+
+    Pages of at most ``local_regions`` are put into lines within tasks, many
+    together; of larger ones pairs and components are found by all tasks, of
+    regions kept in the shared folder. For this a page's regions are counted
+    first, so ``regions`` is worked out twice: cut what is dear.
+    """
     kind = dict(regions.dtypes)["region_id"]
-    rows = cut(with_axis(regions))
+    large = regions.where("page_id is not null").groupBy("page_id").agg(F.count("*").alias("n")).where(F.col("n") > local_regions).select("page_id")
+    many = bool(large.head(1))
+    small = regions
+    if many:
+        large = cut(large)
+        small = regions.join(large, "page_id", "left_anti")
+    # The window brings a page's regions together, in order.
+    placed = with_axis(small).withColumn("component", F.row_number().over(Window.partitionBy("page_id").orderBy("region_id")).cast(kind)).sortWithinPartitions("page_id", "region_id")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in placed.schema])
+    labelled = placed.mapInArrow(_labelled, schema)
+    if not many:
+        return labelled
+    rows = cut(with_axis(regions.join(large, "page_id", "left_semi")))
     labels = graph.components(_pairs(rows)).select("page_id", F.col("node").cast(kind).alias("region_id"), F.col("label").cast(kind).alias("component"))
-    return rows.join(labels, ["page_id", "region_id"], "left").withColumn("component", F.coalesce("component", "region_id"))
+    return labelled.unionByName(rows.join(labels, ["page_id", "region_id"], "left").withColumn("component", F.coalesce("component", "region_id")))
 
 
 def separator(before: Column, after: Column, thickness: Column) -> Column:
@@ -205,7 +332,7 @@ def assemble(regions: DataFrame, accepted: Column | None = None) -> tuple[DataFr
     kept = F.coalesce(accepted, F.lit(True)) if accepted is not None else F.lit(True)
     empty = F.coalesce("text", F.lit("")) == ""
     counts = regions.groupBy("page_id").agg(F.count_if(empty).alias("undecoded_regions"), F.count_if(~empty & ~kept).alias("filtered_regions"), F.count_if(~empty & kept).alias("kept_regions"))
-    return reconstruct(reading_order(regions.where(~empty & kept), "region_id")), counts
+    return reconstruct(cut(reading_order(regions.where(~empty & kept), "region_id"))), counts
 
 
 def line_counts(lines: DataFrame) -> DataFrame:
