@@ -12,16 +12,15 @@ from pyspark.sql import types as T
 
 from pagewright.functions import arrays as ar
 from pagewright.functions import text as tx
-from pagewright.functions.geometry import let
 from pagewright.operators import ranks
 
 
-def least_assignment(costs: Sequence[Sequence[float]]) -> float:
-    """The least total cost of pairing each row with a column of its own (square; shortest augmenting paths)."""
-    cost = np.asarray(costs, float)
+def _assignment(cost: np.ndarray) -> np.ndarray:
+    """Of each column the row that it is paired with at the least total cost (square; shortest augmenting paths)."""
     n = len(cost)
-    if not n:
-        return 0
+    own = cost.argmin(axis=1)
+    if len(set(own.tolist())) == n:  # each row has its cheapest column
+        return np.argsort(own)
     row_price, column_price = np.zeros(n), np.zeros(n)
     row_of = np.full(n, -1)
     for start in range(n):
@@ -46,31 +45,88 @@ def least_assignment(costs: Sequence[Sequence[float]]) -> float:
             before = via[last]
             row_of[last] = start if before < 0 else row_of[before]
             last = before
-    return float(cost[row_of, np.arange(n)].sum())
+    return row_of
 
 
-def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last two columns, cost matrices of letters and words, become their least assignments."""
+def least_assignment(costs: Sequence[Sequence[float]]) -> float:
+    """The least total cost of pairing each row with a column of its own (square)."""
+    cost = np.asarray(costs, float)
+    return float(cost[_assignment(cost), np.arange(len(cost))].sum()) if len(cost) else 0
+
+
+def edits(one: Sequence, two: Sequence) -> int:
+    """Least insertions, removals and replacements from one sequence to the other (bit-parallel, a column of the table in each step)."""
+    short, long = (one, two) if len(one) <= len(two) else (two, one)
+    start, n, m = 0, len(short), len(long)
+    while start < n and short[start] == long[start]:
+        start += 1
+    while n > start and short[n - 1] == long[m - 1]:
+        n, m = n - 1, m - 1
+    if n == start:
+        return m - n
+    places: dict = {}
+    for i, x in enumerate(long[start:m]):
+        places.setdefault(x, []).append(i)
+    bits = {x: sum(1 << i for i in at) for x, at in places.items()}
+    count = m - start
+    every, last = (1 << count) - 1, 1 << (count - 1)
+    up, down = every, 0
+    for x in short[start:n]:
+        equal = bits.get(x, 0)
+        flat = equal | down
+        across = (((equal & up) + up) ^ up) | equal
+        more, less = (down | ~(across | up)) & every, up & across
+        if more & last:
+            count += 1
+        elif less & last:
+            count -= 1
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(flat | more)) & every, more & flat & every
+    return count
+
+
+def least_pairing(one: Sequence[Sequence], two: Sequence[Sequence]) -> int:
+    """The least total of edits when each line is paired with one of the other side's, the shorter side filled up with empty ones.
+
+    Lines have at least as many edits as letters that only one of them has. Pairs
+    that these bounds choose are compared, until none of the pairs chosen is a
+    bound: the rest could only cost more.
+    """
+    n = max(len(one), len(two))
+    if not n:
+        return 0
+    one, two = ([*lines, *[lines[0][:0] if lines else ""] * (n - len(lines))] for lines in (one, two))
+    if n == 1:
+        return edits(one[0], two[0])
+    letters = {x: i for i, x in enumerate(dict.fromkeys(x for line in (*one, *two) for x in line))}
+    counts = np.zeros((2, n, max(len(letters), 1)), np.int32)
+    for side, lines in enumerate((one, two)):
+        for i, line in enumerate(lines):
+            np.add.at(counts[side, i], [letters[x] for x in line], 1)
+    sizes = counts.sum(axis=2)
+    shared = np.array([np.minimum(own, counts[1]).sum(axis=1) for own in counts[0]])
+    cost = (np.maximum(sizes[0][:, None], sizes[1][None, :]) - shared).astype(float)
+    known = np.zeros((n, n), bool)
+    for turn in range(n + 2):
+        rows = _assignment(cost)
+        todo = [(int(i), j) for j, i in enumerate(rows) if not known[i, j]]
+        if not todo:
+            break
+        if turn == n:  # bounds that tell nothing apart: all pairs
+            todo = list(zip(*(x.tolist() for x in np.nonzero(~known)), strict=True))
+        for i, j in todo:
+            cost[i, j], known[i, j] = edits(one[i], two[j]), True
+    return round(cost[rows, np.arange(n)].sum())
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with two more columns: the least pairings of their lines by letters and by words."""
+    split = lambda lines: [[w for w in line.split(" ") if w] for line in lines]
     for batch in batches:
-        least = [pa.array([round(least_assignment(m)) for m in column.to_pylist()], pa.int64()) for column in batch.columns[-2:]]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *least], batch.schema.names)
-
-
-def cost_matrix(truth: Column, observed: Column) -> Column:
-    """Edits between every truth line and every observed line; the shorter side is filled up with empty ones."""
-    n = F.greatest(F.size(truth), F.size(observed))
-    filled = lambda lines: F.concat(lines, F.array_repeat(F.lit(""), n - F.size(lines)))
-    both = F.struct(filled(truth).alias("t"), filled(observed).alias("o"))
-    return let(both, lambda x: F.transform(x["t"], lambda t: F.transform(x["o"], lambda o: F.levenshtein(t, o))))
-
-
-def word_lines(truth: Column, observed: Column) -> Column:
-    """struct(truth, observed): both sides' lines with one letter for each word."""
-    split = lambda lines: F.transform(lines, words)
-    coded = lambda lines, known: F.transform(lines, lambda line: tx.word_codes(line, known))
-    both = F.struct(split(truth).alias("t"), split(observed).alias("o"))
-    every = lambda s: F.array_distinct(F.concat(F.flatten(s["t"]), F.flatten(s["o"])))
-    return let(both, lambda s: let(every(s), lambda known: F.struct(coded(s["t"], known).alias("truth"), coded(s["o"], known).alias("observed"))))
+        both = list(zip(batch["truth_lines"].to_pylist(), batch["observed_lines"].to_pylist(), strict=True))
+        letters = [None if t is None or o is None else least_pairing(t, o) for t, o in both]
+        words = [None if t is None or o is None else least_pairing(split(t), split(o)) for t, o in both]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(letters, pa.int64()), pa.array(words, pa.int64())], [*batch.schema.names, "char_distance", "word_distance"])
 
 
 def words(line: Column) -> Column:
@@ -84,11 +140,10 @@ def score_cases(cases: DataFrame) -> DataFrame:
     """
     lined = cases.withColumn("truth_lines", tx.normalised_lines(F.col("truth_lines"))).withColumn("observed_lines", tx.normalised_lines(F.col("observed_lines")))
     truth, observed = F.col("truth_lines"), F.col("observed_lines")
-    by_word = let(word_lines(truth, observed), lambda w: cost_matrix(w["truth"], w["observed"]))
     total = lambda lines, f: F.aggregate(lines, F.lit(0).cast("long"), lambda s, x: s + f(x))
     lined = lined.drop("char_distance", "word_distance")
     schema = T.StructType([*lined.schema.fields, T.StructField("char_distance", T.LongType()), T.StructField("word_distance", T.LongType())])
-    measured = lined.withColumn("char_distance", cost_matrix(truth, observed)).withColumn("word_distance", by_word).mapInArrow(_assigned, schema)
+    measured = lined.mapInArrow(_paired, schema)
     measured = measured.withColumn("char_length", total(truth, F.length)).withColumn("word_length", total(truth, lambda x: F.size(words(x))))
     rate = lambda part: F.col(f"{part}_distance") / F.greatest(F.col(f"{part}_length"), F.lit(1))
     return measured.withColumn("cer", rate("char")).withColumn("wer", rate("word")).withColumn("exact", ar.same_multiset(truth, observed))
