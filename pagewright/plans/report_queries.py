@@ -57,8 +57,8 @@ SELECT conv_id * 1000 + turn AS page_id, CAST(line AS INTEGER) AS line, text, CA
 def reconstruct_right_to_left(spark, sf_dir):
     """Lines of words in Hebrew letters (small Latin ones put in their place), joined from the right to the left."""
     lines = spread(table(spark, sf_dir, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.posexplode(F.split("text", "\n")).alias("row", "said"))
-    rows = lines.select("page_id", "row", F.posexplode(F.split("said", " +")).alias("n", "word"))
-    rows = rows.withColumn("text", F.regexp_replace(F.translate("word", _LATIN, _HEBREW), f"[^{_HEBREW}0-9.,]", "")).where("text <> ''")
+    said = F.regexp_replace(F.translate("said", _LATIN, _HEBREW), f"[^{_HEBREW[0]}-{_HEBREW[-1]}0-9., ]", "")  # whole lines: words keep what lies between them
+    rows = lines.select("page_id", "row", F.posexplode(F.filter(F.split(said, " +"), lambda w: w != "")).alias("n", "text")).repartition("page_id")  # for all windows
     before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("page_id", "row").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     length = F.length("text") * 10.0
     own = rows.select(
