@@ -18,6 +18,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagewright.functions.geometry import let
+
 _SILENT = {"$schema", "$id", "$defs", "$comment", "title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly"}
 _KNOWN = _SILENT | {
     "type", "enum", "const", "pattern", "minLength", "maxLength", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "properties", "required", "additionalProperties", "items",
@@ -137,10 +139,14 @@ class _Compiler:
             out.append(said("no", F.array_except(F.array(*map(F.lit, schema["required"])), keys)))
         if more is False:
             out.append(said("unknown", F.array_except(keys, F.array(*map(F.lit, properties)).cast(_NONE))))
-        for name in sorted(properties):
-            inner = _field(value, name)
-            found = self.rules(properties[name], inner, F.when(path == "", F.lit(name)).otherwise(F.concat(path, F.lit(f".{name}"))), seen)
-            out.append(F.when(is_object & F.array_contains(keys, name), found).otherwise(F.array().cast(_NONE)))
+        # A value is taken out of what holds it once, and its keys are read once, not by each rule that looks at them.
+        def field(name: str, has: Column) -> Column:
+            here = F.when(path == "", F.lit(name)).otherwise(F.concat(path, F.lit(f".{name}")))
+            found = let(_field(value, name), lambda inner: self.rules(properties[name], inner, here, seen))
+            return F.when(is_object & F.array_contains(has, name), found).otherwise(F.array().cast(_NONE))
+
+        if properties:
+            out.append(let(keys, lambda has: F.flatten(F.array(*(field(name, has) for name in sorted(properties))))))
 
 
 def _any(tests: list[Column]) -> Column:
