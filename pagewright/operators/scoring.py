@@ -85,6 +85,197 @@ def edits(one: Sequence, two: Sequence) -> int:
     return count
 
 
+#: Lines whose pairs are compared in step with one another, at most so many; so many a word of 64 letters are worth it.
+_IN_STEP, _WORTH = 1 << 12, 32
+#: Numbers in a table of pairs in step, and in what a task pairs in one go.
+_TABLE, _AT_ONCE = 1 << 22, 1 << 22
+#: Letters are counted by their numbers' remainder of this: a letter replaced changes a count at most by one either way.
+_COUNTED = 128
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs one after another: each place's run, its number within the run, and where it lies."""
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    inner = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return own, inner, starts[own] + inner
+
+
+def _alike(codes: np.ndarray, one: np.ndarray, two: np.ndarray, sizes: np.ndarray, step: int) -> np.ndarray:
+    """How many places from ``one`` and ``two`` on, forwards or backwards, are alike, of at most ``sizes``."""
+    own, inner, _ = _runs(one, sizes)
+    differ = np.flatnonzero(codes[one[own] + step * inner] != codes[two[own] + step * inner])
+    begin = np.cumsum(sizes) - sizes
+    first = np.append(differ, len(own))[np.searchsorted(differ, begin)]
+    return np.minimum(first - begin, sizes)
+
+
+def _in_step(codes: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, wide: int) -> np.ndarray:
+    """Edits of pairs of runs (from a and b, m <= n long, none empty, n falling), a letter of every pair in each step.
+
+    ``edits``, but only for places at most 32 * ``wide`` apart, in ``wide`` words
+    that move on with the letters: less than that is exact, all else is at least that.
+    """
+    count, kinds, half = len(m), int(codes.max()) + 1, 32 * wide
+    own, place, where = _runs(a, m)
+    text_own, text_place, text_where = _runs(b, n)
+    keys, text_keys = own * kinds + codes[where], text_own * kinds + codes[text_where]
+    # Slot 0: letters that the pair's other line does not have.
+    if count * kinds <= _TABLE:
+        seen = np.zeros(count * kinds, bool)
+        seen[keys] = True
+        slot_of = np.cumsum(seen, dtype=np.int32) * seen
+        slots, text_slots = slot_of[keys], slot_of[text_keys]
+    else:
+        found, slots = np.unique(keys, return_inverse=True)
+        slots += 1
+        at = np.minimum(np.searchsorted(found, text_keys), len(found) - 1)
+        text_slots = np.where(found[at] == text_keys, at + 1, 0)
+    # At letter i of the texts the words hold the places from i - half on.
+    place += half
+    equals = np.zeros((int(n[0]) // 64 + wide + 2, int(slots.max()) + 1), np.uint64)
+    np.bitwise_or.at(equals.reshape(-1), (place // 64) * equals.shape[1] + slots, np.uint64(1) << (place % 64).astype(np.uint64))
+    steps = np.zeros((int(n[0]), count), np.int64)
+    steps[text_place, text_own] = text_slots
+    going = np.searchsorted(-n, -np.arange(len(steps)), "left").tolist()
+    up, down = np.zeros((wide, count), np.uint64), np.zeros((wide, count), np.uint64)
+    for w in range(wide):
+        up[w] = ((1 << 64) - 1) >> min(max(half - 64 * w, 0), 64) << min(max(half - 64 * w, 0), 64)
+    # The last letters' place, followed from the first step on: what does not stay the same there is an edit.
+    followed = half - (n - m)
+    shift, own_word = (followed % 64).astype(np.uint64), [(followed // 64 == w).astype(np.uint64) for w in range(wide)]
+    kept = np.zeros(count, np.uint64)
+    one, top = np.uint64(1), np.uint64(63)
+    buffers, same_, more_, less_ = np.empty((2, count), np.uint64), *(np.empty((wide, count), np.uint64) for _ in range(3))
+    live = None
+    for i, step in enumerate(steps):
+        if going[i] != live:
+            live = going[i]
+            u, d, same, more, less = (x[:, :live] for x in (up, down, same_, more_, less_))
+            equal, other, far, sum_, picks = buffers[0, :live], buffers[1, :live], shift[:live], kept[:live], [x[:live] for x in own_word]
+        slot, word, off = step[:live], i // 64, i % 64
+        right, left = np.uint64(off), np.uint64(64 - off)
+        for w in range(wide):
+            np.take(equals[word + w], slot, out=equal, mode="clip")
+            if off:
+                np.right_shift(equal, right, out=equal)
+                np.take(equals[word + w + 1], slot, out=other, mode="clip")
+                np.left_shift(other, left, out=other)
+                np.bitwise_or(equal, other, out=equal)
+            if w:  # one less in the place above
+                np.right_shift(less[w - 1], top, out=other)
+                np.bitwise_or(equal, other, out=equal)
+            flat = same[w]
+            np.bitwise_and(equal, u[w], out=flat)
+            np.add(flat, u[w], out=flat)
+            np.bitwise_xor(flat, u[w], out=flat)
+            np.bitwise_or(flat, equal, out=flat)
+            np.bitwise_or(flat, d[w], out=flat)
+            np.bitwise_or(flat, u[w], out=more[w])
+            np.invert(more[w], out=more[w])
+            np.bitwise_or(more[w], d[w], out=more[w])
+            np.bitwise_and(flat, u[w], out=less[w])
+            np.right_shift(flat, far, out=other)
+            np.bitwise_and(other, picks[w], out=other)
+            np.add(sum_, other, out=sum_)
+        for w in range(wide):
+            np.right_shift(same[w], one, out=equal)
+            if w + 1 < wide:
+                np.left_shift(same[w + 1], top, out=other)
+                np.bitwise_or(equal, other, out=equal)
+            np.bitwise_and(equal, more[w], out=d[w])
+            np.bitwise_or(equal, more[w], out=equal)
+            np.invert(equal, out=equal)
+            np.bitwise_or(equal, less[w], out=u[w])
+    return n - kept.astype(np.int64)
+
+
+def _all_edits(codes: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``edits`` of pairs of runs of ``codes``, from a and b, m and n long: many in step, few one by one."""
+    total = np.zeros(len(a), np.int64)
+    if not len(a):
+        return total
+    a, m, b, n = np.where(m <= n, (a, m, b, n), (b, n, a, m))
+    same = _alike(codes, a, b, m, 1)
+    a, m, b, n = a + same, m - same, b + same, n - same
+    same = _alike(codes, a + m - 1, b + n - 1, m, -1)
+    m, n = m - same, n - same
+    total[:] = n
+    todo, kinds, wide = np.flatnonzero(m > 0), int(codes.max(initial=0)) + 1, 1
+    todo = todo[np.argsort(-n[todo])]
+    while len(todo):
+        within = n[todo] - m[todo] < 32 * wide
+        now, begin, open_ = todo[within], 0, [todo[~within]]
+        while begin < len(now):
+            longest = int(n[now[begin]])
+            most = _TABLE // max(longest, min(longest, kinds) * (longest // 64 + wide + 2))
+            some = now[begin : begin + max(1, min(most, _IN_STEP))]
+            begin += len(some)
+            if len(some) >= _WORTH * wide:
+                total[some] = _in_step(codes, a[some], m[some], b[some], n[some], wide)
+                open_.append(some[total[some] >= 32 * wide])
+            else:
+                for i in some.tolist():
+                    total[i] = edits(codes[a[i] : a[i] + m[i]].tolist(), codes[b[i] : b[i] + n[i]].tolist())
+        # Wider words tell what these did not; where they reach over the whole line they tell all.
+        todo = np.concatenate(open_)
+        todo, wide = todo[np.argsort(-n[todo])], 2 * wide
+    return total
+
+
+def _assignments(cost: np.ndarray) -> np.ndarray:
+    """``_assignment`` of many tables of one size."""
+    own = cost.argmin(axis=2)
+    rows = np.argsort(own, axis=1)
+    for i in np.flatnonzero((np.take_along_axis(own, rows, 1) != np.arange(cost.shape[1])).any(axis=1)).tolist():
+        rows[i] = _assignment(cost[i])
+    return rows
+
+
+def _pairings(codes: np.ndarray, sizes: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The least pairings of cases. ``codes``: the lines' letters or words as numbers, one line after another, ``sizes`` of them each; ``one``, ``two``: how many lines, in this order, each case's sides have (all first sides, then all second ones)."""
+    total = np.zeros(len(one), np.int64)
+    bags = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * _COUNTED + codes % _COUNTED, minlength=(len(sizes) + 1) * _COUNTED).reshape(-1, _COUNTED).astype(np.int32)
+    starts, sizes = np.append(np.cumsum(sizes) - sizes, 0), np.append(sizes, 0)  # the last one: an empty line
+    firsts = (np.cumsum(one) - one, one.sum() + np.cumsum(two) - two)
+    most = np.maximum(one, two)
+    going = []
+    for n in np.unique(most[most > 0]).tolist():
+        cases = np.flatnonzero(most == n)
+        lines = [np.where(np.arange(n) < count[cases, None], first[cases, None] + np.arange(n), len(sizes) - 1) for first, count in zip(firsts, (one, two), strict=True)]
+        shared = np.stack([np.minimum(bags[lines[0][:, i]][:, None], bags[lines[1]]).sum(axis=2) for i in range(n)], axis=1)
+        cost = (np.maximum(sizes[lines[0]][:, :, None], sizes[lines[1]][:, None, :]) - shared).astype(float)
+        going.append((cases, *lines, cost, np.zeros(cost.shape, bool)))
+    turn = 0
+    while going:
+        left, todo = [], []
+        for cases, own, other, cost, known in going:
+            n = cost.shape[1]
+            rows = _assignments(cost)
+            chosen = (np.arange(len(cases))[:, None], rows, np.arange(n))
+            done = known[chosen].all(axis=1)
+            total[cases[done]] = np.rint(cost[chosen].sum(axis=1)[done])
+            if done.all():
+                continue
+            new = np.zeros(known.shape, bool)
+            new[chosen] = True
+            if turn >= n:  # bounds that tell nothing apart: all pairs
+                new[:] = True
+            cases, own, other, cost, known, new = (x[~done] for x in (cases, own, other, cost, known, new))
+            new &= ~known
+            known |= new
+            left.append((cases, own, other, cost, known))
+            todo.append(np.nonzero(new))
+        pairs = [(own[c, i], other[c, j]) for (_, own, other, _, _), (c, i, j) in zip(left, todo, strict=True)]
+        if pairs:
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            found, begin = _all_edits(codes, starts[a], sizes[a], starts[b], sizes[b]), 0
+            for (_, _, _, cost, _), at in zip(left, todo, strict=True):
+                cost[at] = found[begin : begin + len(at[0])]
+                begin += len(at[0])
+        going, turn = left, turn + 1
+    return total
+
+
 def least_pairing(one: Sequence[Sequence], two: Sequence[Sequence]) -> int:
     """The least total of edits when each line is paired with one of the other side's, the shorter side filled up with empty ones.
 
@@ -92,41 +283,52 @@ def least_pairing(one: Sequence[Sequence], two: Sequence[Sequence]) -> int:
     that these bounds choose are compared, until none of the pairs chosen is a
     bound: the rest could only cost more.
     """
-    n = max(len(one), len(two))
-    if not n:
-        return 0
-    one, two = ([*lines, *[lines[0][:0] if lines else ""] * (n - len(lines))] for lines in (one, two))
-    if n == 1:
-        return edits(one[0], two[0])
-    letters = {x: i for i, x in enumerate(dict.fromkeys(x for line in (*one, *two) for x in line))}
-    counts = np.zeros((2, n, max(len(letters), 1)), np.int32)
-    for side, lines in enumerate((one, two)):
-        for i, line in enumerate(lines):
-            np.add.at(counts[side, i], [letters[x] for x in line], 1)
-    sizes = counts.sum(axis=2)
-    shared = np.array([np.minimum(own, counts[1]).sum(axis=1) for own in counts[0]])
-    cost = (np.maximum(sizes[0][:, None], sizes[1][None, :]) - shared).astype(float)
-    known = np.zeros((n, n), bool)
-    for turn in range(n + 2):
-        rows = _assignment(cost)
-        todo = [(int(i), j) for j, i in enumerate(rows) if not known[i, j]]
-        if not todo:
-            break
-        if turn == n:  # bounds that tell nothing apart: all pairs
-            todo = list(zip(*(x.tolist() for x in np.nonzero(~known)), strict=True))
-        for i, j in todo:
-            cost[i, j], known[i, j] = edits(one[i], two[j]), True
-    return round(cost[rows, np.arange(n)].sum())
+    numbers: dict = {}
+    lines = [*one, *two]
+    codes = np.array([numbers.setdefault(x, len(numbers)) for line in lines for x in line], np.int64)
+    return int(_pairings(codes, np.array([len(line) for line in lines], np.int64), np.array([len(one)]), np.array([len(two)]))[0])
+
+
+def _lines_of(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    return np.asarray(pa.compute.list_value_length(column).fill_null(0)).astype(np.int64), column.flatten()
+
+
+def _least(truth: pa.Array, observed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The least pairings, by letters and by words, of many cases at once."""
+    (one, first), (two, second) = _lines_of(truth), _lines_of(observed)
+    lines = pa.concat_arrays([first, second])
+    letters = np.frombuffer("".join(lines.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.asarray(pa.compute.utf8_length(lines)).astype(np.int64)
+    split = pa.compute.split_pattern(lines, " ")
+    words = split.flatten()
+    filled = np.asarray(pa.compute.not_equal(words, ""))
+    line_of = np.repeat(np.arange(len(lines)), np.asarray(pa.compute.list_value_length(split)))
+    words, word_sizes = words.filter(pa.array(filled)).dictionary_encode(), np.bincount(line_of[filled], minlength=len(lines))
+    if len(letters):
+        letters = (np.cumsum(np.bincount(letters) > 0) - 1)[letters]
+    return _pairings(letters, sizes, one, two), _pairings(np.asarray(words.indices).astype(np.int64), word_sizes, one, two)
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with two more columns: the least pairings of their lines by letters and by words."""
-    split = lambda lines: [[w for w in line.split(" ") if w] for line in lines]
     for batch in batches:
-        both = list(zip(batch["truth_lines"].to_pylist(), batch["observed_lines"].to_pylist(), strict=True))
-        letters = [None if t is None or o is None else least_pairing(t, o) for t, o in both]
-        words = [None if t is None or o is None else least_pairing(split(t), split(o)) for t, o in both]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(letters, pa.int64()), pa.array(words, pa.int64())], [*batch.schema.names, "char_distance", "word_distance"])
+        truth, observed = batch["truth_lines"], batch["observed_lines"]
+        known = np.asarray(truth.is_valid()) & np.asarray(observed.is_valid())
+        # What a row costs: its lines, its letters, its table of pairs.
+        weight = np.zeros(len(known))
+        for side in (truth, observed):
+            count, lines = _lines_of(side)
+            letters = np.append(0, np.cumsum(np.asarray(pa.compute.utf8_length(lines)).astype(np.int64) + _COUNTED // 2))
+            ends = np.cumsum(count)
+            weight += letters[ends] - letters[ends - count] + count.astype(float) ** 2
+        parts, begin = [], 0
+        reached = np.cumsum(weight)
+        while begin < len(known):
+            end = max(int(np.searchsorted(reached, (reached[begin - 1] if begin else 0) + _AT_ONCE, "right")), begin + 1)
+            parts.append(_least(truth.slice(begin, end - begin), observed.slice(begin, end - begin)))
+            begin = end
+        found = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64(), mask=~known) for x in found)], [*batch.schema.names, "char_distance", "word_distance"])
 
 
 def words(line: Column) -> Column:
