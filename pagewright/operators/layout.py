@@ -7,7 +7,7 @@ reading order and breaks every tie.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -221,13 +221,8 @@ def _line_labels(rows: pa.Table) -> np.ndarray:
     return graph.least_labels(np.concatenate([a for a, _ in ends]), np.concatenate([b for _, b in ends]), n)
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions with axis and direction in the order of (page_id, region_id), whole pages in a task: their last column, empty so far, becomes their component."""
-
-    def settle(rows: pa.Table) -> list[pa.RecordBatch]:
-        least = rows["region_id"].combine_chunks().take(pa.array(_line_labels(rows)))
-        return rows.set_column(rows.num_columns - 1, "component", least).to_batches()
-
+def _whole_pages(batches: Iterator[pa.RecordBatch], settle: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
+    """``settle`` of many whole pages at a time, whose regions come in the order of (page_id, region_id)."""
     held: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:
@@ -241,10 +236,27 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.asarray(pa.compute.equal(rows["page_id"], last).fill_null(False)) if last.is_valid else np.zeros(count, bool)
         whole = 0 if own.all() else int(np.flatnonzero(~own)[-1]) + 1
         if whole:
-            yield from settle(rows.slice(0, whole))
+            yield from settle(rows.slice(0, whole)).to_batches()
         held, count = rows.slice(whole).to_batches(), count - whole
     if count:
-        yield from settle(pa.Table.from_batches(held))
+        yield from settle(pa.Table.from_batches(held)).to_batches()
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Regions, whole pages in a task: their last column, empty so far, becomes their component."""
+
+    def settle(rows: pa.Table) -> pa.Table:
+        least = rows["region_id"].combine_chunks().take(pa.array(_line_labels(rows)))
+        return rows.set_column(rows.num_columns - 1, "component", least)
+
+    return _whole_pages(batches, settle)
+
+
+def _in_order(regions: DataFrame) -> DataFrame:
+    """``regions`` with axis, direction and a column ``component`` to be filled: the window brings a page's regions together, in order."""
+    kind = dict(regions.dtypes)["region_id"]
+    placed = with_axis(regions).withColumn("component", F.row_number().over(Window.partitionBy("page_id").orderBy("region_id")).cast(kind))
+    return placed.sortWithinPartitions("page_id", "region_id")
 
 
 def components(regions: DataFrame, *, local_regions: int = LOCAL_REGIONS) -> DataFrame:
@@ -262,8 +274,7 @@ def components(regions: DataFrame, *, local_regions: int = LOCAL_REGIONS) -> Dat
     if many:
         large = cut(large)
         small = regions.join(large, "page_id", "left_anti")
-    # The window brings a page's regions together, in order.
-    placed = with_axis(small).withColumn("component", F.row_number().over(Window.partitionBy("page_id").orderBy("region_id")).cast(kind)).sortWithinPartitions("page_id", "region_id")
+    placed = _in_order(small)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in placed.schema])
     labelled = placed.mapInArrow(_labelled, schema)
     if not many:
@@ -273,12 +284,21 @@ def components(regions: DataFrame, *, local_regions: int = LOCAL_REGIONS) -> Dat
     return labelled.unionByName(rows.join(labels, ["page_id", "region_id"], "left").withColumn("component", F.coalesce("component", "region_id")))
 
 
+def _ends_tight(text: Column) -> Column:
+    last = F.right(text, F.lit(1))
+    return last.rlike(tx.SPACES) | tx.opens(last)
+
+
+def _starts_tight(text: Column) -> Column:
+    first = F.left(text, F.lit(1))
+    return first.rlike(tx.SPACES) | tx.closes(first)
+
+
 def separator(before: Column, after: Column, thickness: Column) -> Column:
     """What stands between two neighbours: nothing, or one to eight spaces by the gap."""
-    last, first = F.right(before["text"], F.lit(1)), F.left(after["text"], F.lit(1))
     gap = F.abs(after["at"] - before["at"]) - (before["length"] + after["length"]) / 2
     count = F.least(F.greatest(F.floor(gap / (SPACE_WIDTH * thickness) + 0.5), F.lit(1)), F.lit(MOST_SPACES)).cast("int")
-    tight = last.rlike(tx.SPACES) | first.rlike(tx.SPACES) | tx.opens(last) | tx.closes(first) | (gap < MIN_GAP * thickness)
+    tight = _ends_tight(before["text"]) | _starts_tight(after["text"]) | (gap < MIN_GAP * thickness)
     return F.when(tight, "").otherwise(F.repeat(F.lit(" "), count))
 
 
@@ -288,13 +308,117 @@ def _weighted(members: Column, field: str) -> Column:
     return F.when(ink > 0, total(lambda m: m[field] * m["ink"]) / ink).otherwise(total(lambda m: m[field]) / F.size(members))
 
 
-def reconstruct(regions: DataFrame) -> DataFrame:
+_FIELDS = ("region_id", "center_x", "center_y", "thickness", "length", "angle", "vertical", "text", "confidence", "box_score")
+#: Regions whose numbers and texts are all there; pages of others are joined by groups, which say what becomes of nulls.
+_PLAIN = f"{_FINITE} and thickness > 0 and abs(confidence) < 1e12 and abs(box_score) < 1e12 and region_id is not null and text is not null"
+
+
+def _joined_lines(rows: pa.Table) -> pa.Table:
+    """``_reconstructed`` of the plain regions of whole pages (with axis, direction, ink and whether their ends are tight)."""
+    n = rows.num_rows
+    label = _line_labels(rows)
+    firsts, group = np.unique(label, return_inverse=True)
+    k = len(firsts)
+    x, y, thick, length, ink, confidence, score = (_numbers(rows, c) for c in ("center_x", "center_y", "thickness", "length", "ink", "confidence", "box_score"))
+    axis = rows["axis"].combine_chunks()
+    way = np.asarray(pa.compute.index_in(rows["direction"], pa.array(["neutral", "ltr", "rtl", "mixed"])))
+    count = np.bincount(group, minlength=k)
+    some = [np.bincount(group[way == w], minlength=k) > 0 for w in (1, 2, 3)]
+    apart = (count == 1) | some[2] | (some[0] & some[1])
+    sx, sy = (np.bincount(group, np.asarray(axis.field(c)), k) for c in (0, 1))
+    size = np.hypot(sx, sy)
+    own = np.flatnonzero(~apart[group])
+    g = group[own]
+    ax, ay = sx[group[own]] / size[g], sy[g] / size[g]
+    at, off = x[own] * ax + y[own] * ay, y[own] * ax - x[own] * ay
+    keys = [own, rows["region_id"].combine_chunks().to_numpy(zero_copy_only=False)[own], at * np.where(some[1][g], -1.0, 1.0), g]
+    page = rows["page_id"].combine_chunks().dictionary_encode().indices
+    if np.any((np.diff(np.asarray(page)) == 0) & (np.diff(rows["region_id"].combine_chunks().to_numpy(zero_copy_only=False)) == 0)):
+        # Ids that a page repeats are told apart by what else there is.
+        text = np.unique(np.array(rows["text"].to_pylist(), object), return_inverse=True)[1]
+        more = (off, x[own], y[own], thick[own], length[own], _numbers(rows, "angle")[own], np.asarray(rows["vertical"].combine_chunks())[own], text[own], confidence[own], score[own])
+        keys[:1] = more[::-1]
+    order = np.lexsort(keys)
+    own, g, at, off = own[order], g[order], at[order], off[order]
+    start = np.flatnonzero(np.diff(g, prepend=-1))
+    lines = g[start]
+    members = count[lines]
+    first = np.zeros(len(own), bool)
+    first[start] = True
+    line = np.cumsum(first) - 1
+    # The middle thickness of each line.
+    sizes = thick[own][np.lexsort((thick[own], g))]
+    middle = 0.5 * sizes[start + (members - 1) // 2] + 0.5 * sizes[start + members // 2]
+    thick, length, ink = thick[own], length[own], ink[own]
+    before = np.maximum(np.arange(len(own)) - 1, 0)
+    gap = np.abs(at - at[before]) - (length[before] + length) / 2
+    spaces = np.clip(np.floor(gap / (SPACE_WIDTH * middle[line]) + 0.5), 1, MOST_SPACES).astype(np.int64)
+    ends, starts = (np.asarray(rows[c].combine_chunks())[own] for c in ("ends_tight", "starts_tight"))
+    spaces[first | ends[before] | starts | (gap < MIN_GAP * middle[line])] = 0
+    between = pa.array([" " * i for i in range(MOST_SPACES + 1)]).take(pa.array(spaces))
+    texts = pa.compute.binary_join_element_wise(between, rows["text"].combine_chunks().take(pa.array(own)), "")
+    texts = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(np.append(start, len(own)), pa.int32()), texts), "")
+
+    def weighted(values: np.ndarray) -> np.ndarray:
+        total = np.bincount(line, ink, len(start))
+        return np.where(total > 0, np.bincount(line, values * ink, len(start)) / np.where(total > 0, total, 1), np.bincount(line, values, len(start)) / members)
+
+    if len(own):
+        low, high = np.minimum.reduceat(at - length / 2, start), np.maximum.reduceat(at + length / 2, start)
+        top, bottom = np.minimum.reduceat(off - thick / 2, start), np.maximum.reduceat(off + thick / 2, start)
+    else:
+        low = high = top = bottom = np.zeros(0)
+    ax, ay = sx[lines] / size[lines], sy[lines] / size[lines]
+    mid, over = (low + high) / 2, (top + bottom) / 2
+    angle = np.degrees(np.arctan2(ax, -ay))
+    angle = np.where(angle > 90, angle - 180, np.where(angle <= -90, angle + 180, angle))
+    names = ["page_id", "component", *_FIELDS, "members"]
+    alone = np.flatnonzero(apart[group])
+    kept = rows.select(["page_id", *_FIELDS]).take(pa.array(alone))
+    component = lambda places: rows["region_id"].combine_chunks().take(pa.array(firsts[group[places]]))
+    double = lambda c: kept[c].combine_chunks().cast(pa.float64()) if pa.types.is_floating(kept[c].type) or pa.types.is_integer(kept[c].type) and c not in ("page_id", "region_id") else kept[c].combine_chunks()
+    one = [double("page_id"), component(alone), *(double(c) for c in _FIELDS), pa.array(np.ones(len(alone)), pa.int32())]
+    head = own[start]
+    merged = [
+        rows["page_id"].combine_chunks().take(pa.array(head)), component(head), component(head), ax * mid - ay * over, ay * mid + ax * over, bottom - top, high - low, angle,
+        rows["vertical"].combine_chunks().take(pa.array(head)), texts, weighted(confidence[own]), weighted(score[own]), pa.array(members, pa.int32()),
+    ]
+    return pa.table({name: pa.chunked_array([a, b if isinstance(b, pa.Array) else pa.array(b)]) for name, a, b in zip(names, one, merged, strict=True)})
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _whole_pages(batches, _joined_lines)
+
+
+def reconstruct(regions: DataFrame, *, local_regions: int = LOCAL_REGIONS) -> DataFrame:
     """Lines: members of a component joined along its axis, with the spaces their gaps imply.
 
     A component of one region, or of both writing directions, stays as it is.
+    Pages of at most ``local_regions`` are found and joined within tasks, many
+    together, so that only their lines leave a task; pages with more, and those
+    with a null or a number that is not finite, go as ``components`` and groups.
+    For this regions are looked through first: cut what is dear.
     """
-    fields = ("region_id", "center_x", "center_y", "thickness", "length", "angle", "vertical", "text", "confidence", "box_score")
-    rows = components(regions).withColumn("ink", tx.ink(F.col("text")))
+    page = F.col("page_id")
+    other = regions.groupBy("page_id").agg(F.count("*").alias("n"), F.bool_or(~F.coalesce(F.expr(_PLAIN), F.lit(False))).alias("odd"))
+    other = other.where((F.col("n") > local_regions) | F.col("odd") | page.isNull()).select(page.alias("of"))
+    many = bool(other.head(1))
+    small = regions
+    if many:
+        other = cut(other)
+        small = regions.join(other, page.eqNullSafe(F.col("of")), "left_anti")
+    schema = _reconstructed(regions.limit(0), local_regions=None).schema
+    placed = _in_order(small).withColumn("ink", tx.ink(F.col("text"))).withColumn("ends_tight", _ends_tight(F.col("text"))).withColumn("starts_tight", _starts_tight(F.col("text")))
+    placed = placed.select("page_id", *_FIELDS, "axis", "direction", "ink", "ends_tight", "starts_tight", "component")
+    joined = placed.mapInArrow(_joined, T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+    return joined.unionByName(_reconstructed(regions.join(other, page.eqNullSafe(F.col("of")), "left_semi"), local_regions=local_regions)) if many else joined
+
+
+def _reconstructed(regions: DataFrame, *, local_regions: int | None) -> DataFrame:
+    """``reconstruct`` by groups, of any regions; without ``local_regions`` only its columns count."""
+    fields = _FIELDS
+    rows = _in_order(regions) if local_regions is None else components(regions, local_regions=local_regions)
+    rows = rows.withColumn("ink", tx.ink(F.col("text")))
     grouped = rows.groupBy("page_id", "component").agg(
         F.collect_list(F.struct(*fields, "ink")).alias("members"),
         F.sum("axis.x").alias("sx"), F.sum("axis.y").alias("sy"), F.median("thickness").alias("thickness"),

@@ -297,8 +297,10 @@ p AS (SELECT *, 100.0 * line AS y, coalesce(sum(len + 1) OVER (PARTITION BY conv
 
 def _token_regions(spark, sf_dir):
     """The words of each turn's lines as regions, line under line, set in letters 10 wide and 20 high."""
-    lines = spread(table(spark, sf_dir, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line", "row"))
-    rows = lines.select("page_id", "line", F.posexplode(F.filter(F.split("row", " +"), lambda w: w != "")).alias("n", "text")).repartition("page_id")  # for all windows
+    # Dealt out for all windows while a page is one text, not a row for each word.
+    texts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), "text").repartition("page_id")
+    lines = texts.select("page_id", F.posexplode(F.split("text", "\n")).alias("line", "row"))
+    rows = lines.select("page_id", "line", F.posexplode(F.filter(F.split("row", " +"), lambda w: w != "")).alias("n", "text"))
     before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("page_id", "line").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     length, confidence = F.length("text") * 10.0, F.length("text") % 10 / 10.0
     own = rows.select("page_id", "line", "n", (before * 10.0 + length / 2).alias("center_x"), (F.col("line") * 100.0 + 100).alias("center_y"), F.lit(20.0).alias("thickness"), length.alias("length"), F.lit(90.0).alias("angle"), F.lit(False).alias("vertical"), "text", confidence.alias("confidence"), F.lit(0.9).alias("box_score"))
