@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagewright.functions import geometry as geo
 from pagewright.functions import text as tx
@@ -386,8 +387,54 @@ def _joined_lines(rows: pa.Table) -> pa.Table:
     return pa.table({name: pa.chunked_array([a, b if isinstance(b, pa.Array) else pa.array(b)]) for name, a, b in zip(names, one, merged, strict=True)})
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _whole_pages(batches, _joined_lines)
+def _joined(schema: pa.Schema, local_regions: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of regions in the order of (page_id, region_id) the lines of their pages; those of large pages and of pages that are not plain go on as they are, without members."""
+
+    def left(rows: pa.Table) -> pa.Table:
+        return pa.table([pa.chunked_array([pa.nulls(rows.num_rows, f.type)]) if f.name in ("component", "members") else rows[f.name].cast(f.type) for f in schema], schema=schema)
+
+    def settle(rows: pa.Table) -> pa.Table:
+        page = np.asarray(rows["page_id"].combine_chunks().dictionary_encode().indices.fill_null(-1)) + 1
+        other = np.bincount(page) > local_regions
+        other[page[~np.asarray(rows["plain"].combine_chunks())]] = True
+        own, rest = (rows.filter(pa.array(keep)) for keep in (~other[page], other[page]))
+        return pa.concat_tables([*([_joined_lines(own).cast(schema)] if own.num_rows else []), *([left(rest)] if rest.num_rows else [])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, passing = None, None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if passing is not None:  # the rest of a page too large to be held
+                end = pa.compute.equal(rows["page_id"], passing).to_pylist().count(True)
+                yield from left(rows.slice(0, end)).to_batches()
+                rows = rows.slice(end)
+                if not rows.num_rows:
+                    continue
+                passing = None
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if held.num_rows < _AT_ONCE:
+                continue
+            last = held["page_id"][held.num_rows - 1]
+            own = np.asarray(pa.compute.equal(held["page_id"], last).fill_null(False)) if last.is_valid else np.zeros(held.num_rows, bool)
+            whole = 0 if own.all() else int(np.flatnonzero(~own)[-1]) + 1
+            if whole:
+                yield from settle(held.slice(0, whole)).to_batches()
+            held = held.slice(whole) if whole < held.num_rows else None
+            if held is not None and held.num_rows > local_regions:
+                yield from left(held).to_batches()
+                held, passing = None, last
+        if held is not None and held.num_rows:
+            yield from settle(held).to_batches()
+
+    return run
+
+
+def _lines_in_tasks(regions: DataFrame, local_regions: int) -> DataFrame:
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in _reconstructed(regions.limit(0), local_regions=None).schema])
+    placed = _in_order(regions).withColumn("ink", tx.ink(F.col("text"))).withColumn("ends_tight", _ends_tight(F.col("text"))).withColumn("starts_tight", _starts_tight(F.col("text")))
+    placed = placed.withColumn("plain", F.coalesce(F.expr(_PLAIN), F.lit(False)))
+    placed = placed.select("page_id", *_FIELDS, "axis", "direction", "ink", "ends_tight", "starts_tight", "plain", "component")
+    return placed.mapInArrow(_joined(to_arrow_schema(schema), local_regions), schema)
 
 
 def reconstruct(regions: DataFrame, *, local_regions: int = LOCAL_REGIONS) -> DataFrame:
@@ -395,23 +442,16 @@ def reconstruct(regions: DataFrame, *, local_regions: int = LOCAL_REGIONS) -> Da
 
     A component of one region, or of both writing directions, stays as it is.
     Pages of at most ``local_regions`` are found and joined within tasks, many
-    together, so that only their lines leave a task; pages with more, and those
-    with a null or a number that is not finite, go as ``components`` and groups.
-    For this regions are looked through first: cut what is dear.
+    together, so that only their lines leave a task. Pages with more, and those
+    with a null or a number that is not finite, leave it as they are and go as
+    ``components`` and groups. Both are kept in the shared folder, so regions are
+    worked out once.
     """
-    page = F.col("page_id")
-    other = regions.groupBy("page_id").agg(F.count("*").alias("n"), F.bool_or(~F.coalesce(F.expr(_PLAIN), F.lit(False))).alias("odd"))
-    other = other.where((F.col("n") > local_regions) | F.col("odd") | page.isNull()).select(page.alias("of"))
-    many = bool(other.head(1))
-    small = regions
-    if many:
-        other = cut(other)
-        small = regions.join(other, page.eqNullSafe(F.col("of")), "left_anti")
-    schema = _reconstructed(regions.limit(0), local_regions=None).schema
-    placed = _in_order(small).withColumn("ink", tx.ink(F.col("text"))).withColumn("ends_tight", _ends_tight(F.col("text"))).withColumn("starts_tight", _starts_tight(F.col("text")))
-    placed = placed.select("page_id", *_FIELDS, "axis", "direction", "ink", "ends_tight", "starts_tight", "component")
-    joined = placed.mapInArrow(_joined, T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
-    return joined.unionByName(_reconstructed(regions.join(other, page.eqNullSafe(F.col("of")), "left_semi"), local_regions=local_regions)) if many else joined
+    lines = cut(_lines_in_tasks(regions, local_regions))
+    other = lines.where("members is null").select("page_id", *_FIELDS)
+    if not other.head(1):
+        return lines
+    return lines.where("members is not null").unionByName(_reconstructed(other, local_regions=local_regions))
 
 
 def _reconstructed(regions: DataFrame, *, local_regions: int | None) -> DataFrame:

@@ -298,7 +298,9 @@ p AS (SELECT *, 100.0 * line AS y, coalesce(sum(len + 1) OVER (PARTITION BY conv
 def _token_regions(spark, sf_dir):
     """The words of each turn's lines as regions, line under line, set in letters 10 wide and 20 high."""
     # Dealt out for all windows while a page is one text, not a row for each word.
-    texts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), "text").repartition("page_id")
+    # The number is given, as texts become a hundred times as many rows: parts joined up by their size would be too large to sort.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), "text").repartition(parts, "page_id")
     lines = texts.select("page_id", F.posexplode(F.split("text", "\n")).alias("line", "row"))
     rows = lines.select("page_id", "line", F.posexplode(F.filter(F.split("row", " +"), lambda w: w != "")).alias("n", "text"))
     before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("page_id", "line").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from test_large_pages import REGION, region
 
@@ -45,7 +46,19 @@ def test_pages_with_nulls_go_by_groups(spark):
     assert {x[0] for x in found} >= {90, 91, None}
 
 
+def test_a_page_too_large_to_be_held(monkeypatch):
+    monkeypatch.setattr(layout, "_AT_ONCE", 50)
+    sizes = {1: 40, 2: 200, 3: 30, 4: 61, 5: 3}
+    rows = [{"page_id": p, "region_id": i, "plain": True, "thickness": 1.0} for p, n in sizes.items() for i in range(n)]
+    monkeypatch.setattr(layout, "_joined_lines", lambda own: own.select(["page_id", "region_id"]).append_column("members", [[1] * own.num_rows]))
+    schema = pa.schema([("page_id", pa.int64()), ("region_id", pa.int64()), ("members", pa.int64())])
+    for step in (1, 16, 1000):
+        found = [r for b in layout._joined(schema, 60)(iter(pa.Table.from_pylist(rows).to_batches(step))) for r in b.to_pylist()]
+        assert sorted((r["page_id"], r["region_id"]) for r in found) == [(r["page_id"], r["region_id"]) for r in rows]
+        assert all((r["members"] is None) == (sizes[r["page_id"]] > 60) for r in found)
+
+
 def test_words_are_not_grouped_or_dealt_out_again(spark):
     rows = spark.createDataFrame([region(p, i, 60.0 * i, 40.0, 20.0, 50.0) for p in range(5) for i in range(40)], REGION)
-    plan = layout.reconstruct(rows)._jdf.queryExecution().executedPlan().toString()
+    plan = layout._lines_in_tasks(rows, 4096)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Exchange") == 1
