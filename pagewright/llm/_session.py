@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright import shared
 from pagewright.shared import shared_folder
 
 
@@ -33,13 +34,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str, *, spread: bool = True) -> DataFrame:
-    """The table; where its files give fewer tasks than there are cores, its rows are dealt to all of them.
-
-    That costs a shuffle of a small table, and is for steps that cost far more.
-    """
+    """The table; where its files do not give all cores their share, its rows are dealt to all of them (``shared.spread``)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if spread and docs.rdd.getNumPartitions() < cores else docs
+    return shared.spread(docs) if spread else docs
 
 
 def not_remainder(column: str, modulus: int, remainder: int):

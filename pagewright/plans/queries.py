@@ -15,6 +15,7 @@ from pagewright.functions import arrays as ar
 from pagewright.functions import geometry as geo
 from pagewright.functions import text as tx
 from pagewright.operators import catalog, layout, manifest, policy, scheduling, scoring, telemetry
+from pagewright.shared import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,12 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many tasks as there are cores, if its files give fewer: for steps that cost far more than a shuffle of their rows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # Text ------------------------------------------------------------------------
 
 @query(rf"""

@@ -10,7 +10,7 @@ from pagewright.functions import geometry as geo
 from pagewright.functions import text as tx
 from pagewright.operators import catalog, layout, manifest, scoring, telemetry
 from pagewright.plans import compare
-from pagewright.plans.queries import _NO_SPACE, QUERIES, SQL, query, spread, table
+from pagewright.plans.queries import _NO_SPACE, QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
 

@@ -1,10 +1,11 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and rows dealt out to all of them."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +29,22 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut at a copy in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a table that one task gets, once there are more than cores take.
+ROWS_A_TASK = 20_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` (a table as it is read) dealt out to at least as many tasks as there are cores, if its files do not: for steps that cost far more than a shuffle of their rows.
+
+    A file is cut into tasks by its bytes, but each of its row groups goes to one
+    task whole: one row group of 100 MB gives many tasks, and all rows to one of
+    them. So the rows of tasks are counted, for which Spark reads no column.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    fewest = df.rdd.getNumPartitions() < cores
+    rows, most = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if fewest or most > max(2 * rows // cores, 1):
+        return df.repartition(max(cores, -(-rows // ROWS_A_TASK)))
+    return df
