@@ -366,7 +366,7 @@ def word_distance(spark, sf_dir):
 @query()
 def score_cases(spark, sf_dir):
     lines = F.split(tx.composed(F.col("text")), "\n")
-    cases = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", lines.alias("truth_lines"), F.reverse(F.transform(lines, lambda x: F.regexp_replace(x, "er", "re"))).alias("observed_lines"))
+    cases = spread(table(spark, sf_dir, "conversations"), even=True).select("conv_id", "turn", lines.alias("truth_lines"), F.reverse(F.transform(lines, lambda x: F.regexp_replace(x, "er", "re"))).alias("observed_lines"))
     scored = scoring.score_cases(cases)
     return scored.select("conv_id", "turn", "char_distance", "char_length", "word_distance", "word_length", F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"), "exact")
 

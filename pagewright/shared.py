@@ -31,20 +31,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of a table that one task gets, once there are more than cores take.
+#: Rows of a table that one task gets at most, once they are dealt out.
 ROWS_A_TASK = 20_000
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *, even: bool = False) -> DataFrame:
     """``df`` (a table as it is read) dealt out to at least as many tasks as there are cores, if its files do not: for steps that cost far more than a shuffle of their rows.
 
     A file is cut into tasks by its bytes, but each of its row groups goes to one
     task whole: one row group of 100 MB gives many tasks, and all rows to one of
     them. So the rows of tasks are counted, for which Spark reads no column.
+    ``even``: also if the last tasks would leave cores without work (13 tasks on
+    12 cores take as long as 24), for steps beside which a shuffle is nothing.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     fewest = df.rdd.getNumPartitions() < cores
-    rows, most = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    if fewest or most > max(2 * rows // cores, 1):
-        return df.repartition(max(cores, -(-rows // ROWS_A_TASK)))
+    counted = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    tasks, rows, most = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    share = rows / cores
+    longest = min(-(-tasks // cores) * most, share + most)  # rows that a core has at most, one task after another
+    if fewest or most > max(2 * share, 1) or (even and longest > max(1.25 * share, 1)):
+        return df.repartition(cores * max(1, -(-rows // (ROWS_A_TASK * cores))))
     return df

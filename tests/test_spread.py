@@ -62,3 +62,19 @@ def test_rows_of_a_task_are_bounded(small_tasks, tmp_path, monkeypatch):
     monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
     written(tmp_path, "conversations", 2000, 1 << 20)
     assert queries.spread(queries.table(small_tasks, str(tmp_path), "conversations")).rdd.getNumPartitions() == 20
+
+
+def test_last_tasks_leave_no_cores_idle(small_tasks, tmp_path):
+    cores = small_tasks.sparkContext.defaultParallelism
+    folder = tmp_path / "conversations.parquet"
+    folder.mkdir()
+    small_tasks.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    small_tasks.conf.set("spark.sql.files.openCostInBytes", str(1 << 20))  # a task for each file
+    for i in range(cores + 1):
+        written(folder, f"part-{i}", 100, 1 << 20)
+    read = queries.table(small_tasks, str(tmp_path), "conversations")
+    assert rows_of_tasks(read) == [100] * (cores + 1)
+    assert queries.spread(read) is read
+    assert len(rows_of_tasks(queries.spread(read, even=True))) == cores
+    found = queries.QUERIES["score_cases"](small_tasks, str(tmp_path))
+    assert len(rows_of_tasks(found)) == cores and found.count() == 100 * (cores + 1)
